@@ -1,8 +1,11 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import mixing, simhash
+from . import media, mixing, pii, secrets, simhash
 
 QUERIES = {
+    "op2_media_transport_stream": media.op2_media_transport_stream,
+    "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_pii_spans": pii.op8_pii_spans,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
