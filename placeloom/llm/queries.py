@@ -1,13 +1,17 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import media, mixing, pii, secrets, simhash
+from . import decontam, media, mixing, pii, secrets, simhash, url_rules
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
     "op2_media_transport_stream": media.op2_media_transport_stream,
+    "op4_url_rules": url_rules.op4_url_rules,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op8_pii_spans": pii.op8_pii_spans,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_benchmark_decontamination": decontam.OP1_SQL,
+}
