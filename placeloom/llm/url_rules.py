@@ -3,17 +3,18 @@
 All steps are DataFrame operations and Spark's FP-growth. A rule ``host/path`` fits its host and
 all subdomains if the url's path starts with its path; the longest rule that fits decides.
 
-The method. Urls that the list decides are the labelled ones. Their tokens (labels of the host,
-parts of the path, names of query parameters) and their verdict form one transaction each;
-FP-growth mines the frequent combinations. A combination that foretells ``block`` with at least
-``MIN_CONFIDENCE``, on at least ``MIN_SUPPORT`` of the labelled urls, becomes a rule, unless a
-part of it is a rule of no less confidence. Rules are filed in an inverted index under their
+The method. A url is labelled ``block`` if the list blocks it or its host holds one of
+``SEED_WORDS``; all others are labelled ``open``, so that a combination seen mostly on unlabelled
+urls is no rule. The tokens of each url (words of the host, parts of the path, names of query
+parameters) and its label form one transaction; FP-growth mines the frequent combinations. A
+combination that foretells ``block`` with at least ``MIN_CONFIDENCE``, on at least
+``MIN_SUPPORT`` of all urls, becomes a rule, unless a part of it is a rule of no less confidence. Rules are filed in an inverted index under their
 rarest token; the tokens of an open url fetch the rules filed under them, and a rule matches if
 all its tokens are there. Open urls that match a rule are blocked, all others are allowed.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path and is allowed; equal
-urls get equal verdicts; without labelled urls (an empty table, say) no rule is mined; extra
-columns are ignored.
+urls get equal verdicts; an empty table gives no rule and an empty result; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import lower_ascii, stored, table
 
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
-MIN_SUPPORT, MIN_CONFIDENCE, BROADCAST_ROWS = 0.002, 0.9, 200_000
+SEED_WORDS = ("adult", "ads", "bets", "casino", "malware", "phishing", "pills", "porn", "spam", "viagra")
+MIN_SUPPORT, MIN_CONFIDENCE, BROADCAST_ROWS = 0.001, 0.9, 200_000
 _TOKENS_SCHEMA = "array<string>"
 
 
@@ -54,24 +56,24 @@ def decided(host: Column, path: Column, rules: dict[str, str] = RULES) -> Column
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """Distinct tokens: ``h:`` labels of the host, ``p:`` parts of the path, ``q:`` parameter names."""
+    """Distinct tokens: ``h:`` words of the host, ``p:`` parts of the path, ``q:`` parameter names."""
     some = lambda prefix, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(prefix), x))
     query = F.regexp_extract(_rest(url), r"^[^?#]*\?([^#]*)", 1)
     names = F.transform(F.split(query, "&"), lambda x: F.regexp_extract(x, "^([^=]*)", 1))
     parts = F.filter(F.split(path, r"[/._\-]+"), lambda x: ~x.rlike("^[0-9]+$"))
-    return F.array_distinct(F.concat(some("h:", F.split(host, r"[.:@]")), some("p:", parts), some("q:", names)))
+    return F.array_distinct(F.concat(some("h:", F.split(host, r"[.:@\-]")), some("p:", parts), some("q:", names)))
 
 
 def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """(tokens, confidence, support, key): pruned combinations that foretell ``block``.
 
-    ``labelled`` has tokens and verdict. ``key`` is the rule's rarest token among labelled urls.
+    ``labelled`` has tokens and label. ``key`` is the rule's rarest token.
     """
     spark = labelled.sparkSession
-    labelled = stored(labelled.select(F.col("tokens").cast(_TOKENS_SCHEMA).alias("tokens"), "verdict"), "labelled-urls")
+    labelled = stored(labelled.select(F.col("tokens").cast(_TOKENS_SCHEMA).alias("tokens"), "label"), "labelled-urls")
     if labelled.isEmpty():
         return spark.createDataFrame([], "tokens array<string>, confidence double, support double, key string")
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("y:"), "verdict"))).alias("items"))
+    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit("y:"), "label"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
     foretold = model.associationRules.filter(F.col("consequent") == F.array(F.lit("y:block"))).filter(~F.exists("antecedent", lambda t: t.startswith("y:")))
     found = stored(foretold.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support"), "url-rules")
@@ -84,14 +86,16 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     return stored(keyed, "url-index")
 
 
-def judge(pages: DataFrame, rules: dict[str, str] = RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+def judge(pages: DataFrame, rules: dict[str, str] = RULES, seed_words: tuple[str, ...] = SEED_WORDS, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """page_id, url, host, path, rule, verdict and mined (the tokens of the surest mined rule)."""
     url = F.col("url").cast("string")
     base = pages.select("page_id", url.alias("url")).withColumns({"host": F.coalesce(host_of(F.col("url")), F.lit("")), "path": F.coalesce(path_of(F.col("url")), F.lit(""))})
     base = stored(base.withColumn("rule", decided(F.col("host"), F.col("path"), rules)), "urls")
     table_of = F.create_map(*[F.lit(x) for pair in rules.items() for x in pair])
     tokens = tokens_of(F.col("url"), F.col("host"), F.col("path"))
-    found = mined_rules(base.filter("rule is not null").select(tokens.alias("tokens"), table_of[F.col("rule")].alias("verdict")), min_support, min_confidence)
+    seeded = F.arrays_overlap("tokens", F.array(*[F.lit(f"h:{w}") for w in seed_words]).cast(_TOKENS_SCHEMA))
+    label = F.when((table_of[F.col("rule")] == "block") | seeded, F.lit("block")).otherwise(F.lit("open"))
+    found = mined_rules(base.filter("host <> ''").select("rule", tokens.alias("tokens")).select("tokens", label.alias("label")), min_support, min_confidence)
     n = found.count()
     filed = found.select("key", F.col("tokens").alias("needs"), "confidence")
     open_urls = base.filter("rule is null and url is not null and host <> ''").select("url", "host", "path").distinct().select("url", tokens.alias("tokens"))
