@@ -27,6 +27,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -279,7 +280,7 @@ def redact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(fit(docs))
 
     @F.pandas_udf("string")
-    def clean(texts):
+    def clean(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else redacted(t, all_spans(t, shared.value)[1]))
 
     out = docs.withColumn("text", clean(F.col("text").cast("string")))
