@@ -5,11 +5,11 @@ Targets. Sources in code-point order (null last) weigh 5, 2, 1, repeating, and s
 cut off is shared again by weight until no target is above its bound (water-filling).
 
 Rounding. Every document of a source is to be taken ``target / source_size`` times. The whole
-part is certain; the fraction is settled by the pivotal method: two fractions fight, mass moves
-at random from one to the other until one of them is whole, and the loser of the fraction
-fights on. That keeps each document's expected copies and the source's sum of copies. Within a
-block of documents the fights run in order of size, so that mass moves between documents of
-nearly equal size and the words taken stay close to the target.
+part is certain; the fraction is settled by the pivotal method: two fractions fight, words move
+at random from one to the other until one of them is whole, and the one that is not fights on.
+Words, not copies, are what moves: that keeps each document's expected copies and the source's
+sum of words. The fights run from long to short documents, so that what is left open in the end
+is short.
 
 Reduction tree. Documents are dealt into blocks of about ``block_rows`` by a hash of their id;
 each block leaves at most one fraction. Those are combined ``fan`` blocks at a time, level by
@@ -56,32 +56,28 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL
     return filled.select("key", "source_size", "n_docs", target.alias("target"))
 
 
-def pivotal(p: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int, float]:
+def pivotal(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, int, float]:
     """Settle the fractions ``p`` in order. Returns 0/1 per entry, and the entry that is left with
-    a fraction and that fraction (-1, 0.0 if none is left)."""
+    a fraction and that fraction (-1, 0.0 if none is left). Entries without words are drawn alone."""
     out = np.zeros(len(p), np.int64)
-    at, mass = -1, 0.0
-    for j, (q, u) in enumerate(zip(p.tolist(), draws.tolist(), strict=True)):
-        if q <= _EPS or q >= 1 - _EPS:
-            out[j] = int(q > 0.5)
+    at, own, share = -1, 0.0, 0.0  # the open entry, its size and fraction
+    for j, (q, size, u) in enumerate(zip(p.tolist(), sizes.tolist(), draws.tolist(), strict=True)):
+        if q <= _EPS or q >= 1 - _EPS or size == 0:
+            out[j] = int(u < q) if _EPS < q < 1 - _EPS else int(q > 0.5)
             continue
         if at < 0:
-            at, mass = j, q
+            at, own, share = j, size, q
             continue
-        total = mass + q
-        if total < 1:
-            if u * total < q:
-                at = j
-            mass = total
+        gain, loss = min(own * (1 - share), size * q), min(own * share, size * (1 - q))
+        moved = gain if u * (gain + loss) < loss else -loss
+        share, q = share + moved / own, q - moved / size
+        if share <= _EPS or share >= 1 - _EPS:
+            out[at], at, own, share = int(share > 0.5), j, size, q
         else:
-            if u * (2 - total) < 1 - q:
-                out[at], at = 1, j
-            else:
-                out[j] = 1
-            mass = total - 1
-        if mass <= _EPS or mass >= 1 - _EPS:
-            out[at], at, mass = int(mass > 0.5), -1, 0.0
-    return out, at, mass
+            out[j] = int(q > 0.5)
+        if share <= _EPS or share >= 1 - _EPS:
+            out[at], at = int(share > 0.5), -1
+    return out, at, share if at >= 0 else 0.0
 
 
 def _draws(n: int, *key) -> np.ndarray:
@@ -109,10 +105,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)
         first = pdf.iloc[0]
-        out, at, mass = pivotal(pdf["p"].to_numpy(float), _draws(len(pdf), seed, 0, first["key"], first["block"]))
+        out, at, share = pivotal(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), _draws(len(pdf), seed, 0, first["key"], first["block"]))
         pdf["up"] = out
         pdf["open"] = pdf.index == at
-        pdf["p"] = np.where(pdf["open"], mass, 0.0)
+        pdf["p"] = np.where(pdf["open"], share, 0.0)
         return pdf[["doc_id", "source", "key", "size", "source_size", "target", "block", "sure", "up", "open", "p"]]
 
     schema = "doc_id long, source string, key string, size long, source_size long, target double, block long, sure long, up long, open boolean, p double"
@@ -122,12 +118,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values(["size", "leaf"], ascending=False, kind="stable").reset_index(drop=True)
             draws = _draws(len(pdf) + 1, seed, level, pdf["key"].iloc[0], pdf["block"].iloc[0])
-            out, at, mass = pivotal(pdf["p"].to_numpy(float), draws[:-1])
+            out, at, share = pivotal(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), draws[:-1])
             if last and at >= 0:
-                out[at], at = int(draws[-1] < mass), -1
+                out[at], at = int(draws[-1] < share), -1
             pdf["up"] = out
             pdf["open"] = pdf.index == at
-            pdf["p"] = np.where(pdf["open"], mass, 0.0)
+            pdf["p"] = np.where(pdf["open"], share, 0.0)
             return pdf[["key", "leaf", "block", "size", "p", "up", "open"]]
 
         return run

@@ -58,11 +58,26 @@ def test_empty_zero_and_repeated(make_docs):
     assert M.mix(make_docs(["a b"] * 4, ids=[1, 1, 1, None])).count() == 4
 
 
-def test_pivotal_keeps_sum_and_probabilities():
-    p = np.array([0.3, 0.7, 0.5, 0.5, 0.25, 0.75])
-    rng, seen = np.random.default_rng(0), np.zeros(6)
-    for _ in range(4000):
-        out, at, mass = M.pivotal(p, rng.random(6))
-        assert at == -1 and out.sum() == 3
+def test_pivotal_keeps_words_and_probabilities():
+    p = np.array([0.3, 0.7, 0.5, 0.5, 0.25, 0.75, 0.4, 1.0, 0.0])
+    sizes = np.array([90.0, 40.0, 40.0, 30.0, 20.0, 10.0, 0.0, 7.0, 5.0])
+    rng, seen = np.random.default_rng(0), np.zeros(9)
+    for _ in range(6000):
+        out, at, share = M.pivotal(p, sizes, rng.random(9))
+        given = out.astype(float)
+        if at >= 0:
+            given[at] = share
+            out[at] = rng.random() < share
+        assert abs((given * sizes).sum() - (p * sizes).sum()) < 1e-6
         seen += out
-    assert np.abs(seen / 4000 - p).max() < 0.04
+    assert np.abs(seen / 6000 - p).max() < 0.04 and seen[7] == 6000 and seen[8] == 0
+
+
+def test_words_come_near_the_target(make_docs, words):
+    rng = np.random.default_rng(5)
+    texts = [words(int(n)) for n in rng.integers(1, 80, 600)] + ["w " * 2500]
+    sources = [["a", "b", "c"][i % 3] for i in range(600)] + ["c"]
+    rows = M.mix(make_docs(texts, sources=sources), block_rows=64, fan=2).collect()
+    for s in "abc":  # an open document of c may be the long one
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= (2500 if s == "c" else 80)
