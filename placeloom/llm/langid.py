@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BUCKETS, PER_LANGUAGE, LANGUAGES, UNKNOWN = 1 << 15, 600, 200, "und"
-ALPHA, BETA, L1, L2, EPOCHS, SEED = 1.0, 1.0, 0.02, 1e-3, 3, 3
+ALPHA, BETA, L1, L2, EPOCHS, SEED, SHARES = 1.0, 1.0, 0.02, 1e-3, 3, 3, 256
 #: The pipeline rejects what is less sure than this.
 REJECT_BELOW = 0.4
 _LETTERS: np.ndarray | None = None
@@ -157,8 +157,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
 
     names = sorted(r.lang for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    order = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = may.filter(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("i", order).filter(F.col("i") <= per_language).select("doc_id").distinct()
+    # the smallest hashes of each share first, so that no task gets a language's every row
+    rows = may.filter(F.col("lang").isin(names)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("share", F.pmod("h", F.lit(SHARES)))
+    for of in (("lang", "share"), ("lang",)):
+        rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*of).orderBy("h", "doc_id"))).filter(F.col("i") <= per_language)
+    chosen = rows.select("doc_id").distinct()
     sample = may.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
