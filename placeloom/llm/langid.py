@@ -32,7 +32,7 @@ from .common import table
 BUCKETS, PER_LANGUAGE, LANGUAGES, UNKNOWN = 1 << 15, 600, 200, "und"
 ALPHA, BETA, L1, L2, EPOCHS, SEED, SHARES = 1.0, 1.0, 0.02, 1e-3, 3, 3, 256
 #: The pipeline rejects what is less sure than this.
-REJECT_BELOW = 0.4
+REJECT_BELOW = 0.3
 _LETTERS: np.ndarray | None = None
 
 
