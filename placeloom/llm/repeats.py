@@ -151,7 +151,7 @@ def _phrases_with_bytes(keyed: DataFrame, wanted: DataFrame, length: int) -> Dat
     """``wanted`` (trigger, n, doc, same, start, strings, at) with each phrase's bytes."""
     of_doc = stored(wanted.groupBy("doc", "same").agg(F.collect_list(F.struct("trigger", "n", "start", "strings", "at")).alias("w")), "repeats-wanted")
     # rows of equal id and text are one here: the bytes are the same
-    once = keyed.select("doc", "same", "data").join(_sized(of_doc, wanted.count()), ["doc", "same"]).select("doc", "same", "data", "w")
+    once = keyed.select("doc", "same", "data").join(of_doc, ["doc", "same"]).select("doc", "same", "data", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,8 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, crow
     """doc_id, n_bytes, kept (binary), spans (array of start and end, removed) for each row."""
     keyed = _keyed(docs)
     found = stored(spans(keyed, length, gram, crowd).groupBy("doc", "same").agg(F.collect_set(F.struct("first", "last")).alias("found")), "repeats-spans")
-    size = found.agg(F.coalesce(F.sum(F.size("found")), F.lit(0))).first()[0]
-    joined = keyed.join(_sized(found, size), ["doc", "same"], "left").select("doc_id", "data", "found")
+    joined = keyed.join(found, ["doc", "same"], "left").select("doc_id", "data", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
