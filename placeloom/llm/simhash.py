@@ -119,11 +119,7 @@ def connected(edges: DataFrame) -> DataFrame:
     Alternates large-star and small-star steps until every edge points at a root. Each step
     aggregates minima and joins them back, so no node's neighbours meet in one row.
     """
-    spark = edges.sparkSession
-    from .common import shared_dir
-
-    shared_dir(spark)
-    edges = edges.select("u", "v").filter("u <> v").distinct()
+    edges = stored(edges.select("u", "v").filter("u <> v").distinct(), "simhash-edges")
     before = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -132,7 +128,7 @@ def connected(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
-        edges = small.filter("u <> v").distinct().checkpoint()
+        edges = stored(small.filter("u <> v").distinct(), "simhash-edges")
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
