@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,3 +43,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def lower_ascii(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, UPPER.lower())
+
+
+class Cover:
+    """The union of some spans (start, end), as disjoint spans in order."""
+
+    def __init__(self, spans) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for a, b in sorted(spans):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.starts.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> int | None:
+        """The number of the first of the spans that [a, b) overlaps, or None."""
+        i = max(bisect_left(self.starts, a) - 1, 0)
+        while i < len(self.starts) and self.starts[i] < b:
+            if a < self.ends[i]:
+                return i
+            i += 1
+        return None
+
+    def holds(self, a: int, b: int) -> bool:
+        """Whether one of the spans contains [a, b)."""
+        i = self.meets(a, b)
+        return i is not None and self.starts[i] <= a and b <= self.ends[i]

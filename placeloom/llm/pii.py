@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Cover, stored, table
 from .crf import bucket
 
 BASE = ("email", "ip", "card", "phone")
@@ -107,12 +107,9 @@ def further_candidates(text: str, base: list[tuple[str, int, int]]) -> list[tupl
         patterns = [("local_phone", _LOCAL_PHONE), ("ssn", _SSN), ("iban", _IBAN), *patterns]
     if "at]" in text or "at)" in text:
         patterns.append(("spelt_email", _SPELT))
-    taken = [(a, b) for _, a, b in base]
     for kind, pattern in patterns:
-        for m in pattern.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, b in taken):
-                found.append((kind, m.start(), m.end()))
-                taken.append((m.start(), m.end()))
+        taken = Cover((a, b) for _, a, b in base + found)
+        found += [(kind, m.start(), m.end()) for m in pattern.finditer(text) if taken.meets(m.start(), m.end()) is None]
     return found
 
 

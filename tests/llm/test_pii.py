@@ -41,6 +41,12 @@ def test_long_texts_are_linear():
         P.base_spans(t)
 
 
+def test_many_spans_in_one_text():
+    text = " ".join(f"a{i}@b.co 555-{200 + i % 700}-{1000 + i % 9000} 4111 1111 1111 1111" for i in range(20_000))
+    base = P.base_spans(text)
+    assert base == plain(text) and len(P.further_candidates(text, base)) > 0
+
+
 def test_reliabilities_find_the_good_labeler():
     # the first labeler agrees with the others' majority, the fifth says the same of everything
     patterns = [("ssn", (1, 0, 1, 0, 1, 0), 400), ("ssn", (-1, 0, 0, -1, 1, -1), 300), ("ssn", (1, 0, 0, 0, 1, 0), 100), ("ssn", (-1, 0, 0, 0, 1, 0), 100)]
