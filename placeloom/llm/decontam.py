@@ -125,17 +125,20 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, anchors: int):
     return items, picked, n_picked, index
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: int = ANCHORS) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated."""
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: int = ANCHORS, whole: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated;
+    if ``whole``, also the document's own row as the struct ``row``."""
     items, picked, n_picked, index = _prepared(docs, benchmark, n, anchors)
     found = stored(diagonals(adjusted(index, picked, n_picked)), "diagonals")
     known = found.join(items, "item").groupBy("doc").agg(F.collect_list(F.struct("diagonal", "words", "ids")).alias("hits"))
     known = stored(known, "candidates")
     size = known.agg(F.coalesce(F.sum(F.expr("aggregate(hits, 0L, (s, h) -> s + size(h.words) + 4)")), F.lit(0))).first()[0]
-    joined = docs.select("doc_id", F.col("text").cast("string").alias("text"), _doc_key().alias("doc")).join(_sized(known, size, BROADCAST_WORDS), "doc", "left")
-    worded = joined.select("doc_id", "hits", words_of(F.col("text")).alias("ws"))
+    own = ["row"] if whole else []
+    rows = docs.withColumn("row", F.struct(*docs.columns)) if whole else docs
+    joined = rows.select("doc_id", F.col("text").cast("string").alias("text"), _doc_key().alias("doc"), *own).join(_sized(known, size, BROADCAST_WORDS), "doc", "left")
+    worded = joined.select("doc_id", *own, "hits", words_of(F.col("text")).alias("ws"))
     lowered = F.when(F.col("hits").isNotNull(), F.transform("ws", lower_ascii))
-    checked = worded.select("doc_id", F.size("ws").cast("long").alias("n_words"), "hits", lowered.alias("low"))
+    checked = worded.select("doc_id", *own, F.size("ws").cast("long").alias("n_words"), "hits", lowered.alias("low"))
 
     def matched(h: Column) -> Column:
         """h with the places of the document's words that its windows hit."""
@@ -145,12 +148,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: in
         same = F.filter(starts, lambda o: F.slice(F.col("low"), h["diagonal"] + o + 1, length) == F.slice(h["words"], o + 1, length))
         return F.struct(F.flatten(F.transform(same, lambda o: F.sequence(h["diagonal"] + o, h["diagonal"] + o + length - 1))).alias("at"), h["ids"].alias("ids"))
 
-    exact = checked.select("doc_id", "n_words", F.filter(F.transform("hits", matched), lambda h: F.size(h["at"]) > 0).alias("exact"))
+    exact = checked.select("doc_id", *own, "n_words", F.filter(F.transform("hits", matched), lambda h: F.size(h["at"]) > 0).alias("exact"))
     at = F.array_distinct(F.flatten(F.transform("exact", lambda h: h["at"])))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("exact", lambda h: h["ids"]))))
-    out = exact.select("doc_id", "n_words", F.coalesce(F.size(at), F.lit(0)).alias("hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("items"))
+    out = exact.select("doc_id", *own, "n_words", F.coalesce(F.size(at), F.lit(0)).alias("hit"), F.coalesce(ids, F.array().cast("array<string>")).alias("items"))
     out = out.withColumn("hit", F.greatest("hit", F.lit(0)).cast("long"))
-    return out.select("doc_id", "n_words", F.col("hit").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("hit") > 0).alias("contaminated"))
+    return out.select("doc_id", *own, "n_words", F.col("hit").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("hit") > 0).alias("contaminated"))
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
@@ -186,7 +189,6 @@ FROM docs d LEFT JOIN places p USING (doc_id) LEFT JOIN named m USING (doc_id)
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a passage of the benchmark go.
 
-    A document without ``doc_id`` goes when any such document with an equal text is contaminated.
+    Each row stays or goes by its own text, whatever its ``doc_id``.
     """
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).filter("contaminated").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id.eqNullSafe(found.doc_id), "left_anti")
+    return contamination(docs, table(spark, sf_dir, "benchmark"), whole=True).filter(~F.col("contaminated")).select("row.*")

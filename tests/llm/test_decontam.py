@@ -56,6 +56,16 @@ def test_ids_empty_tables_and_stage(spark, make_docs, words):
     assert D.contamination(make_docs([]), bench).count() == 0
 
 
+def test_stage_judges_each_row_by_its_own_text(spark, make_docs, words, tmp_path):
+    item = words(12)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [item, "clean words here", None, item + " x", words(8), words(9)]
+    docs = make_docs(texts, ids=[None, None, None, 7, 7, 8])
+    kept = D.drop_contaminated(spark, docs, str(tmp_path))
+    assert kept.dtypes == docs.dtypes
+    assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(-1, texts[1]), (-1, ""), (7, texts[4]), (8, texts[5])])
+
+
 def test_proximity(spark, make_docs):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
     docs = make_docs(["alpha x beta", "beta then alpha", "alpha beta", "alpha " + "z " * 30 + "beta gamma delta", "gamma delta"])
