@@ -20,6 +20,14 @@ linear space.
 Edge cases: a null or empty text has fingerprint zero and links like any other; rows with equal
 ``doc_id`` each keep their row; a null ``doc_id`` gets its component's smallest id, or null when
 the component has none; extra columns are ignored.
+
+The pipeline's stage does not use fingerprints, whose distance says too little about a similarity
+of 0.8: it joins the sets of word 5-shingles exactly (``similar_texts``). Two sets with a Jaccard
+similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in any common order;
+the order is by how common a shingle's bucket is, so that common lines come last. Texts that share
+such a shingle are candidates, and their whole sets are compared. First every candidate is compared
+with the smallest text of each of its shingles; then only candidates that are not yet in one
+component are compared with each other, so that a large group of near copies costs no pairs.
 """
 
 from __future__ import annotations
@@ -36,6 +44,9 @@ from .common import stored, table
 
 SEED, SHINGLE, BUCKET_LIMIT = 42, 3, 4
 _ROWS = 1 << 16
+#: The stage: words of a shingle, least similarity as a fraction, buckets that shingles are counted in.
+STAGE_SHINGLE, STAGE_LEAST, SKETCH = 5, (4, 5), 1 << 17
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def fingerprint(text: str | bytes | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -150,12 +161,118 @@ def op10_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def shingle_set(text: str | bytes | None, shingle: int = STAGE_SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The different 64-bit hashes of a text's word shingles, in order; one hash of all words if they are fewer."""
+    data = text.encode() if isinstance(text, str) else text or b""
+    words = data.lower().split()
+    if len(words) < shingle:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64).view(np.int64)
+    h = xxhash.xxh64_intdigest
+    one = np.array([h(w, seed) for w in words], np.uint64)
+    n = len(words) - shingle + 1
+    out = one[:n].copy()
+    for k in range(1, shingle):
+        out = (out ^ (out >> np.uint64(29))) * _MIX + one[k : k + n]
+    return np.unique(((out ^ (out >> np.uint64(32))) * _MIX).view(np.int64))
+
+
+def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, seed: int = SEED) -> DataFrame:
+    """(node, grams) for each row of ``docs`` (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 1000):
+                part = batch.slice(i, 1000)
+                sets = [shingle_set(x, shingle, seed) for x in part.column(1).cast(pa.binary()).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "grams"])
+
+    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, grams array<long>")
+
+
+def _bucket_of(grams: np.ndarray) -> np.ndarray:
+    return grams & (SKETCH - 1)
+
+
+def _bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles fall in each bucket; at most SKETCH rows reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SKETCH, np.int64)
+        for batch in batches:
+            total += np.bincount(_bucket_of(batch.column(0).flatten().to_numpy()), minlength=SKETCH)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+
+    out = np.zeros(SKETCH, np.int64)
+    for r in sets.select("grams").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r.bucket] = r.n
+    return out
+
+
+def _prefixes(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """(node, n, prefix): the size of each set and the shingles of which similar sets share one."""
+    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))
+    up, down = least
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, ends = batch.column(1).flatten().to_numpy(), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()])
+            sizes, first = np.diff(ends), []
+            for a, n in zip(ends[:-1].tolist(), sizes.tolist(), strict=True):
+                grams = flat[a : a + n]
+                first.append(grams[np.lexsort((grams, counts.value[_bucket_of(grams)]))[: n + (-up * n) // down + 1]])
+            cuts = np.cumsum([0, *map(len, first)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.int64), *first])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["node", "n", "prefix"])
+
+    return sets.mapInArrow(run, "node long, n int, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose whole sets are similar enough."""
+    pairs = stored(pairs.distinct(), "near-pairs")
+    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    own = stored(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
+    met = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("met"))
+    return stored(met.filter(F.col("met") * least[1] >= (F.col("n") - F.col("met")) * least[0]).select("u", "v"), "near-edges")
+
+
+def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
+    """(node, root) of each of ``docs`` (node, text; one node for one text) that is linked to another.
+
+    Linked are all texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
+    """
+    sets = stored(shingle_sets(docs, shingle), "near-shingles")
+    fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
+    one = _prefixes(sets, least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    postings = one.select("node", "n", F.explode("prefix").alias("gram")).repartition("gram")
+    keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
+    shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "first"), "near-postings")
+    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v")), sets, least)
+    roots = stored(connected(stars), "near-roots")
+    rooted = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
+    open_ = stored(rooted.join(apart, "gram", "left_semi"), "near-open")
+    other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
+    pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
+    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v"), sets, least)))
+
+
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the row with the smallest doc_id stays.
+    """Pipeline stage: of each component of ``similar_texts``, one row stays.
 
-    Rows that repeat the kept ``doc_id`` are copies as well; one of them stays. Rows without a
-    ``doc_id`` cannot be told apart and stay.
+    It is the one with the smallest doc_id (null last), then the smallest hash of the text and of
+    the whole row.
     """
-    found = near_duplicates(docs).filter("doc_id <=> component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).filter("_kept is not null").distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.xxhash64(*[F.col(c) for c in docs.columns])
+    keys = stored(docs.select(F.xxhash64(text).alias("node"), F.col("doc_id").alias("id"), row.alias("row")), "near-keys")
+    roots = similar_texts(docs.select(F.xxhash64(text).alias("node"), text.alias("text")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "row")
+    found = keys.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("k"))
+    found = found.select(F.col("k.node").alias("_node"), F.col("k.id").alias("_id"), F.col("k.row").alias("_row"))
+    named = docs.withColumns({"_text": F.xxhash64(text), "_whole": row})
+    kept = named.join(found, (F.col("_text") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_row")), "left_semi")
+    return kept.dropDuplicates(["_text"]).select(*docs.columns)  # rows that still tie are equal

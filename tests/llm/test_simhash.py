@@ -68,3 +68,31 @@ def test_stage_keeps_one(spark, make_docs):
     kept = S.keep_one_of_each(spark, docs, "")
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 5]
+
+
+def test_stage_links_at_similarity(spark, make_docs, words):
+    """Pairs at 0.8 or more on five words go, whatever their fingerprints' distance; those below stay."""
+    base = [words(60).split() for _ in range(30)]
+    edit = lambda ws, *at: " ".join("changed" if i in at else w for i, w in enumerate(ws))
+    texts = [" ".join(b) for b in base] + [edit(b, 30) for b in base] + [edit(b, 10, 40) for b in base]
+    grams = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    similar = lambda a, b: 5 * len(grams[a] & grams[b]) >= 4 * len(grams[a] | grams[b])
+    fps = [S.fingerprint(t) for t in texts]
+    assert any(similar(i, i + 30) and (fps[i] ^ fps[i + 30]).bit_count() > 2 for i in range(30))
+    at = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if similar(a, b):
+                old, new = max(at[a], at[b]), min(at[a], at[b])
+                at = [new if x == old else x for x in at]
+    kept = {r.doc_id for r in S.keep_one_of_each(spark, make_docs(texts), "").select("doc_id").collect()}
+    assert kept == set(at) and kept & set(range(60, 90)) and not kept & set(range(30, 60))
+
+
+def test_stage_tells_rows_apart_without_ids(spark, make_docs, words):
+    """Copies without an id go like any other; different texts with one id both stay."""
+    a, b, c, d = (words(40) for _ in range(4))
+    docs = make_docs([a, a, a + " end", b, c, d, d, None, None], ids=[None, None, None, 5, 5, None, 9, None, None])
+    kept = [(r.doc_id, r.text) for r in S.keep_one_of_each(spark, docs, "").collect()]
+    assert len(kept) == 5 and {(5, b), (5, c), (9, d), (None, None)} < set(kept)
+    assert sum(i is None and (t or "").startswith(a) for i, t in kept) == 1
