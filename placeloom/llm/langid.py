@@ -14,6 +14,13 @@ most frequent), those of smallest hash; every fifth serves the temperature.
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing can be learnt; rows without ``doc_id`` are not held out and not learnt from; ties go to
 the first language by code point; extra columns are ignored.
+
+The pipeline's stage asks two things of a document, both judged by the rows set aside for the
+temperature. Its score must lie above a guess's 1/K by a share of the way to 1, so that the rule
+means the same for any number K of languages. And enough of the weight of its n-grams must fall on
+n-grams that the model knows (with a weight; with one language, seen in training): at least half
+way from what falls there by chance to what 99 % of the rows set aside reach (less than half way
+if they are few, as ``FEW`` says).
 """
 
 from __future__ import annotations
@@ -31,8 +38,8 @@ from .common import table
 
 BUCKETS, PER_LANGUAGE, LANGUAGES, UNKNOWN = 1 << 15, 600, 200, "und"
 ALPHA, BETA, L1, L2, EPOCHS, SEED, SHARES = 1.0, 1.0, 0.02, 1e-3, 3, 3, 256
-#: The pipeline rejects what is less sure than this.
-REJECT_BELOW = 0.3
+#: The pipeline rejects what is less sure than this share of the way from a guess to certainty, or than 99 % of the rows set aside.
+REJECT_BELOW, LOWEST_SHARE, FEW = 0.1, 0.01, 10
 _LETTERS: np.ndarray | None = None
 
 
@@ -70,12 +77,31 @@ def weighted(ids: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray
     return v / max(float(np.sqrt(v @ v)), 1e-12)
 
 
+def known_share(ids: np.ndarray, values: np.ndarray, known: np.ndarray) -> float:
+    """The share of a text's squared n-gram values that falls on known buckets."""
+    return float((values * values)[known[ids]].sum() / max(float(values @ values), 1e-12))
+
+
 @dataclass
 class LanguageModel:
     languages: list[str]
     weights: np.ndarray  # buckets x languages
     idf: np.ndarray
     temperature: float
+    known: np.ndarray | None = None  # buckets that the model has learnt something about
+    least_known: float = 0.0
+    least_margin: float = REJECT_BELOW
+
+    def margin(self, score: float) -> float:
+        """Where a score lies between a guess (0) and certainty (1)."""
+        k = len(self.languages)
+        return 1.0 if k == 1 else (score - 1 / k) / (1 - 1 / k)
+
+    def sure(self, text: str | None) -> bool:
+        found = gram_counts(text)
+        if found is None or not self.languages:
+            return False
+        return known_share(found[0], weighted(*found, self.idf), self.known) >= self.least_known and self.margin(self.predict(text)[1]) >= self.least_margin
 
     def probabilities(self, text: str | None) -> np.ndarray | None:
         found = gram_counts(text)
@@ -184,7 +210,26 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     train, rest = [d for i, d in enumerate(data) if i % 5], [d for i, d in enumerate(data) if i % 5 == 0]
     weights = ftrl(train, max(len(names_kept), 1))
     logits = np.array([x @ weights[ids] for ids, x, _ in rest]).reshape(len(rest), weights.shape[1])
-    return LanguageModel(names_kept, weights.astype(np.float32), idf.astype(np.float32), fitted_temperature(logits, np.array([y for _, _, y in rest], np.int64)))
+    y = np.array([y for _, _, y in rest], np.int64)
+    model = LanguageModel(names_kept, weights.astype(np.float32), idf.astype(np.float32), fitted_temperature(logits, y))
+    return with_limits(model, train, rest, logits)
+
+
+def with_limits(model: LanguageModel, train: list, rest: list, logits: np.ndarray) -> LanguageModel:
+    """``model`` with what the pipeline asks of a document, by the rows ``rest`` that the weights have not seen."""
+    model.known = (model.weights != 0).any(axis=1)
+    if len(model.languages) < 2:
+        for ids, _, _ in train:
+            model.known[ids] = True
+    if rest and model.languages:
+        by_chance = float(model.known.mean())
+        usual = float(np.quantile([known_share(ids, x, model.known) for ids, x, _ in rest], LOWEST_SHARE))
+        trust = len(rest) / (len(rest) + FEW)
+        model.least_known = min(by_chance + trust * (usual - by_chance) / 2, usual)
+        p = np.exp((logits - logits.max(axis=1, keepdims=True)) / model.temperature)
+        margins = [model.margin(float(s)) for s in p.max(axis=1) / p.sum(axis=1)]
+        model.least_margin = max(min(REJECT_BELOW, float(np.quantile(margins, LOWEST_SHARE))), 1e-6)
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -205,12 +250,12 @@ def op3_language_id(spark, sf_dir: str) -> DataFrame:
 
 
 def reject_unsure(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter, or of no sure language, go."""
+    """Pipeline stage: documents without a letter, of no sure language or of none that was learnt, go."""
     model = fit(docs)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: (lambda p: p[0] != UNKNOWN and p[1] >= REJECT_BELOW)(shared.value.predict(t))).astype(bool)
+        return pd.Series([shared.value.sure(t) for t in texts], dtype=bool)
 
     return docs.filter(good(F.col("text").cast("string")))

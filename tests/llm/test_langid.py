@@ -47,6 +47,20 @@ def test_nothing_to_learn_and_stage(spark, make_docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(200))
 
 
+def test_stage_rejects_what_was_not_learnt(spark, make_docs):
+    """Texts in unseen scripts go, however many languages there are."""
+    foreign = ["Это совершенно другой язык, и его никто не учил", "这是一个完全不同的语言文本", "ελληνικό κείμενο", "абв", "Ο"]
+    texts, langs = some_docs(300)
+    rng = random.Random(8)
+    texts += [" ".join("".join(rng.choice(["xñ", "zo", "ij", "ka", "øv"]) for _ in range(3)) for _ in range(20)) for _ in range(75)]
+    langs += ["xx"] * 75
+    for n in (1, 2, 3, 4):
+        own = [t for t, x in zip(texts, langs, strict=True) if x in ["en", "de", "fr", "xx"][:n]]
+        docs = make_docs(own + foreign, langs=[x for x in langs if x in ["en", "de", "fr", "xx"][:n]] + [None] * len(foreign))
+        kept = {r.doc_id for r in L.reject_unsure(spark, docs, "").select("doc_id").collect()}
+        assert kept == set(range(len(own))), n
+
+
 def test_temperature():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(4000, 3))
