@@ -13,7 +13,8 @@ forms and the like, are article), and ``MADE_UP`` pages drawn with a set seed fr
 layouts, with and without such elements.
 
 Edge cases: null or empty html gives an empty text; unclosed and truncated markup is read as far
-as it goes; text outside any element is a block; a page without article blocks gives an empty
+as it goes, past unknown declarations too; a body, text or any other flow content ends a head that
+was left open, and ``/>`` closes svg and math; text outside any element is a block; a page without article blocks gives an empty
 text; repeated rows get equal rows; an empty table gives an empty result.
 """
 
@@ -43,6 +44,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HIDDEN = frozenset("script style template noscript head title iframe object svg math canvas audio video".split())
 #: Elements that an opening tag of the same kind, or of the kinds named, ends.
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
+#: What may stand in a head; anything else ends a head that was left open.
+HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
+#: Elements that "/>" closes.
+FOREIGN = frozenset(("svg", "math"))
+_SECTION = re.compile(r"<!\[(temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-zA-Z0-9])", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
 _ASIDE_TAGS = frozenset("nav aside footer form button select textarea dialog menu".split())
@@ -71,7 +77,18 @@ class _Blocks(HTMLParser):
             self.links -= tag == "a"
         del self.path[to:]
 
+    def _end_head(self, tag: str | None = None) -> None:
+        """Close an open head before what cannot stand in it; a body closes it from any depth."""
+        if tag == "body":
+            for i, (name, _) in enumerate(self.path):
+                if name == "head":
+                    self._pop(i)
+                    return
+        elif self.path and self.path[-1][0] == "head" and tag not in HEAD:
+            self._pop(len(self.path) - 1)
+
     def handle_starttag(self, tag: str, attrs) -> None:
+        self._end_head(tag)
         if tag not in INLINE:
             self._end_block()
             if closes := _CLOSES.get(tag, {"p"} if tag not in INLINE else None):
@@ -91,6 +108,14 @@ class _Blocks(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
+        if tag in FOREIGN:
+            self._pop(len(self.path) - 1)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Sections of an unknown or missing key word are bogus comments; the parser gives up on them."""
+        if self.rawdata.startswith("<![", i) and not _SECTION.match(self.rawdata, i):
+            return self.parse_bogus_comment(i)
+        return super().parse_html_declaration(i)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in INLINE:
@@ -103,6 +128,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if not data.isspace():
+            self._end_head()
         if not self.hidden:
             self.parts.append(data)
             if self.links:
@@ -112,11 +139,8 @@ class _Blocks(HTMLParser):
 def blocks(html: str | None) -> list[tuple[str, int, tuple]]:
     """The leaf blocks in page order: text, characters inside links, ancestors (tag, words)."""
     reader = _Blocks()
-    try:
-        reader.feed(html or "")
-        reader.close()
-    except AssertionError:  # the parser gives up on some broken declarations
-        pass
+    reader.feed(html or "")
+    reader.close()
     reader._end_block()
     return reader.blocks
 

@@ -1,3 +1,5 @@
+import random
+
 from placeloom.llm import html as H
 
 PAGE = """<!DOCTYPE html><html lang="en"><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
@@ -15,6 +17,27 @@ def test_blocks():
     assert H.blocks("<div>" * 3000 + "deep")[0][0] == "deep"
 
 
+def test_open_heads_and_self_closed_graphics():
+    texts = lambda html: [b[0] for b in H.blocks(html)]
+    assert texts("<html><head><title>T</title><meta charset=utf-8><body><p>a</p><p>b</p></body></html>") == ["a", "b"]
+    assert texts("<head><style>x{}</style><script>var a;</script><div>a</div><p>b") == texts("<head><noscript>n<body><div>a</div><p>b") == ["a", "b"]
+    assert texts("<head> <title>T</title> loose <b>text</b>") == ["loose text"]
+    assert texts("<head><title>T</title></head><body>a</body>") == ["a"]
+    assert texts("<div><p>a</p><svg/><p>b</p><math /><p>c</p></div>d") == list("abcd")
+    assert texts("<div><svg><path/><text>x</text></svg>a</div>b") == ["a", "b"]
+
+
+def test_unknown_sections_are_skipped():
+    texts = lambda html: [b[0] for b in H.blocks(html)]
+    for broken in ("<![foo[ x ]]>", "<![ if x]>", "<![]>", "<![[x]>", "<![if IE]>", "<![endif]>", "<![CDATA[x]]>", "<!foo>", "<!>"):
+        assert texts(f"<p>a</p>{broken}<p>b</p>") == ["a", "b"], broken
+    rng = random.Random(4)
+    parts = ["<![", "<!", "[", "]", "]]>", ">", "<", "foo", "CDATA", "if", "<p>", "</p>", "--", " ", "&", "/", "<?", "\"", "include", "<svg", "\n"]
+    for _ in range(20_000):
+        broken = "".join(rng.choice(parts) for _ in range(rng.randint(1, 8)))
+        assert texts(f"<p>a</p>{broken}")[:1] == ["a"], broken
+
+
 def test_query_and_held_out_pages(spark):
     made = H.made_up(300, seed=99)
     rows = [(0, "u", PAGE, "x"), (1, None, None, "x"), (2, "u", "", "x"), (3, "u", PAGE.replace("</article>", "")[:600], "x"), (4, "u", PAGE, "x")]
