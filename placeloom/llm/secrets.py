@@ -2,13 +2,14 @@
 
 Base spans are the leftmost non-overlapping matches of the fixed patterns ``assign``, ``access``
 and ``hex``; a match that fails its length condition is dropped. The CRF (states outside, begin,
-inside) tags tokens: runs of ``[A-Za-z0-9+/_=-]``. Only tokens of ten or more characters with a
-digit may begin or continue a secret; every other token is outside by constraint, so it cuts the
-chain, and decoding the pieces between such tokens by Viterbi equals decoding the whole text.
-Features are the token's shape, its neighbouring words and marks, and features of the whole file.
-
-Training. The model learns from at most ``TRAIN_CHAINS`` chains, those of smallest hash among
-documents that hold a key word of the patterns (their base spans are the labels), and from a
+inside) tags tokens: runs of ``[A-Za-z0-9+/_=-]``. Only tokens of ten or more characters, whatever
+characters these are, may begin or continue a secret; every shorter token is outside by constraint.
+Such a token cuts the chain, and nothing else does: tokens with no shorter one between them are
+decoded together. A cut drops the moves to and from the constrained token, so decoding the pieces
+is this model's definition, not the same as decoding a chain over all tokens. Features are the token's shape, its neighbouring words and marks, and features of the whole file.
+
+Training. The model learns from at most ``TRAIN_CHAINS`` chains (long ones in pieces of
+``TRAIN_TOKENS``), those of smallest hash among documents that hold a key word of the patterns (their base spans are the labels), and from a
 fixed number of made-up assignments, tokens and harmless numbers drawn with a set seed.
 
 Offsets count code points, ends are exclusive. Edge cases: a null text counts as empty and has no
@@ -39,9 +40,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ finds them, of 16 or more
 KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TRAIN_CHAINS, MADE_UP, BUCKETS, SEED, LEAST = 4000, 1500, 1 << 14, 11, 10
+TRAIN_TOKENS = 64
 O, B, I = range(3)
 _CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _FROM_DIGIT = re.compile(r"[0-9][A-Za-z0-9+/_=-]*")
+_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
+_LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _WORD = re.compile(r"[^\W_]+")
 _KINDS_OF = re.compile(r"(?P<u>[A-Z]+)|(?P<l>[a-z]+)|(?P<d>[0-9]+)|(?P<s>[^A-Za-z0-9]+)")
 
@@ -101,15 +105,20 @@ def features(text: str, start: int, end: int, of_file: list[str]) -> list[str]:
     return out
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Maximal runs of token characters of LEAST or more, with or without a digit."""
+    return [m.span() for m in _LONG.finditer(text)]
+
+
 def chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]]]]:
-    """Runs of tokens that only a dot, colon or tilde separates, with their features."""
-    found = tokens(text)
+    """Runs of candidates with no other token between them, with their features."""
+    found = candidates(text)
     if not found:
         return
     of_file = file_features(text, len(found))
     at = 0
     for i in range(1, len(found) + 1):
-        if i == len(found) or text[found[i - 1][1] : found[i][0]] not in (".", ":", "~"):
+        if i == len(found) or _TOKEN.search(text, found[i - 1][1], found[i][0]):
             spans = found[at:i]
             yield spans, [features(text, *s, of_file) for s in spans]
             at = i
@@ -128,6 +137,7 @@ def tags_of(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> lis
 def made_up(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]]]]:
     """Texts with the spans of their secrets, drawn with a set seed."""
     rng = random.Random(seed)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
     alnum, upper, digit, hexa = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "0123456789", "0123456789abcdef"
     some = lambda chars, k: "".join(rng.choice(chars) for _ in range(k))
     word = lambda: some("abcdefghilmnoprstu", rng.randint(2, 9))
@@ -142,6 +152,7 @@ def made_up(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]]]]
             lambda: name + " \0" + ".".join("e" + some(alnum, rng.randint(18, 40)) + "5" for _ in range(3)) + "\1",
             lambda: name + "=\0" + some(alnum + "+/", rng.randint(30, 60)) + "9==\1",
             lambda: "\0AKIA" + some(upper, 15) + "2\1",
+            lambda: name + rng.choice([": ", "=", ' = "', " "]) + rng.choice(["", "Bearer ", "bearer "]) + "\0" + some(letters, rng.randint(20, 44)) + "\1",
             lambda: rng.choice(["token = \"", "password=", "secret: "]) + "\0" + some(hexa, rng.choice([18, 32, 40])) + "0\1",
         ]
         bad = [
@@ -156,6 +167,12 @@ def made_up(n: int, seed: int = SEED) -> list[tuple[str, list[tuple[int, int]]]]
             lambda: f"{rng.choice(['INV', 'ORD', 'REF', 'PO'])}-{rng.randint(2000, 2030)}-{some(digit, rng.randint(4, 8))}",
             lambda: f"{rng.choice(['IMG', 'image', 'chapter', 'figure', 'version'])}_{some(digit, rng.randint(3, 8))}_{word()}",
             lambda: word() + word() + word() + rng.choice(digit),
+            lambda: " ".join(some("abcdefghilmnoprstu", rng.randint(10, 22)) for _ in range(rng.randint(1, 4))),
+            lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 5))) + rng.choice(["", "Error", "Service"]),
+            lambda: rng.choice("-_/").join(word() for _ in range(rng.randint(3, 5))),
+            lambda: rng.choice(["=", "-", "_"]) * rng.randint(10, 60),
+            lambda: some("ABCDEFGHILMNOPRSTU", rng.randint(10, 16)),
+            lambda: name + rng.choice([": ", " ", " is "]) + some("abcdefghilmnoprstu", rng.randint(10, 18)),
             lambda: f"{rng.choice(['x', 'v'])}86-{some(digit, 2)}-{word()}-{word()}",
         ]
         text = prose() + " " + rng.choice(good if i % 2 else bad)() + rng.choice([" ", "\n", '" ', ". "]) + prose()
@@ -173,8 +190,11 @@ def fit(docs: DataFrame, train_chains: int = TRAIN_CHAINS, n_made_up: int = MADE
             for text in batch.column(0).to_pylist():
                 known = [(a, b) for _, a, b in base_spans(text)]
                 for spans, feats in chains(text):
-                    row = json.dumps([feats, tags_of(spans, known)])
-                    rows.append((int.from_bytes(hashlib.blake2b(row.encode(), digest_size=8).digest(), "big", signed=True), row))
+                    tags = tags_of(spans, known)
+                    for i in range(0, len(spans), TRAIN_TOKENS):
+                        piece = tags[i : i + TRAIN_TOKENS]
+                        row = json.dumps([feats[i : i + TRAIN_TOKENS], [B if piece[0] == I else piece[0], *piece[1:]]])
+                        rows.append((int.from_bytes(hashlib.blake2b(row.encode(), digest_size=8).digest(), "big", signed=True), row))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["h", "row"])
 
     text = F.col("text").cast("string")
