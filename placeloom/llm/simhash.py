@@ -46,6 +46,8 @@ SEED, SHINGLE, BUCKET_LIMIT = 42, 3, 4
 _ROWS = 1 << 16
 #: The stage: words of a shingle, least similarity as a fraction, buckets that shingles are counted in.
 STAGE_SHINGLE, STAGE_LEAST, SKETCH = 5, (4, 5), 1 << 17
+#: Tables of ids are broadcast up to so many rows.
+BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -229,11 +231,16 @@ def _prefixes(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     return sets.mapInArrow(run, "node long, n int, prefix array<long>")
 
 
+def _sized(df: DataFrame) -> DataFrame:
+    """``df``, which is stored, for a join that need not shuffle the other side if ``df`` is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (u, v) whose whole sets are similar enough."""
     pairs = stored(pairs.distinct(), "near-pairs")
-    nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    own = stored(sets.join(nodes, "node", "left_semi").dropDuplicates(["node"]), "near-sets")
+    nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
+    own = stored(sets.join(_sized(nodes), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     both = pairs.join(own.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
     met = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("met"))
     return stored(met.filter(F.col("met") * least[1] >= (F.col("n") - F.col("met")) * least[0]).select("u", "v"), "near-edges")
@@ -270,9 +277,11 @@ def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.xxhash64(*[F.col(c) for c in docs.columns])
     keys = stored(docs.select(F.xxhash64(text).alias("node"), F.col("doc_id").alias("id"), row.alias("row")), "near-keys")
     roots = similar_texts(docs.select(F.xxhash64(text).alias("node"), text.alias("text")))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "row")
+    keys = keys.groupBy("node", "id", "row").agg(F.count("*").alias("rows"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "row", "rows")
     found = keys.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("k"))
-    found = found.select(F.col("k.node").alias("_node"), F.col("k.id").alias("_id"), F.col("k.row").alias("_row"))
+    found = stored(found.select(F.col("k.node").alias("_node"), F.col("k.id").alias("_id"), F.col("k.row").alias("_row"), F.col("k.rows").alias("_rows")), "near-kept")
     named = docs.withColumns({"_text": F.xxhash64(text), "_whole": row})
-    kept = named.join(found, (F.col("_text") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_row")), "left_semi")
-    return kept.dropDuplicates(["_text"]).select(*docs.columns)  # rows that still tie are equal
+    kept = named.join(_sized(found), (F.col("_text") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_row")))
+    same = kept.filter("_rows > 1").dropDuplicates(["_text"])  # rows that still tie are equal
+    return kept.filter("_rows = 1").unionByName(same).select(*docs.columns)
