@@ -237,8 +237,15 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose whole sets are similar enough."""
-    pairs = stored(pairs.distinct(), "near-pairs")
+    """Those of ``pairs`` (u, v, their sizes n, m; a row for each shared shingle) whose whole sets are similar enough.
+
+    In the common order one of the prefixes ends first, and its shingles can only meet the other
+    prefix; so the sets share at most the rows counted and what follows that prefix.
+    """
+    up, down = least
+    after = F.ceil(F.greatest("n", "m") * up / down) - 1
+    pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("met")).filter((F.col("met") + after) * (up + down) >= (F.col("n") + F.col("m")) * up)
+    pairs = stored(pairs.select("u", "v"), "near-pairs")
     nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
     own = stored(sets.join(_sized(nodes), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
     both = pairs.join(own.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
@@ -257,14 +264,14 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
     postings = one.select("node", "n", F.explode("prefix").alias("gram")).repartition("gram")
     keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
     shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "first"), "near-postings")
-    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v")), sets, least)
+    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "n", F.col("first.n").alias("m")), sets, least)
     roots = stored(connected(stars), "near-roots")
     rooted = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
     open_ = stored(rooted.join(apart, "gram", "left_semi"), "near-open")
     other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
     pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
-    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v"), sets, least)))
+    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v", "n", "m"), sets, least)))
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
