@@ -236,42 +236,53 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """Those of ``pairs`` (u, v, their sizes n, m; a row for each shared shingle) whose whole sets are similar enough.
 
     In the common order one of the prefixes ends first, and its shingles can only meet the other
-    prefix; so the sets share at most the rows counted and what follows that prefix.
+    prefix; so the sets share at most the rows counted and what follows that prefix. Texts are moved
+    to the pairs, not sets: they are the smaller.
     """
     up, down = least
     after = F.ceil(F.greatest("n", "m") * up / down) - 1
     pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("met")).filter((F.col("met") + after) * (up + down) >= (F.col("n") + F.col("m")) * up)
     pairs = stored(pairs.select("u", "v"), "near-pairs")
     nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
-    own = stored(sets.join(_sized(nodes), "node", "left_semi").dropDuplicates(["node"]), "near-sets")
-    both = pairs.join(own.select(F.col("node").alias("u"), F.col("grams").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("grams").alias("b")), "v")
-    met = both.select("u", "v", (F.size("a") + F.size("b")).alias("n"), F.size(F.array_intersect("a", "b")).alias("met"))
-    return stored(met.filter(F.col("met") * least[1] >= (F.col("n") - F.col("met")) * least[0]).select("u", "v"), "near-edges")
+    own = stored(docs.join(_sized(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
+    both = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)  # rows of one v often stand together
+        for batch in batches:
+            keep = []
+            for a, v, b in zip(*(batch.column(c).to_pylist() for c in ("a", "v", "b")), strict=True):
+                one, last = shingle_set(a, shingle), last if last[0] == v else (v, shingle_set(b, shingle))
+                met = len(np.intersect1d(one, last[1], assume_unique=True))
+                keep.append(met * down >= (len(one) + len(last[1]) - met) * up)
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-edges")
 
 
 def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
     """(node, root) of each of ``docs`` (node, text; one node for one text) that is linked to another.
 
-    Linked are all texts whose sets of shingles have a Jaccard similarity of ``least`` or more.
+    Linked are all texts whose sets of shingles have a Jaccard similarity of ``least`` or more. The
+    sets are made again where they are read: they are larger than the texts.
     """
-    sets = stored(shingle_sets(docs, shingle), "near-shingles")
     fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
-    one = _prefixes(sets, least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    one = _prefixes(shingle_sets(docs, shingle), least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = one.select("node", "n", F.explode("prefix").alias("gram")).repartition("gram")
     keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
     shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "first"), "near-postings")
-    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "n", F.col("first.n").alias("m")), sets, least)
+    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "n", F.col("first.n").alias("m")), docs, shingle, least)
     roots = stored(connected(stars), "near-roots")
     rooted = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
     open_ = stored(rooted.join(apart, "gram", "left_semi"), "near-open")
     other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
     pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
-    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v", "n", "m"), sets, least)))
+    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v", "n", "m"), docs, shingle, least)))
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
