@@ -49,7 +49,7 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-LENGTH, WINDOW, GRAM, WORDS, CROWD, BROADCAST_ROWS = 400, 256, 56, 50, 20_000, 400_000
+LENGTH, WINDOW, GRAM, WORDS, CROWD = 400, 256, 56, 50, 20_000
 #: What a run of places says: all strings there are repeated, those of LENGTH bytes are, those of WORDS words are.
 WHOLE, LONG, PASSAGE = range(3)
 _NO_ID = -(1 << 63)
@@ -165,10 +165,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return own.select("doc", F.shiftleft(F.xxhash64("data", F.lit(7)), 1).bitwiseOR(F.col("none")).alias("same"), "data")
 
 
-def _sized(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def occurrences(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """One row per phrase of each document: trigger, name, doc, same, start, places, at."""
 
@@ -270,9 +266,9 @@ def spans(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: in
     dictionary = stored(occ.groupBy("trigger", "name").agg(F.count("*").alias("n"), *one), "repeats-dictionary")
     again = dictionary.filter("n > 1").select("trigger", "name")
     lits = lambda kind, *cols: (F.lit(kind).alias("kind"), *cols)
-    whole = occ.join(_sized(again, again.count()), ["trigger", "name"]).select("doc", "same", *lits(WHOLE, F.col("start").alias("first"), (F.col("start") + F.col("places") - 1).alias("last")))
+    whole = occ.join(again, ["trigger", "name"]).select("doc", "same", *lits(WHOLE, F.col("start").alias("first"), (F.col("start") + F.col("places") - 1).alias("last")))
     shared = dictionary.groupBy("trigger").agg(F.count("*").alias("k")).filter("k > 1")
-    wanted = stored(dictionary.drop("name").join(_sized(shared, shared.count()), "trigger"), "repeats-shared")
+    wanted = stored(dictionary.drop("name").join(shared, "trigger"), "repeats-shared")
 
     def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def give(rows):
