@@ -11,8 +11,11 @@ All steps are DataFrame operations.
    document. Intersecting the offset-adjusted lists keeps the diagonals on which at least as many
    picked terms meet as a window picks.
 5. Exact check: along each diagonal the words are compared, and the windows that agree in every
-   word are hits. ``proximity_matches`` instead returns where picked terms lie within ``slop``
-   words of their places in the item.
+   word are hits.
+6. Proximity. A posting of a picked term is a near match if another picked term of the item stands
+   in the document within ``slop`` words of where the item would have it beside the first. All
+   pairs of postings within the range count (two window counts over the sorted diagonals), not
+   only neighbouring ones.
 
 Terms are hashed after full lower-casing, which merges at least the words that are equal after
 lower-casing A-Z; the exact check separates the rest. Test items are broadcast only while their
@@ -20,7 +23,8 @@ count is below ``BROADCAST_ROWS``; beyond, the same joins shuffle.
 
 Edge cases: a null text has no words, and neither has one without word characters; items without
 words never occur; equal items share one index entry and are each reported; rows with equal or
-null ``doc_id`` are each checked on their own text; a null ``item_id`` is listed as ``null``;
+null ``doc_id`` are each checked on their own text (rows are told apart by id and hash of the text,
+so rows without id never meet in one group unless their texts are equal); a null ``item_id`` is listed as ``null``;
 empty tables and extra columns are fine.
 """
 
@@ -34,7 +38,7 @@ from .common import lower_ascii, stored, table
 
 #: what is no word character, before and after lower-casing
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-N, ANCHORS, BROADCAST_ROWS, BROADCAST_WORDS = 10, 2, 500_000, 2_000_000
+N, ANCHORS, SLOP, BROADCAST_ROWS, BROADCAST_WORDS = 10, 2, 3, 500_000, 2_000_000
 _NO_ID = -(1 << 63)
 
 
@@ -51,8 +55,9 @@ def _sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
-def _doc_key(doc_id: str = "doc_id") -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
+def _key() -> tuple[Column, Column]:
+    """doc and same: equal for rows of equal id and text only."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64(F.col("text").cast("string")).alias("same")
 
 
 def distinct_items(benchmark: DataFrame) -> DataFrame:
@@ -63,8 +68,8 @@ def distinct_items(benchmark: DataFrame) -> DataFrame:
 
 
 def _positions(docs: DataFrame) -> DataFrame:
-    words = docs.select(_doc_key().alias("doc"), words_of(F.col("text").cast("string")).alias("ws"))
-    return words.select("doc", F.posexplode("ws").alias("pos", "word")).select("doc", "pos", term(F.col("word")).alias("term"))
+    words = docs.select(*_key(), words_of(F.col("text").cast("string")).alias("ws"))
+    return words.select("doc", "same", F.posexplode("ws").alias("pos", "word")).select("doc", "same", "pos", term(F.col("word")).alias("term"))
 
 
 def term_counts(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
@@ -88,31 +93,34 @@ def picked_terms(items: DataFrame, counts: DataFrame, n: int = N, anchors: int =
 
 
 def build_index(docs: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
-    """The stored postings (term, doc, pos) of the terms given."""
-    return stored(_positions(docs).join(_sized(terms, n_terms), "term").select("term", "doc", "pos"), "postings")
+    """The stored postings (term, doc, same, pos) of the terms given."""
+    return stored(_positions(docs).join(_sized(terms, n_terms), "term").select("term", "doc", "same", "pos"), "postings")
 
 
 def adjusted(index: DataFrame, picked: DataFrame, n_picked: int) -> DataFrame:
-    """(doc, item, diagonal, at, need): postings moved by their term's place in an item."""
-    return index.join(_sized(picked, n_picked), "term").select("doc", "item", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "need")
+    """(doc, same, item, diagonal, at, need): postings moved by their term's place in an item."""
+    return index.join(_sized(picked, n_picked), "term").select("doc", "same", "item", (F.col("pos") - F.col("at")).alias("diagonal"), "at", "need")
 
 
 def diagonals(moved: DataFrame) -> DataFrame:
-    """(doc, item, diagonal) on which enough of the offset-adjusted lists meet."""
-    met = moved.groupBy("doc", "item", "diagonal").agg(F.count("*").alias("met"), F.min("need").alias("need"))
-    return met.filter("met >= need").select("doc", "item", "diagonal")
+    """(doc, same, item, diagonal) on which enough of the offset-adjusted lists meet."""
+    met = moved.groupBy("doc", "same", "item", "diagonal").agg(F.count("*").alias("met"), F.min("need").alias("need"))
+    return met.filter("met >= need").select("doc", "same", "item", "diagonal")
 
 
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int, n: int = N, anchors: int = ANCHORS) -> DataFrame:
-    """(doc_id, item_id, pos, distance): neighbouring occurrences of different picked terms of an
-    item whose distance differs by at most ``slop`` from the one they have in the item."""
+def near(moved: DataFrame, slop: int = SLOP) -> DataFrame:
+    """(doc, same, item, pos, partners): postings of ``moved`` that have postings of other picked terms
+    of the item within ``slop`` words of their places, and how many."""
+    around = lambda *by: Window.partitionBy("doc", "same", "item", *by).orderBy("diagonal").rangeBetween(-slop, slop)
+    counted = moved.withColumn("partners", F.count("*").over(around()) - F.count("*").over(around("at")))
+    return counted.filter("partners > 0").select("doc", "same", "item", (F.col("diagonal") + F.col("at")).alias("pos"), "partners")
+
+
+def proximity_matches(docs: DataFrame, benchmark: DataFrame, slop: int = SLOP, n: int = N, anchors: int = ANCHORS) -> DataFrame:
+    """(doc_id, item_id, pos, partners): where a picked term of an item is a near match."""
     items, picked, n_picked, index = _prepared(docs, benchmark, n, anchors)
-    moved = adjusted(index, picked, n_picked)
-    one = Window.partitionBy("doc", "item").orderBy("diagonal", "at")
-    near = moved.withColumns({"d0": F.lag("diagonal").over(one), "a0": F.lag("at").over(one)}).filter(F.col("a0").isNotNull() & (F.col("a0") != F.col("at")) & (F.col("diagonal") - F.col("d0") <= slop))
-    return near.join(items, "item").select(
-        F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), F.explode("ids").alias("item_id"), (F.col("diagonal") + F.col("at")).alias("pos"), (F.col("diagonal") - F.col("d0")).alias("distance")
-    )
+    found = near(adjusted(index, picked, n_picked), slop).groupBy("doc", "item", "pos").agg(F.max("partners").alias("partners"))
+    return found.join(items, "item").select(F.when(F.col("doc") != _NO_ID, F.col("doc")).alias("doc_id"), F.explode("ids").alias("item_id"), "pos", "partners")
 
 
 def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, anchors: int):
@@ -125,17 +133,22 @@ def _prepared(docs: DataFrame, benchmark: DataFrame, n: int, anchors: int):
     return items, picked, n_picked, index
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: int = ANCHORS, whole: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: int = ANCHORS, whole: bool = False, slop: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items (ids), items_sha256, contaminated;
-    if ``whole``, also the document's own row as the struct ``row``."""
+    if ``whole``, also the document's own row as the struct ``row``; with a ``slop`` also n_near, the
+    number of its words that are near matches of some item."""
     items, picked, n_picked, index = _prepared(docs, benchmark, n, anchors)
-    found = stored(diagonals(adjusted(index, picked, n_picked)), "diagonals")
-    known = found.join(items, "item").groupBy("doc").agg(F.collect_list(F.struct("diagonal", "words", "ids")).alias("hits"))
+    moved = adjusted(index, picked, n_picked)
+    known = diagonals(moved).join(items, "item").groupBy("doc", "same").agg(F.collect_list(F.struct("diagonal", "words", "ids")).alias("hits"))
     known = stored(known, "candidates")
     size = known.agg(F.coalesce(F.sum(F.expr("aggregate(hits, 0L, (s, h) -> s + size(h.words) + 4)")), F.lit(0))).first()[0]
     own = ["row"] if whole else []
     rows = docs.withColumn("row", F.struct(*docs.columns)) if whole else docs
-    joined = rows.select("doc_id", F.col("text").cast("string").alias("text"), _doc_key().alias("doc"), *own).join(_sized(known, size, BROADCAST_WORDS), "doc", "left")
+    joined = rows.select("doc_id", F.col("text").cast("string").alias("text"), *_key(), *own).join(_sized(known, size, BROADCAST_WORDS), ["doc", "same"], "left")
+    if slop is not None:
+        close = stored(near(moved, slop).groupBy("doc", "same").agg(F.countDistinct("pos").alias("n_near")), "near-matches")
+        joined = joined.join(_sized(close, close.count()), ["doc", "same"], "left").withColumn("n_near", F.coalesce("n_near", F.lit(0)).cast("long"))
+        own.append("n_near")
     worded = joined.select("doc_id", *own, "hits", words_of(F.col("text")).alias("ws"))
     lowered = F.when(F.col("hits").isNotNull(), F.transform("ws", lower_ascii))
     checked = worded.select("doc_id", *own, F.size("ws").cast("long").alias("n_words"), "hits", lowered.alias("low"))
@@ -157,7 +170,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = N, anchors: in
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=SLOP).drop("items")
 
 
 OP1_SQL = r"""
@@ -175,14 +188,36 @@ WITH docs AS (
   FROM (SELECT doc_id, ws, n, unnest(range(0, len(ws) - n + 1)) AS o FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(ws) >= n)
 ), hits AS (
   SELECT g.doc_id, g.o, g.n, w.item_id FROM grams g JOIN windows w ON g.n = w.n AND g.phrase = w.phrase
+), tokens AS (
+  SELECT doc_id, lower(unnest(ws)) AS term, generate_subscripts(ws, 1) - 1 AS pos FROM docs
+), sequences AS (
+  SELECT ws, row_number() OVER () AS item FROM (SELECT DISTINCT ws FROM items WHERE len(ws) > 0)
+), terms AS (
+  SELECT DISTINCT lower(unnest(ws)) AS term FROM sequences
+), counts AS (
+  SELECT term, count(*) AS n FROM tokens JOIN terms USING (term) GROUP BY term
+), slots AS (
+  SELECT item, w, unnest(range(0, least(10, len(ws)))) AS off, lower(unnest(ws[w + 1 : w + least(10, len(ws))])) AS term
+  FROM (SELECT item, ws, unnest(range(0, len(ws) - least(10, len(ws)) + 1)) AS w FROM sequences)
+), ranked AS (
+  SELECT item, w, off, term, row_number() OVER (PARTITION BY item, w ORDER BY n ASC NULLS FIRST, off) AS r, count(*) OVER (PARTITION BY item, w) - count(n) OVER (PARTITION BY item, w) AS absent
+  FROM slots LEFT JOIN counts USING (term)
+), picked AS (
+  SELECT DISTINCT term, item, w + off AS spot FROM ranked WHERE absent = 0 AND r <= 2
+), moved AS (
+  SELECT doc_id, item, spot, pos, pos - spot AS diagonal FROM tokens JOIN picked USING (term)
+), partnered AS (
+  SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, item ORDER BY diagonal RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) - count(*) OVER (PARTITION BY doc_id, item, spot ORDER BY diagonal RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS partners FROM moved
+), close AS (
+  SELECT doc_id, count(DISTINCT pos) AS n_near FROM partnered WHERE partners > 0 GROUP BY doc_id
 ), places AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(o, o + n)) AS p FROM hits) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, CAST(coalesce(p.n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated
-FROM docs d LEFT JOIN places p USING (doc_id) LEFT JOIN named m USING (doc_id)
+  CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(p.n_hit, 0) > 0 AS contaminated, CAST(coalesce(c.n_near, 0) AS BIGINT) AS n_near
+FROM docs d LEFT JOIN places p USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN close c USING (doc_id)
 """
 
 

@@ -66,8 +66,44 @@ def test_stage_judges_each_row_by_its_own_text(spark, make_docs, words, tmp_path
     assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(-1, texts[1]), (-1, ""), (7, texts[4]), (8, texts[5])])
 
 
-def test_proximity(spark, make_docs):
-    bench = spark.createDataFrame([(1, "alpha beta gamma delta")], "item_id long, text string")
-    docs = make_docs(["alpha x beta", "beta then alpha", "alpha beta", "alpha " + "z " * 30 + "beta gamma delta", "gamma delta"])
-    near = D.proximity_matches(docs, bench, slop=2)
-    assert {r.doc_id for r in near.collect()} <= {0, 1, 2, 3, 4} and near.count() > 0
+def plain_near(texts, bench, slop, n=10, anchors=2):
+    """(document, item, place) of near matches, by looking at all pairs of picked terms."""
+    docs = [plain_words(t) for t in texts]
+    count = {}
+    for ws in docs:
+        for w in ws:
+            count[w] = count.get(w, 0) + 1
+    out = set()
+    for item, t in bench:
+        ws, picked = plain_words(t), set()
+        k = min(n, len(ws))
+        for w in range(len(ws) - k + 1 if ws else 0):
+            if all(x in count for x in ws[w : w + k]):
+                picked |= {w + i for i in sorted(range(k), key=lambda i: (count[ws[w + i]], i))[:anchors]}
+        for d, words in enumerate(docs):
+            post = [(p, at) for at in picked for p, x in enumerate(words) if x == ws[at]]
+            out |= {(d, str(item), p) for p, at in post for q, other in post if at != other and abs((p - at) - (q - other)) <= slop}
+    return out
+
+
+def test_proximity(spark, make_docs, words):
+    items = ["alpha beta gamma delta", "aa bb", words(14), words(25), "bb", None, "nowhere to be found"]
+    part = lambda t, a, b: " ".join(t.split()[a:b])
+    texts = ["alpha x beta", "beta then alpha", "alpha beta", "alpha " + "z " * 30 + "beta gamma delta", "gamma delta", "aa bb x bb", "aa " * 5 + "bb " * 5, None, ""]
+    texts += [part(items[2], 0, 6) + " q q " + part(items[2], 6, 14), " ".join(w + " q" for w in items[3].split()), words(200) + " " + items[3], words(50)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = make_docs(texts)
+    for slop in (0, 2):
+        want = plain_near(texts, list(enumerate(items)), slop)
+        assert {(r.doc_id, r.item_id, r.pos) for r in D.proximity_matches(docs, bench, slop=slop).collect()} == want
+        got = {r.doc_id: r.n_near for r in D.contamination(docs, bench, slop=slop).collect()}
+        assert got == {d: len({p for e, _, p in want if e == d}) for d in range(len(texts))}
+    assert (5, "1", 3) in want
+
+
+def test_many_rows_without_id(spark, make_docs, words):
+    item = words(12)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item + f" {i}" for i in range(60)] + [words(20) for _ in range(60)] + [None] * 5
+    rows = D.contamination(make_docs(texts, ids=[None] * len(texts)), bench).collect()
+    assert sum(r.contaminated for r in rows) == 60 and len(rows) == 125
