@@ -7,9 +7,11 @@ classifier is trained by follow-the-regularised-leader (FTRL-proximal) with elas
 penalties; the first penalty leaves most weights at exactly zero. A temperature, fitted on rows
 that the weights have not seen, turns the scores into probabilities.
 
-What is learnt from: documents with a language whose ``crc32(doc_id) mod 4`` is not 2. Weights and
-temperature use at most ``PER_LANGUAGE`` of them for each of at most ``LANGUAGES`` languages (the
-most frequent), those of smallest hash; every fifth serves the temperature.
+What is learnt from: documents with a language whose ``crc32(doc_id) mod 4`` is not 2. Every
+language is learnt, however many there are. Weights and temperature use at most ``PER_LANGUAGE``
+documents of each, and about ``TRAIN_ROWS`` in all (one of each language at least), those of smallest
+hash of id and text; every fifth serves the temperature. The driver holds two numbers for each
+bucket and language while it learns (half a MB a language).
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0, as is every text if
 nothing can be learnt; rows without ``doc_id`` are not held out and not learnt from; ties go to
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-BUCKETS, PER_LANGUAGE, LANGUAGES, UNKNOWN = 1 << 15, 600, 200, "und"
-ALPHA, BETA, L1, L2, EPOCHS, SEED, SHARES = 1.0, 1.0, 0.02, 1e-3, 3, 3, 256
+BUCKETS, PER_LANGUAGE, TRAIN_ROWS, UNKNOWN = 1 << 15, 600, 24_000, "und"
+ALPHA, BETA, L1, L2, EPOCHS, SEED = 1.0, 1.0, 0.02, 1e-3, 3, 3
 #: The pipeline rejects what is less sure than this share of the way from a guess to certainty, or than 99 % of the rows set aside.
 REJECT_BELOW, LOWEST_SHARE, FEW = 0.1, 0.01, 10
 _LETTERS: np.ndarray | None = None
@@ -160,7 +162,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> LanguageModel:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRAIN_ROWS) -> LanguageModel:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     may = own.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out())
 
@@ -182,19 +184,22 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
         seen[r.bucket] = r.n
     idf = np.log((1 + seen[BUCKETS]) / (1 + seen[:BUCKETS])) + 1
 
-    names = sorted(r.lang for r in may.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect())
-    # the smallest hashes of each share first, so that no task gets a language's every row
-    rows = may.filter(F.col("lang").isin(names)).select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).withColumn("share", F.pmod("h", F.lit(SHARES)))
-    for of in (("lang", "share"), ("lang",)):
-        rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*of).orderBy("h", "doc_id"))).filter(F.col("i") <= per_language)
-    chosen = rows.select("doc_id").distinct()
-    sample = may.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text")
+    named = may.withColumn("h", F.xxhash64("doc_id", "text", "lang"))
+    sizes = {r.lang: r.n for r in named.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row for each language
+    names = sorted(sizes)
+    most = max(min(per_language, train_rows // max(len(names), 1)), 1)
+    # no task gets a language's every row: first those below a hash that a few more than enough are below
+    n_of = F.broadcast(may.sparkSession.createDataFrame([(k, float(n)) for k, n in sizes.items()], "lang string, n_lang double"))
+    below = F.pmod("h", F.lit(1 << 30)) < F.lit(float(1 << 30)) * F.lit(2.0 * most + 64) / F.col("n_lang")
+    few = named.select("doc_id", "lang", "h").join(n_of, "lang").filter(below).select("doc_id", "lang", "h").distinct()
+    chosen = few.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h", "doc_id"))).filter(F.col("i") <= most)
+    sample = named.join(F.broadcast(chosen.drop("i")), ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("doc_id", "lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [gram_counts(t) for t in batch.column(2).to_pylist()]
             ids = [None if f is None else f[0].astype(np.uint16).tobytes() for f in found]
-            counts = [None if f is None else np.minimum(f[1], 65535).astype(np.uint16).tobytes() for f in found]
+            counts = [None if f is None else f[1].astype(np.uint32).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "ids", "counts"])
 
     rows = sample.mapInArrow(counted, "doc_id long, lang string, ids binary, counts binary").filter("ids is not null").collect()
@@ -203,7 +208,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANG
     for r in rows:
         ids = np.frombuffer(r.ids, np.uint16).astype(np.int64)
         if r.lang in names:
-            data.append((ids, weighted(ids, np.frombuffer(r.counts, np.uint16), idf), names.index(r.lang)))
+            data.append((ids, weighted(ids, np.frombuffer(r.counts, np.uint32), idf), names.index(r.lang)))
     names_kept = sorted({names[y] for _, _, y in data})
     at = {names.index(x): i for i, x in enumerate(names_kept)}
     data = [(ids, x, at[y]) for ids, x, y in data]

@@ -67,3 +67,12 @@ def test_temperature():
     p = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
     y = np.array([rng.choice(3, p=x) for x in p])
     assert abs(L.fitted_temperature(logits * 3, y) - 3) < 0.3
+
+
+def test_every_language_is_learnt_and_repeated_ids_are_no_burden(spark, make_docs):
+    langs = [f"l{i:03}" for i in range(210)] * 4
+    texts = [" ".join(chr(0x4E00 + int(x[1:]) * 8 + j % 8) * 3 for j in range(12)) for x in langs]
+    model = L.fit(make_docs(texts, langs=langs), per_language=2)
+    assert len(model.languages) == 210
+    docs = make_docs(["the same text"] * 400 + ["ein anderer Text", "noch ein Text"], langs=["en"] * 400 + ["de"] * 2, ids=[1] * 400 + [3, 4])
+    assert L.fit(docs, per_language=5).languages == ["de", "en"]
