@@ -11,8 +11,9 @@ Words, not copies, are what moves: that keeps each document's expected copies an
 sum of words. The fights run from long to short documents, so that what is left open in the end
 is short.
 
-Reduction tree. Documents are dealt into blocks of about ``block_rows`` by a hash of their id;
-each block leaves at most one fraction. Those are combined ``fan`` blocks at a time, level by
+Reduction tree. Documents are dealt into blocks of about ``block_rows`` by a hash of id, text and a
+number among rows that are equal in both, so that null or repeated ids do not meet in one block;
+equal rows are counted first and numbered again in pieces of ``PIECE``. Each block leaves at most one fraction. Those are combined ``fan`` blocks at a time, level by
 level, until a source has one fraction, which a last draw settles. Draws depend on the seed, the
 source and the block only, so that reruns agree.
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 WEIGHTS, TOTAL_SHARE, MAX_COPIES = (5, 2, 1), 1.5, 2.0
-BLOCK_ROWS, FAN, SEED = 4096, 32, 20250101
+BLOCK_ROWS, FAN, SEED, PIECE = 4096, 32, 20250101, 4096
 WORD = r"[^\x20\x09-\x0D]+"
 _EPS = 1e-9
 
@@ -88,22 +89,25 @@ def _draws(n: int, *key) -> np.ndarray:
 def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_copies: float = MAX_COPIES, seed: int = SEED, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for each row of ``docs``."""
     key = F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("t"))
-    base = stored(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), key.alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")),
-        "mix-sizes",
-    )
+    own = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
+    ).select("doc_id", "source", key.alias("key"), F.xxhash64("text").alias("same"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    grouped = own.groupBy("doc_id", "source", "key", "same", "size").agg(F.count("*").alias("rows"))
+    pieces = grouped.withColumn("piece", F.explode(F.sequence(F.lit(0), F.floor((F.col("rows") - 1) / PIECE)))).repartition("doc_id", "same", "piece")
+    last = F.least(F.col("rows"), (F.col("piece") + 1) * PIECE) - 1
+    base = stored(pieces.withColumn("tie", F.explode(F.sequence(F.col("piece") * PIECE, last))).drop("rows", "piece"), "mix-sizes")
     targets = stored(source_targets(base, weights, total_share, max_copies), "mix-targets")
     share = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(0.0)
     blocks = F.greatest(F.ceil(F.col("n_docs") / block_rows), F.lit(1))
     dealt = (
         base.join(targets, "key")
-        .withColumns({"share": share, "block": F.pmod(F.xxhash64("doc_id", F.lit(seed)), blocks)})
+        .withColumns({"share": share, "block": F.pmod(F.xxhash64("doc_id", "same", "tie", F.lit(seed)), blocks)})
         .withColumn("sure", F.floor(F.col("share") + _EPS))
         .withColumn("p", F.greatest(F.col("share") - F.col("sure"), F.lit(0.0)))
     )
 
     def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id"], ascending=False, kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "same", "tie"], ascending=False, kind="stable").reset_index(drop=True)
         first = pdf.iloc[0]
         out, at, share = pivotal(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), _draws(len(pdf), seed, 0, first["key"], first["block"]))
         pdf["up"] = out
@@ -112,7 +116,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_
         return pdf[["doc_id", "source", "key", "size", "source_size", "target", "block", "sure", "up", "open", "p"]]
 
     schema = "doc_id long, source string, key string, size long, source_size long, target double, block long, sure long, up long, open boolean, p double"
-    settled = stored(dealt.select("doc_id", "source", "key", "size", "source_size", "target", "block", "sure", "p").groupBy("key", "block").applyInPandas(settle, schema), "mix-settled")
+    settled = stored(dealt.select("doc_id", "same", "tie", "source", "key", "size", "source_size", "target", "block", "sure", "p").groupBy("key", "block").applyInPandas(settle, schema), "mix-settled")
 
     def combine(level: int, last: bool):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -81,3 +81,15 @@ def test_words_come_near_the_target(make_docs, words):
     for s in "abc":  # an open document of c may be the long one
         own = [r for r in rows if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= (2500 if s == "c" else 80)
+
+
+def test_null_and_repeated_ids_are_dealt_apart(make_docs, words, monkeypatch):
+    texts = [words(20) for _ in range(150)] + ["the same words again"] * 150
+    docs = make_docs(texts, sources=["a", "b"] * 150, ids=[None] * 200 + [7] * 100)
+    monkeypatch.setattr(M, "PIECE", 16)
+    rows = M.mix(docs, block_rows=16, fan=4).collect()
+    again = M.mix(docs.repartition(5), block_rows=16, fan=4).collect()
+    assert len(rows) == 300 and sorted(map(repr, rows)) == sorted(map(repr, again))
+    for s in "ab":
+        own = [r for r in rows if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 20
