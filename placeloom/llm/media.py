@@ -3,10 +3,12 @@
 ``mux`` stores a payload as one private-data elementary stream: a program association table, a
 program map table, and one packetized elementary packet (PES) for each access unit of
 ``UNIT_BYTES``. Every PES carries a presentation timestamp; the first transport packet of each
-carries the random-access indicator and a program clock reference. ``demux`` reads any stream of
-188-byte packets: it parses the program tables (checking their CRC), checks the continuity
-counters of every packet identifier, reassembles the PES packets of the program's first stream
-and returns the payload with each access unit's timestamp, place and random-access flag.
+carries a program clock reference, and that of every ``ACCESS_EVERY``-th the random-access indicator.
+``demux`` reads any stream of 188-byte packets (or 192, or 204): it parses the program tables, which
+may span packets, checking their CRC; checks the continuity counters of every packet identifier,
+allowing for null packets, repeated packets and announced discontinuities; reassembles the PES
+packets of the program's first stream and returns the payload with each access unit's timestamp,
+place, random-access flag and whether it is damaged.
 
 Edge cases: a null text counts as empty; an empty text is stored as 64 zero bytes; a binary value
 that is no transport stream gives a null payload with the reason in ``error``. Equal texts give
@@ -27,10 +29,10 @@ from pyspark.sql import functions as F
 
 from .common import stored, table
 
-PACKET, PAD, UNIT_BYTES, TICKS = 188, 64, 16384, 3600
-PMT_PID, DATA_PID, PROGRAM = 0x1000, 0x0100, 1
+PACKET, PAD, UNIT_BYTES, TICKS, ACCESS_EVERY = 188, 64, 16384, 3600, 4
+PMT_PID, DATA_PID, NULL_PID, PROGRAM = 0x1000, 0x0100, 0x1FFF, 1
 _PRIVATE_STREAM, _STREAM_TYPE = 0xBD, 0x06
-UNITS = pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_())])
+UNITS = pa.struct([("pts", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("random_access", pa.bool_()), ("damaged", pa.bool_())])
 
 
 @lru_cache(maxsize=256)
@@ -82,7 +84,7 @@ def mux(payload: bytes, unit_bytes: int = UNIT_BYTES) -> bytes:
         out[0, 1] |= 0x40
         out[0, 3] |= 0x20
         stuffing = 176 - len(first)
-        out[0, 4], out[0, 5] = 7 + stuffing, 0x50
+        out[0, 4], out[0, 5] = 7 + stuffing, 0x10 if i % ACCESS_EVERY else 0x50
         out[0, 6:12] = np.frombuffer(clock, np.uint8)
         out[0, 12 + stuffing :] = np.frombuffer(first, np.uint8)
         if full:
@@ -99,65 +101,129 @@ def mux(payload: bytes, unit_bytes: int = UNIT_BYTES) -> bytes:
     return b"".join(parts)
 
 
-def _body(packet: np.ndarray, start: int) -> bytes:
-    data = packet[start:].tobytes()
-    data = data[1 + data[0] :]
-    length = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)
-    section = data[:length]
+def _layout(media: bytes) -> np.ndarray:
+    """The transport packets, of streams of 188, 192 (with a time code before) or 204 bytes (with parity after) each."""
+    for stride, before in ((PACKET, 0), (192, 4), (204, 0)):
+        if media and len(media) % stride == 0:
+            p = np.frombuffer(media, np.uint8).reshape(-1, stride)[:, before : before + PACKET]
+            if (p[:, 0] == 0x47).all():
+                return p
+    raise ValueError("not a whole number of transport packets, or lost synchronisation")
+
+
+class _Packets:
+    """The packets of one identifier that carry data, without legal repetitions.
+
+    ``payload`` holds each one's data, ``begins`` its unit-start flag, ``flagged`` its random-access
+    indicator, ``broken`` whether packets are missing just before it or it is marked as damaged.
+    """
+
+    def __init__(self, p: np.ndarray) -> None:
+        has_adaptation, has_data = p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0
+        flags = np.where(has_adaptation & (p[:, 4] > 0), p[:, 5], 0)
+        start = np.where(has_adaptation, 5 + p[:, 4].astype(np.int64), 4)
+        self.payload: list[bytes] = []
+        self.begins: list[bool] = []
+        self.flagged: list[bool] = []
+        self.broken: list[bool] = []
+        self.errors = 0
+        counter, again, reset = None, False, False
+        rows = zip(p[:, 3] & 15, p[:, 1] & 0x40 > 0, p[:, 1] & 0x80 > 0, flags & 0x80 > 0, flags & 0x40 > 0, has_data, start, range(len(p)), strict=True)
+        for now, begins, damaged, jump, flagged, data, at, i in rows:
+            reset |= bool(jump)
+            if not data:
+                continue
+            body = p[i, at:].tobytes()
+            if counter is not None and now == counter and not reset and not again and not damaged and body == self.payload[-1]:
+                again = True  # one repetition of a packet is legal
+                continue
+            gap = counter is not None and not reset and now != (counter + 1) & 15
+            self.errors += gap
+            self.payload.append(body)
+            self.begins.append(bool(begins))
+            self.flagged.append(bool(flagged))
+            self.broken.append(bool(gap or damaged or at > PACKET))
+            counter, again, reset = int(now), False, False
+
+
+def _section_of(packets: _Packets, table_id: int) -> bytes:
+    """The body of the first whole section of a table, which may span packets."""
+    data = None
+    for i, body in enumerate(packets.payload):
+        if packets.broken[i]:
+            data = None
+        if packets.begins[i] and body:
+            data = None if data is None else data + body[1 : 1 + body[0]]
+            done = _whole_section(data, table_id)
+            if done is not None:
+                return done
+            data = body[1 + body[0] :]
+        elif data is not None:
+            data += body
+        while data and data[0] != 0xFF and len(data) >= 3 and len(data) >= (size := 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)):
+            if (done := _whole_section(data, table_id)) is not None:
+                return done
+            data = data[size:]  # another table
+    raise ValueError(f"no whole table {table_id}")
+
+
+def _whole_section(data: bytes | None, table_id: int) -> bytes | None:
+    if not data or data[0] != table_id or len(data) < 3:
+        return None
+    section = data[: 3 + (int.from_bytes(data[1:3], "big") & 0xFFF)]
+    if len(section) < 12 or len(section) < 3 + (int.from_bytes(data[1:3], "big") & 0xFFF):
+        return None
     if crc32_mpeg(section) != 0:
         raise ValueError("a program table fails its CRC")
     return section[8:-4]
 
 
+def _pts(unit: bytes) -> int | None:
+    if len(unit) < 14 or not unit[7] & 0x80:
+        return None
+    t = unit[9:14]
+    return (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
+
+
 def demux(media: bytes) -> dict:
-    """payload, units (pts, offset, length, random_access), packets, streams, continuity_errors."""
-    if not media or len(media) % PACKET:
-        raise ValueError("not a whole number of transport packets")
-    p = np.frombuffer(media, np.uint8).reshape(-1, PACKET)
-    if (p[:, 0] != 0x47).any():
-        raise ValueError("lost synchronisation")
+    """payload, units (pts, offset, length, random_access, damaged), packets, streams, continuity_errors.
+
+    Null packets are skipped, one repetition of a packet is dropped, a discontinuity that is
+    announced is no error, tables may span packets, and what comes before the first unit is left
+    out. A unit that has lost packets, or whose length or start code is wrong, is kept as far as it
+    came and flagged as damaged.
+    """
+    p = _layout(media)
     pid = (p[:, 1].astype(np.int32) & 0x1F) << 8 | p[:, 2]
-    has_adaptation, has_data = p[:, 3] & 0x20 > 0, p[:, 3] & 0x10 > 0
-    start = np.where(has_adaptation, 5 + p[:, 4].astype(np.int64), 4)
-    begins = p[:, 1] & 0x40 > 0
-    errors = 0
-    for one in np.unique(pid):
-        counters = p[(pid == one) & has_data, 3].astype(np.int64) & 15
-        errors += int(((np.diff(counters) & 15) != 1).sum())
-
-    def section(of: int) -> bytes:
-        found = np.flatnonzero((pid == of) & begins & has_data)
-        if not len(found):
-            raise ValueError(f"no program table on {of:#x}")
-        return _body(p[found[0]], int(start[found[0]]))
-
-    pat = section(0)
+    of = {int(one): _Packets(p[pid == one]) for one in np.unique(pid) if one != NULL_PID}
+    if 0 not in of:
+        raise ValueError("no program association table")
+    pat = _section_of(of[0], 0)
     programs = [(int.from_bytes(pat[i : i + 2], "big"), int.from_bytes(pat[i + 2 : i + 4], "big") & 0x1FFF) for i in range(0, len(pat) - 3, 4)]
-    pmt = section(next(x for n, x in programs if n))
+    at_pid = next((x for n, x in programs if n), None)
+    if at_pid not in of:
+        raise ValueError("no program map table")
+    pmt = _section_of(of[at_pid], 2)
     at, streams = 4 + (int.from_bytes(pmt[2:4], "big") & 0xFFF), []
     while at + 5 <= len(pmt):
         streams.append((pmt[at], int.from_bytes(pmt[at + 1 : at + 3], "big") & 0x1FFF))
         at += 5 + (int.from_bytes(pmt[at + 3 : at + 5], "big") & 0xFFF)
-    own = np.flatnonzero((pid == streams[0][1]) & has_data)
-    q, first = p[own], start[own]
-    data = q[np.arange(PACKET) >= first[:, None]].tobytes()
-    ends = np.cumsum(PACKET - first)
-    starts_at = np.flatnonzero(begins[own])
-    cuts = [*(ends[starts_at] - (PACKET - first[starts_at])).tolist(), len(data)]
-    random_access = (q[starts_at, 3] & 0x20 > 0) & (q[starts_at, 4] > 0) & (q[starts_at, 5] & 0x40 > 0)
+    if not streams:
+        raise ValueError("a program without streams")
     units, parts, offset = [], [], 0
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        if data[a : a + 3] != b"\x00\x00\x01":
-            raise ValueError("no start code at a packet's begin")
-        length, pts = int.from_bytes(data[a + 4 : a + 6], "big"), None
-        if data[a + 7] & 0x80:
-            t = data[a + 9 : a + 14]
-            pts = (t[0] >> 1 & 7) << 30 | t[1] << 22 | t[2] >> 1 << 15 | t[3] << 7 | t[4] >> 1
-        body = data[a + 9 + data[a + 8] : a + 6 + length if length else b]
-        units.append({"pts": pts, "offset": offset, "length": len(body), "random_access": bool(random_access[i])})
+    own = of.get(streams[0][1])
+    starts = [i for i, b in enumerate(own.begins) if b] if own else []
+    for a, b in zip(starts, [*starts[1:], len(own.payload) if own else 0], strict=True):
+        unit = b"".join(own.payload[a:b])
+        good = unit[:3] == b"\x00\x00\x01" and len(unit) >= 9
+        length = int.from_bytes(unit[4:6], "big")
+        body = unit[9 + unit[8] : 6 + length if length else None] if good else b""
+        lost = any(own.broken[a + 1 : b]) or (b < len(own.payload) and own.broken[b])
+        damaged = not good or lost or (length > 0 and len(unit) < 6 + length)
+        units.append({"pts": _pts(unit) if good else None, "offset": offset, "length": len(body), "random_access": own.flagged[a], "damaged": bool(damaged)})
         parts.append(body)
         offset += len(body)
-    return {"payload": b"".join(parts), "units": units, "packets": len(p), "streams": len(streams), "continuity_errors": errors}
+    return {"payload": b"".join(parts), "units": units, "packets": len(p), "streams": len(streams), "continuity_errors": sum(x.errors for x in of.values())}
 
 
 def payload_of(text: bytes | None) -> bytes:
@@ -188,7 +254,7 @@ def decode(df: DataFrame, media: str = "media", with_payload: bool = True) -> Da
     Without ``with_payload`` the payload itself is left out, and the digests stay.
     """
     fields = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("packets", pa.int64()), ("continuity_errors", pa.int64()), ("units", pa.list_(UNITS)), ("error", pa.string())]
-    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, continuity_errors long, units array<struct<pts:long,offset:long,length:long,random_access:boolean>>, error string"
+    ddl = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, packets long, continuity_errors long, units array<struct<pts:long,offset:long,length:long,random_access:boolean,damaged:boolean>>, error string"
     if with_payload:
         fields, ddl = [("payload", pa.binary()), *fields], "payload binary, " + ddl
     keep = [c for c in df.columns if c != media]
@@ -200,7 +266,7 @@ def decode(df: DataFrame, media: str = "media", with_payload: bool = True) -> Da
         out = {"media_bytes": len(data), "media_sha256": hashlib.sha256(data).hexdigest()}
         try:
             got = demux(data)
-        except (ValueError, IndexError, StopIteration) as why:
+        except (ValueError, IndexError) as why:
             return out | {"error": str(why) or type(why).__name__}
         body = got["payload"]
         return out | {"payload": body, "payload_bytes": len(body), "payload_sha256": hashlib.sha256(body).hexdigest(), "tail_crc32": zlib.crc32(body[-PAD:]), "packets": got["packets"], "continuity_errors": got["continuity_errors"], "units": got["units"]}
@@ -223,6 +289,7 @@ def op2_media_transport_stream(spark, sf_dir: str) -> DataFrame:
         F.concat(F.lit("continuity_errors="), F.col("continuity_errors")),
         F.concat(F.lit("units="), F.size(units)),
         F.concat(F.lit("random_access="), F.size(F.filter(units, lambda u: u.random_access))),
+        F.concat(F.lit("damaged="), F.size(F.filter(units, lambda u: u.damaged))),
         F.concat(F.lit("pts="), F.array_min(units.pts), F.lit("-"), F.array_max(units.pts)),
     )
-    return decode(media, with_payload=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+    return decode(media, with_payload=False).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "units")
