@@ -1,3 +1,6 @@
+import itertools
+import math
+import random
 import re
 
 from placeloom.llm import url_rules as U
@@ -29,8 +32,55 @@ def test_against_brute_force(spark):
     assert by["http://spam.example.org/en/1?utm=1"] == "block" and by["http://farm.example.org/en/2"] == "block" and by["http://x.org?/fr/"] == "allow" and by["http://host1.example.org/en/2"] == by[None] == "allow"
 
 
+def plain_rules(rows, min_support, min_confidence, min_count):
+    """Pruned rules of up to three tokens, by trying all combinations."""
+    least = max(min_count, math.ceil(min_support * len(rows)))
+    sets = [(set(t), y == "block") for t, y in rows]
+    found = {}
+    for n in (1, 2, 3):
+        for c in {c for t, bad in sets if bad for c in itertools.combinations(sorted(t), n)}:
+            hit = [bad for t, bad in sets if t >= set(c)]
+            if sum(hit) >= least and sum(hit) / len(hit) >= min_confidence:
+                found[c] = sum(hit) / len(hit)
+    return {c: x for c, x in found.items() if not any(found.get(p, -1) >= x for n in range(1, len(c)) for p in itertools.combinations(c, n))}
+
+
+def test_rules_by_brute_force(spark):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(260):
+        tokens = sorted({f"{rng.choice('hpq')}:{rng.choice('abcdefgh')}" for _ in range(rng.randint(1, 14))})
+        bad = {"h:a", "p:b"} <= set(tokens) or "q:c" in tokens and rng.random() < 0.93
+        rows.append((tokens, "block" if bad else "open"))
+    # no two tokens may stand on the same urls here: the plain version does not merge them
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    for support, count in ((0.05, 5), (0.02, 4)):
+        got = {tuple(r.tokens): r.confidence for r in U.mined_rules(df, support, 0.9, count).collect()}
+        want = plain_rules(rows, support, 0.9, count)
+        assert want and got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
 def test_rules_hold_by_count(spark):
     labelled = [(["h:a", "h:b"], "block")] * 18 + [(["h:a", "h:c"], "allow")] * 20 + [(["h:b"], "block")] * 4 + [(["h:c", "h:d"], "block")]
     got = U.mined_rules(spark.createDataFrame(labelled, "tokens array<string>, label string"), 0.1, 0.9).collect()
     assert [(r.tokens, r.confidence, r.key) for r in got] == [(["h:b"], 1.0, "h:b")]
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_long_and_repeated_urls(spark):
+    long = "http://spam.x.org/" + "/".join(f"part{i}" for i in range(30))
+    near = [f"http://spam.y{i}.org/" + "/".join(f"dir{j}" for j in range(30) if (i * 7 + j) % 11) for i in range(40)]
+    urls = [long] * 50 + near + ["http://good.org/part1/dir2"] + [f"http://fine{i}.org/a" for i in range(30)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rows = {r.page_id: r for r in U.judge(pages).collect()}
+    assert len(rows) == len(urls) and all(rows[i].verdict == "block" for i in range(90)) and rows[91].verdict == "allow"
+    one = U.judge(spark.createDataFrame([(1, long)], "page_id long, url string")).first()
+    assert one.verdict == "allow" and one.mined is None  # a url seen once makes no rule
+
+
+def test_labels_of_the_caller(spark):
+    urls = [f"http://h{i}.org/shop/cheap/{i}" for i in range(40)] + [f"http://g{i}.org/shop/{i}" for i in range(40)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(u, "block") for u in urls[:38]], "url string, label string")
+    rows = U.judge(pages, labels=labels).collect()
+    assert {r.page_id for r in rows if r.verdict == "block"} == set(range(40))
