@@ -2,14 +2,16 @@
 
 Base spans are the leftmost non-overlapping matches of the fixed patterns ``assign``, ``access``
 and ``hex``; a match that fails its length condition is dropped. The CRF (states outside, begin,
-inside) tags tokens: runs of ``[A-Za-z0-9+/_=-]``. Only tokens of ten or more characters, whatever
-characters these are, may begin or continue a secret; every shorter token is outside by constraint.
-Such a token cuts the chain, and nothing else does: tokens with no shorter one between them are
-decoded together. A cut drops the moves to and from the constrained token, so decoding the pieces
-is this model's definition, not the same as decoding a chain over all tokens. Features are the token's shape, its neighbouring words and marks, and features of the whole file.
+inside) tags all tokens of a text, runs of ``[A-Za-z0-9+/_=-]``, as one chain. Two kinds of token are
+outside by constraint: those of fewer than ten characters, and plain words (letters in one case, but
+for a first capital, and hyphens) with neither an assignment mark or quote before them nor a key
+word shortly before. Between tokens of known state the chain falls apart: each piece is decoded with
+the moves from and to its outside neighbours, which gives the same path as decoding the whole text.
+Features are the token's shape, its neighbouring words and marks, and features of the whole file.
 
 Training. The model learns from at most ``TRAIN_CHAINS`` chains (long ones in pieces of
-``TRAIN_TOKENS``), those of smallest hash among documents that hold a key word of the patterns (their base spans are the labels), and from a
+``TRAIN_TOKENS``), those of smallest hash among
+documents that hold a key word of the patterns (their base spans are the labels), and from a
 fixed number of made-up assignments, tokens and harmless numbers drawn with a set seed.
 
 Offsets count code points, ends are exclusive. Edge cases: a null text counts as empty and has no
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Cover, table
-from .crf import LinearChainCRF
+from .crf import LinearChainCRF, bucket
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -41,9 +43,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # maximal runs, as [0-9a-f]+ finds them, of
 KEY_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 TRAIN_CHAINS, MADE_UP, BUCKETS, SEED, LEAST = 4000, 1500, 1 << 14, 11, 10
 TRAIN_TOKENS = 64
+#: Words that make a plain word after them worth a look.
+CUES = re.compile(r"(?i)(?:pass|pwd|secret|token|key|auth|bearer|credential)[^\n]{0,16}$")
 O, B, I = range(3)
-_CHARS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-_FROM_DIGIT = re.compile(r"[0-9][A-Za-z0-9+/_=-]*")
+_PLAIN = re.compile(r"[A-Za-z]?[a-z]+(?:-[A-Za-z]?[a-z]+)*|[A-Z]+|[-=_+/]+")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST)
 _WORD = re.compile(r"[^\W_]+")
@@ -62,18 +65,6 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def tokens(text: str) -> list[tuple[int, int]]:
-    """Maximal runs of token characters, with a digit, of LEAST or more characters."""
-    out, last = [], 0
-    for m in _FROM_DIGIT.finditer(text):
-        before = text[last : m.start()]
-        start = last + len(before.rstrip(_CHARS))
-        last = m.end()
-        if last - start >= LEAST:
-            out.append((start, last))
-    return out
-
-
 def _few(x: float, *limits: float) -> int:
     return sum(x >= limit for limit in limits)
 
@@ -106,22 +97,29 @@ def features(text: str, start: int, end: int, of_file: list[str]) -> list[str]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Maximal runs of token characters of LEAST or more, with or without a digit."""
-    return [m.span() for m in _LONG.finditer(text)]
+    """The tokens that are not outside by constraint."""
+    out = []
+    for m in _LONG.finditer(text):
+        a, b = m.span()
+        if not _PLAIN.fullmatch(m[0]) or text[max(a - 2, 0) : a].rstrip(" ")[-1:] in ("=", ":", '"', "'") or CUES.search(text, max(a - 26, 0), a):
+            out.append((a, b))
+    return out
 
 
-def chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]]]]:
-    """Runs of candidates with no other token between them, with their features."""
+def chains(text: str) -> Iterator[tuple[list[tuple[int, int]], list[list[str]], int | None, int | None]]:
+    """Pieces of the text's chain between tokens outside by constraint: tokens, their features, and the
+    states before and after (none at the text's ends)."""
     found = candidates(text)
     if not found:
         return
     of_file = file_features(text, len(found))
-    at = 0
+    at, before = 0, O if _TOKEN.search(text, 0, found[0][0]) else None
     for i in range(1, len(found) + 1):
-        if i == len(found) or _TOKEN.search(text, found[i - 1][1], found[i][0]):
+        cut = _TOKEN.search(text, found[i - 1][1], found[i][0] if i < len(found) else len(text)) is not None
+        if i == len(found) or cut:
             spans = found[at:i]
-            yield spans, [features(text, *s, of_file) for s in spans]
-            at = i
+            yield spans, [features(text, *s, of_file) for s in spans], before, O if cut else None
+            at, before = i, O
 
 
 def tags_of(spans: list[tuple[int, int]], secrets: list[tuple[int, int]]) -> list[int]:
@@ -189,11 +187,11 @@ def fit(docs: DataFrame, train_chains: int = TRAIN_CHAINS, n_made_up: int = MADE
             rows = []
             for text in batch.column(0).to_pylist():
                 known = [(a, b) for _, a, b in base_spans(text)]
-                for spans, feats in chains(text):
+                for spans, feats, before, after in chains(text):
                     tags = tags_of(spans, known)
                     for i in range(0, len(spans), TRAIN_TOKENS):
-                        piece = tags[i : i + TRAIN_TOKENS]
-                        row = json.dumps([feats[i : i + TRAIN_TOKENS], [B if piece[0] == I else piece[0], *piece[1:]]])
+                        ends = before if i == 0 else tags[i - 1], after if i + TRAIN_TOKENS >= len(spans) else tags[i + TRAIN_TOKENS]
+                        row = json.dumps([feats[i : i + TRAIN_TOKENS], tags[i : i + TRAIN_TOKENS], *ends])
                         rows.append((int.from_bytes(hashlib.blake2b(row.encode(), digest_size=8).digest(), "big", signed=True), row))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["h", "row"])
 
@@ -205,10 +203,8 @@ def fit(docs: DataFrame, train_chains: int = TRAIN_CHAINS, n_made_up: int = MADE
     sample = docs.filter(some).select(text).mapInArrow(labelled, "h long, row string").orderBy("h", "row").limit(train_chains).collect()
     rows = [json.loads(r.row) for r in sample]
     for body, known in made_up(n_made_up, seed):
-        rows += [[feats, tags_of(spans, known)] for spans, feats in chains(body)]
-    from .crf import bucket
-
-    data = [([[bucket(f, BUCKETS) for f in one] for one in feats], tags) for feats, tags in rows]
+        rows += [[feats, tags_of(spans, known), before, after] for spans, feats, before, after in chains(body)]
+    data = [([[bucket(f, BUCKETS) for f in one] for one in feats], *rest) for feats, *rest in rows]
     return LinearChainCRF.fit(data, BUCKETS, 3, seed=seed, forbidden=((O, I),), forbidden_first=(I,))
 
 
@@ -216,8 +212,8 @@ def crf_spans(text: str, model: LinearChainCRF, base: list[tuple[str, int, int]]
     """What the model tags as secrets, but for spans whose every token lies in a base span."""
     out, new = [], []
     known = Cover((a, b) for _, a, b in base)
-    for spans, feats in chains(text):
-        path = model.viterbi([model.ids(f) for f in feats])
+    for spans, feats, before, after in chains(text):
+        path = model.viterbi([model.ids(f) for f in feats], before, after)
         for (a, b), state in zip(spans, path, strict=True):
             own = not known.holds(a, b)
             if state == B:
