@@ -3,8 +3,9 @@
 A leaf block is a stretch of text between the borders of block-level elements; inline elements
 and line breaks do not end it. Character references are decoded, white space inside a block
 becomes one space, and the ends are trimmed. Scripts, styles and what else is never shown are no
-text. Each block has features of its ancestors (tags, words of class, id and role), of its text
-(size, share of links, punctuation, case, words) and of its place; the CRF tags it as article or
+text. Each block has features of its ancestors (tags, the innermost words of class, id and role), of
+its text (size, share of links, punctuation, words) and of its place; how these combine (an aside in
+an article, say) is for the CRF to learn: the rule that labels the training pages is no feature. It tags it as article or
 other, decoded by Viterbi, and the article blocks are joined in page order by one newline.
 
 Training. Labelled pages are at most ``TRAIN_PAGES`` pages of smallest hash among those that mark
@@ -14,7 +15,9 @@ layouts, with and without such elements.
 
 Edge cases: null or empty html gives an empty text; unclosed and truncated markup is read as far
 as it goes, past unknown declarations too; a body, text or any other flow content ends a head that
-was left open, and ``/>`` closes svg and math; text outside any element is a block; a page without article blocks gives an empty
+was left open, and ``/>`` closes svg, math and
+other elements whose text is never shown; text outside any element is a block; the work for a block
+does not grow with the depth it stands at; a page without article blocks gives an empty
 text; repeated rows get equal rows; an empty table gives an empty result.
 """
 
@@ -46,8 +49,10 @@ HIDDEN = frozenset("script style template noscript head title iframe object svg
 _CLOSES = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: What may stand in a head; anything else ends a head that was left open.
 HEAD = frozenset("html head base basefont bgsound link meta title noscript noframes style script template".split())
-#: Elements that "/>" closes.
-FOREIGN = frozenset(("svg", "math"))
+#: Elements whose text is not shown that "/>" closes; a reader that did not close them would lose the page's rest.
+SELF_CLOSED = frozenset("svg math iframe object canvas audio video template".split())
+#: Tags with a digit, and how many tags and labels of ancestors are features, the innermost labels first.
+HEADINGS, TAGS, LABELS = frozenset(f"h{i}" for i in range(1, 7)), 48, 32
 _SECTION = re.compile(r"<!\[(temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-zA-Z0-9])", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -55,11 +60,34 @@ _ASIDE_TAGS = frozenset("nav aside footer form button select textarea dialog men
 _ASIDE_WORDS = frozenset("ad ads advert advertisement sponsor sponsored promo banner cookie notice consent nav menu sidebar footer comment comments related share social newsletter subscribe breadcrumb breadcrumbs popup modal".split())
 
 
+class Element:
+    """An open element, with what its descendants inherit. It holds as much at any depth."""
+
+    __slots__ = ("aside", "kin", "labels", "marked", "tag", "tags", "up", "words")
+
+    def __init__(self, tag: str, words: tuple[str, ...], up: Element | None) -> None:
+        self.tag, self.words, self.up = tag, words, up
+        plain = tag if tag.isalpha() and len(tag) <= 10 or tag in HEADINGS else "other"
+        self.tags = (up.tags if up else frozenset()) | {plain} if not up or plain not in up.tags else up.tags
+        self.labels = tuple(dict.fromkeys((*words, *(up.labels if up else ()))))[:LABELS]
+        self.aside = (bool(up and up.aside[0]) or tag in _ASIDE_TAGS, bool(up and up.aside[1]) or not _ASIDE_WORDS.isdisjoint(words))
+        self.marked = bool(up and up.marked) or tag in ("article", "main")
+        self.kin: list[str] | None = None
+
+    def features(self) -> list[str]:
+        """Features of the blocks that stand right in it; made once."""
+        if self.kin is None:
+            self.kin = [f"own {self.tag}", f"parent {self.up.tag if self.up else 'none'}"]
+            self.kin += [f"in {t}" for t in sorted(self.tags)[:TAGS]] + [f"label {w}" for w in self.labels] + [f"own label {w}" for w in self.words[:LABELS]]
+            self.kin += ["aside tag"] * self.aside[0] + ["aside label"] * self.aside[1]
+        return self.kin
+
+
 class _Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.path: list[tuple[str, tuple[str, ...]]] = []
-        self.blocks: list[tuple[str, int, tuple]] = []  # text, characters of links, ancestors
+        self.path: list[tuple[str, Element | None]] = []  # tags, with the block-level element that is open there
+        self.blocks: list[tuple[str, int, Element | None]] = []  # text, characters of links, innermost element
         self.parts: list[str] = []
         self.linked = 0
         self.hidden = 0
@@ -68,7 +96,7 @@ class _Blocks(HTMLParser):
     def _end_block(self) -> None:
         text = _SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.linked, tuple(x for x in self.path if x[0] not in INLINE)))
+            self.blocks.append((text, self.linked, self.path[-1][1] if self.path else None))
         self.parts, self.linked = [], 0
 
     def _pop(self, to: int) -> None:
@@ -101,14 +129,16 @@ class _Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        words = tuple(w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v.lower()))
-        self.path.append((tag, words))
+        inner = self.path[-1][1] if self.path else None
+        if tag not in INLINE:
+            inner = Element(tag, tuple(w for k, v in attrs if k in ("class", "id", "role") and v for w in _WORDS.findall(v.lower())), inner)
+        self.path.append((tag, inner))
         self.hidden += tag in HIDDEN
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs) -> None:
         self.handle_starttag(tag, attrs)
-        if tag in FOREIGN:
+        if tag in SELF_CLOSED:
             self._pop(len(self.path) - 1)
 
     def parse_html_declaration(self, i: int) -> int:
@@ -136,8 +166,8 @@ class _Blocks(HTMLParser):
                 self.linked += len(data)
 
 
-def blocks(html: str | None) -> list[tuple[str, int, tuple]]:
-    """The leaf blocks in page order: text, characters inside links, ancestors (tag, words)."""
+def blocks(html: str | None) -> list[tuple[str, int, Element | None]]:
+    """The leaf blocks in page order: text, characters inside links, the innermost block-level element."""
     reader = _Blocks()
     reader.feed(html or "")
     reader.close()
@@ -149,30 +179,21 @@ def _few(x: float, *limits: float) -> int:
     return sum(x >= limit for limit in limits)
 
 
-def features(found: list[tuple[str, int, tuple]]) -> list[list[str]]:
+def features(found: list[tuple[str, int, Element | None]]) -> list[list[str]]:
     out, n = [], len(found)
-    for i, (text, linked, path) in enumerate(found):
-        words = text.split(" ")
+    for i, (text, linked, inner) in enumerate(found):
+        words = text.count(" ") + 1
         size = len(text)
-        one = ["bias", f"size {_few(size, 15, 40, 80, 160, 400)}", f"words {_few(len(words), 3, 8, 20, 60)}", f"links {_few(linked / size, 0.01, 0.3, 0.7, 0.95)}", f"ends {text[-1] if text[-1] in '.!?:,;' else 'a'}", f"commas {_few(text.count(',') / len(words), 0.01, 0.05, 0.2)}", f"place {_few(i / n, 0.1, 0.3, 0.7, 0.9)}", f"first {i == 0} last {i == n - 1}", f"mark {'©' in text or '|' in text or '·' in text}"]
-        tags = [t for t, _ in path]
-        own = tags[-1] if tags else "none"
-        one += [f"own {own}", f"own {own} links {_few(linked / size, 0.3, 0.9)}", f"parent {tags[-2] if len(tags) > 1 else 'none'}"]
-        one += [f"in {t}" for t in sorted(set(tags))]
-        labels = sorted({w for _, ws in path for w in ws})
-        one += [f"label {w}" for w in labels] + [f"own label {w}" for w in (path[-1][1] if path else ())]
-        one += ["aside tag"] * bool(_ASIDE_TAGS & set(tags)) + ["aside label"] * bool(_ASIDE_WORDS & set(labels))
-        one += ["in article, not aside"] * (bool({"article", "main"} & set(tags)) and not (_ASIDE_TAGS & set(tags)) and not (_ASIDE_WORDS & set(labels)))
-        out.append(one)
+        links = linked / size
+        one = ["bias", f"size {_few(size, 15, 40, 80, 160, 400)}", f"words {_few(words, 3, 8, 20, 60)}", f"links {_few(links, 0.01, 0.3, 0.7, 0.95)}", f"ends {text[-1] if text[-1] in '.!?:,;' else 'a'}", f"commas {_few(text.count(',') / words, 0.01, 0.05, 0.2)}", f"place {_few(i / n, 0.1, 0.3, 0.7, 0.9)}", f"first {i == 0} last {i == n - 1}", f"mark {'©' in text or '|' in text or '·' in text}"]
+        one.append(f"own {inner.tag if inner else 'none'} links {_few(links, 0.3, 0.9)}")
+        out.append(one + (inner.features() if inner else ["own none", "parent none"]))
     return out
 
 
-def marked(found: list[tuple[str, int, tuple]]) -> list[int]:
+def marked(found: list[tuple[str, int, Element | None]]) -> list[int]:
     """The labels of a page that marks its article."""
-    return [
-        ARTICLE if {"article", "main"} & {t for t, _ in path} and not _ASIDE_TAGS & {t for t, _ in path} and not any(_ASIDE_WORDS & set(ws) for _, ws in path) else OTHER
-        for _, _, path in found
-    ]
+    return [ARTICLE if x is not None and x.marked and not any(x.aside) else OTHER for _, _, x in found]
 
 
 def made_up(n: int, seed: int = SEED) -> list[tuple[str, list[str]]]:
