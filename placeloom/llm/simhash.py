@@ -178,57 +178,48 @@ def shingle_set(text: str | bytes | None, shingle: int = STAGE_SHINGLE, seed: in
     return np.unique(((out ^ (out >> np.uint64(32))) * _MIX).view(np.int64))
 
 
-def shingle_sets(docs: DataFrame, shingle: int = STAGE_SHINGLE, seed: int = SEED) -> DataFrame:
-    """(node, grams) for each row of ``docs`` (node, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                sets = [shingle_set(x, shingle, seed) for x in part.column(1).cast(pa.binary()).to_pylist()]
-                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "grams"])
-
-    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, grams array<long>")
+def _sets_of(batch: pa.RecordBatch, column: int, shingle: int, seed: int = SEED) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Pieces of a batch with the shingle sets of their texts."""
+    for i in range(0, batch.num_rows, 500):
+        part = batch.slice(i, 500)
+        yield part, [shingle_set(x, shingle, seed) for x in part.column(column).cast(pa.binary()).to_pylist()]
 
 
 def _bucket_of(grams: np.ndarray) -> np.ndarray:
     return grams & (SKETCH - 1)
 
 
-def _bucket_counts(sets: DataFrame) -> np.ndarray:
-    """How many shingles fall in each bucket; at most SKETCH rows reach the driver."""
+def _bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How many shingles of all texts fall in each bucket; at most SKETCH rows reach the driver."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
-            total += np.bincount(_bucket_of(batch.column(0).flatten().to_numpy()), minlength=SKETCH)
+            for _, sets in _sets_of(batch, 0, shingle):
+                total += np.bincount(_bucket_of(np.concatenate(sets)), minlength=SKETCH)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
     out = np.zeros(SKETCH, np.int64)
-    for r in sets.select("grams").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r.bucket] = r.n
     return out
 
 
-def _prefixes(sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """(node, n, prefix): the size of each set and the shingles of which similar sets share one."""
-    counts = sets.sparkSession.sparkContext.broadcast(_bucket_counts(sets))
+def _prefixes(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
+    """(node, n, prefix): the size of each text's set and the shingles of which similar sets share one."""
+    counts = docs.sparkSession.sparkContext.broadcast(_bucket_counts(docs, shingle))
     up, down = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, ends = batch.column(1).flatten().to_numpy(), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()])
-            sizes, first = np.diff(ends), []
-            for a, n in zip(ends[:-1].tolist(), sizes.tolist(), strict=True):
-                grams = flat[a : a + n]
-                first.append(grams[np.lexsort((grams, counts.value[_bucket_of(grams)]))[: n + (-up * n) // down + 1]])
-            cuts = np.cumsum([0, *map(len, first)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.int64), *first])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat))], ["node", "n", "prefix"])
+            for part, sets in _sets_of(batch, 1, shingle):
+                first = [grams[np.lexsort((grams, counts.value[_bucket_of(grams)]))[: len(grams) + (-up * len(grams)) // down + 1]] for grams in sets]
+                cuts = np.cumsum([0, *map(len, first)]).astype(np.int32)
+                sizes = np.array([len(x) for x in sets], np.int32)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(first)))], ["node", "n", "prefix"])
 
-    return sets.mapInArrow(run, "node long, n int, prefix array<long>")
+    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, n int, prefix array<long>")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -252,14 +243,15 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: tuple[int,
     both = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)  # rows of one v often stand together
         for batch in batches:
-            keep = []
-            for a, v, b in zip(*(batch.column(c).to_pylist() for c in ("a", "v", "b")), strict=True):
-                one, last = shingle_set(a, shingle), last if last[0] == v else (v, shingle_set(b, shingle))
-                met = len(np.intersect1d(one, last[1], assume_unique=True))
-                keep.append(met * down >= (len(one) + len(last[1]) - met) * up)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(0, batch.num_rows, 100):
+                part = batch.slice(i, 100)
+                keep = []
+                for a, b in zip(*(part.column(c).to_pylist() for c in ("a", "b")), strict=True):
+                    one, other = shingle_set(a, shingle), shingle_set(b, shingle)
+                    met = len(np.intersect1d(one, other, assume_unique=True))
+                    keep.append(met * down >= (len(one) + len(other) - met) * up)
+                yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-edges")
 
@@ -271,7 +263,7 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
     sets are made again where they are read: they are larger than the texts.
     """
     fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
-    one = _prefixes(shingle_sets(docs, shingle), least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    one = _prefixes(docs, shingle, least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = one.select("node", "n", F.explode("prefix").alias("gram")).repartition("gram")
     keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
     shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "first"), "near-postings")
