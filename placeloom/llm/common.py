@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from bisect import bisect_left
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +47,16 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, UPPER, UPPER.lower())
 
 
+def pieces(batches: Iterator[pa.RecordBatch], column: str, rows: int = 500) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of some batches with the values of a column, so that a task holds few Python objects at once."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        for i in range(0, batch.num_rows, rows):
+            part = batch.slice(i, rows)
+            yield part, part.column(at).to_pylist()
+    pa.default_memory_pool().release_unused()
+
+
 class Cover:
     """The union of some spans (start, end), as disjoint spans in order."""
 

@@ -31,12 +31,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import table
+from .common import pieces, table
 
 BUCKETS, PER_LANGUAGE, TRAIN_ROWS, UNKNOWN = 1 << 15, 600, 24_000, "und"
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 1.0, 1.0, 0.02, 1e-3, 3, 3
@@ -168,8 +168,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRA
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs_seen = np.zeros(BUCKETS + 1, np.int64), 0
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
+        for _, texts in pieces(batches, "text"):
+            for text in texts:
                 found = gram_counts(text)
                 if found is not None:
                     total[found[0]] += 1
@@ -196,8 +196,8 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRA
     sample = named.join(F.broadcast(chosen.drop("i")), ["doc_id", "lang", "h"]).groupBy("doc_id", "lang", "h").agg(F.first("text").alias("text")).select("doc_id", "lang", "text")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [gram_counts(t) for t in batch.column(2).to_pylist()]
+        for batch, texts in pieces(batches, "text"):
+            found = [gram_counts(t) for t in texts]
             ids = [None if f is None else f[0].astype(np.uint16).tobytes() for f in found]
             counts = [None if f is None else f[1].astype(np.uint32).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "ids", "counts"])
@@ -240,12 +240,15 @@ def with_limits(model: LanguageModel, train: list, rest: list, logits: np.ndarra
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """``docs`` with lang_pred and score. The prediction reads the text only."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.drop("lang_pred", "score").withColumn("text", F.col("text").cast("string"))
+    names = [*own.columns, "lang_pred", "score"]
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches, "text"):
+            found = [shared.value.predict(t) for t in texts]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 
-    return docs.withColumn("_lang", predicted(F.col("text").cast("string"))).withColumns({"lang_pred": F.col("_lang.lang_pred"), "score": F.col("_lang.score")}).drop("_lang")
+    return own.mapInArrow(predicted, T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
@@ -259,8 +262,9 @@ def reject_unsure(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def good(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.sure(t) for t in texts], dtype=bool)
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches, "text"):
+            yield part.filter(pa.array([shared.value.sure(t) for t in texts], pa.bool_()))
 
-    return docs.filter(good(F.col("text").cast("string")))
+    own = docs.withColumn("text", F.col("text").cast("string"))
+    return own.mapInArrow(good, own.schema)

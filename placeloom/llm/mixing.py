@@ -25,7 +25,7 @@ The weights need one row per source in one task; documents never meet in one tas
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,6 +81,14 @@ def pivotal(p: np.ndarray, sizes: np.ndarray, draws: np.ndarray) -> tuple[np.nda
     return out, at, share if at >= 0 else 0.0
 
 
+def _settled(t: pa.Table, out: np.ndarray, at: int, share: float) -> pa.Table:
+    """``t`` with up, open and p: what ``pivotal`` found."""
+    is_open = np.arange(len(t)) == at
+    if "p" in t.column_names:
+        t = t.drop_columns(["p"])
+    return t.append_column("up", pa.array(out, pa.int64())).append_column("open", pa.array(is_open)).append_column("p", pa.array(np.where(is_open, share, 0.0)))
+
+
 def _draws(n: int, *key) -> np.ndarray:
     seed = xxhash.xxh64_intdigest("\x1f".join(map(str, key)))
     return np.random.Generator(np.random.PCG64(seed)).random(n)
@@ -106,29 +114,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_
         .withColumn("p", F.greatest(F.col("share") - F.col("sure"), F.lit(0.0)))
     )
 
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "same", "tie"], ascending=False, kind="stable").reset_index(drop=True)
-        first = pdf.iloc[0]
-        out, at, share = pivotal(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), _draws(len(pdf), seed, 0, first["key"], first["block"]))
-        pdf["up"] = out
-        pdf["open"] = pdf.index == at
-        pdf["p"] = np.where(pdf["open"], share, 0.0)
-        return pdf[["doc_id", "source", "key", "size", "source_size", "target", "block", "sure", "up", "open", "p"]]
+    def settle(t: pa.Table) -> pa.Table:
+        of = lambda c: t[c].to_numpy()
+        t = t.take(np.lexsort((of("tie"), of("same"), t["doc_id"].fill_null(-(1 << 63)).to_numpy(), of("size")))[::-1])
+        draws = _draws(len(t), seed, 0, t["key"][0].as_py(), t["block"][0].as_py())
+        return _settled(t, *pivotal(of("p"), of("size").astype(float), draws)).select(["doc_id", "source", "key", "size", "source_size", "target", "block", "sure", "up", "open", "p"])
 
     schema = "doc_id long, source string, key string, size long, source_size long, target double, block long, sure long, up long, open boolean, p double"
-    settled = stored(dealt.select("doc_id", "same", "tie", "source", "key", "size", "source_size", "target", "block", "sure", "p").groupBy("key", "block").applyInPandas(settle, schema), "mix-settled")
+    settled = stored(dealt.select("doc_id", "same", "tie", "source", "key", "size", "source_size", "target", "block", "sure", "p").groupBy("key", "block").applyInArrow(settle, schema), "mix-settled")
 
     def combine(level: int, last: bool):
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["size", "leaf"], ascending=False, kind="stable").reset_index(drop=True)
-            draws = _draws(len(pdf) + 1, seed, level, pdf["key"].iloc[0], pdf["block"].iloc[0])
-            out, at, share = pivotal(pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), draws[:-1])
+        def run(t: pa.Table) -> pa.Table:
+            of = lambda c: t[c].to_numpy()
+            t = t.take(np.lexsort((of("leaf"), of("size")))[::-1])
+            draws = _draws(len(t) + 1, seed, level, t["key"][0].as_py(), t["block"][0].as_py())
+            out, at, share = pivotal(of("p"), of("size").astype(float), draws[:-1])
             if last and at >= 0:
                 out[at], at = int(draws[-1] < share), -1
-            pdf["up"] = out
-            pdf["open"] = pdf.index == at
-            pdf["p"] = np.where(pdf["open"], share, 0.0)
-            return pdf[["key", "leaf", "block", "size", "p", "up", "open"]]
+            return _settled(t, out, at, share).select(["key", "leaf", "block", "size", "p", "up", "open"])
 
         return run
 
@@ -138,7 +141,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, total_share: float = TOTAL_SHARE, max_
     while True:
         level, most = level + 1, -(-most // fan)
         left = left.withColumn("block", F.floor(F.col("block") / fan))
-        done = stored(left.groupBy("key", "block").applyInPandas(combine(level, most <= 1), "key string, leaf long, block long, size long, p double, up long, open boolean"), "mix-tree")
+        done = stored(left.groupBy("key", "block").applyInArrow(combine(level, most <= 1), "key string, leaf long, block long, size long, p double, up long, open boolean"), "mix-tree")
         now = done.filter("not open").select("key", F.col("leaf").alias("block"), F.lit(True).alias("open"), F.col("up").alias("late"))
         decided = now if decided is None else decided.union(now)
         if most <= 1:

@@ -27,12 +27,11 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cover, stored, table
+from .common import Cover, pieces, stored, table
 from .crf import bucket
 
 BASE = ("email", "ip", "card", "phone")
@@ -208,9 +207,9 @@ def candidates(docs: DataFrame) -> DataFrame:
     """kind, votes, ids (features) and h (a hash) of every candidate, base spans included."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for _, texts in pieces(batches, "text"):
             rows = []
-            for text in batch.column(0).to_pylist():
+            for text in texts:
                 base = base_spans(text)
                 for span in base + further_candidates(text, base):
                     around = text[max(0, span[1] - 40) : span[2] + 24]
@@ -246,8 +245,8 @@ def scan(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [all_spans(t or "", shared.value) for t in batch.column(1).to_pylist()]
+        for batch, texts in pieces(batches, "text"):
+            found = [all_spans(t or "", shared.value) for t in texts]
             counts = [Counter(k for k, _, _ in base) for base, _ in found]
             columns = [batch.column(0)] + [pa.array([c[k] for c in counts], pa.int64()) for k in BASE]
             columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([joined(s) for _, s in found], pa.string())]
@@ -276,9 +275,12 @@ def redact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: personal data in the text is replaced; n_chars counts the new text. A null text stays null."""
     shared = spark.sparkContext.broadcast(fit(docs))
 
-    @F.pandas_udf("string")
-    def clean(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else redacted(t, all_spans(t, shared.value)[1]))
+    own = docs.withColumn("text", F.col("text").cast("string"))
 
-    out = docs.withColumn("text", clean(F.col("text").cast("string")))
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in pieces(batches, "text"):
+            new = [None if t is None else redacted(t, all_spans(t, shared.value)[1]) for t in texts]
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
+
+    out = own.mapInArrow(clean, own.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cover, table
+from .common import Cover, pieces, table
 from .crf import LinearChainCRF, bucket
 
 KINDS = ("assign", "access", "hex", "crf")
@@ -240,8 +240,8 @@ def scan(docs: DataFrame, model: LinearChainCRF) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [all_spans(t or "", shared.value) for t in batch.column(1).to_pylist()]
+        for batch, texts in pieces(batches, "text"):
+            found = [all_spans(t or "", shared.value) for t in texts]
             counts = [Counter(k for k, _, _ in spans) for _, spans in found]
             columns = [batch.column(0)] + [pa.array([c[k] for c in counts], pa.int64()) for k in KINDS]
             columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()), pa.array([joined(s) for _, s in found], pa.string())]
