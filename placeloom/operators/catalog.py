@@ -52,7 +52,7 @@ def places(businesses: DataFrame, source: str = "open_dataset") -> DataFrame:
     tags = F.array_sort(F.array_distinct("categories"))
     return businesses.select(
         F.concat(F.lit("poi_"), "business_id").alias("poi_id"), F.lit(source).alias("source"), "business_id", "name", main_kind(F.col("categories")).alias("category"), "city", "state", "latitude", "longitude",
-        F.col("stars").alias("rating"), "review_count", tags.alias("tags"), "attributes", X.joined(" ", F.col("name"), F.array_join("categories", " "), F.col("city"), F.col("state")).alias("description"),
+        F.col("stars").alias("rating"), "review_count", tags.alias("tags"), "attributes", X.joined(" ", F.col("name"), main_kind(F.col("categories")), F.col("city"), F.col("state")).alias("description"),
     )
 
 

@@ -28,14 +28,15 @@ def missing_columns(df: DataFrame, required: set[str]) -> list[str]:
     return sorted(required - set(df.columns))
 
 
-def without_file(rows: DataFrame, path: str, files: DataFrame) -> DataFrame:
-    """Rows whose path is empty or names no file. ``files`` has file (a path's last part)."""
-    name = F.element_at(F.split(F.coalesce(path, F.lit("")), "/"), -1)
-    return rows.withColumn("file", name).join(files.select("file").distinct(), "file", "left_anti").drop("file")
+def without_file(rows: DataFrame, path: str, files: DataFrame, root: str = "") -> DataFrame:
+    """Rows whose path is empty or names no file. ``files`` has file: paths under ``root``."""
+    own = tables.under(rows.sparkSession, root, F.col(path)) if root else F.col(path)
+    return rows.withColumn("_file", F.coalesce(own, F.lit(""))).join(files.select(F.col("file").alias("_file")).distinct(), "_file", "left_anti").drop("_file")
 
 
 def image_files(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(F.element_at(F.split("path", "/"), -1).alias("file"))
+    """file: the path of each file under ``root``, relative to it; contents are not read."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(tables.under(spark, root, F.col("path")).alias("file"))
 
 
 def check_outputs(spark: SparkSession, settings: dict) -> dict:
@@ -55,7 +56,7 @@ def check_outputs(spark: SparkSession, settings: dict) -> dict:
         elif name in ("strong_pairs", "medium_pairs", "weak_pairs") and tables.exists(spark, paths["image_root"]):
             there = image_files(spark, paths["image_root"])
             one = df if name != "weak_pairs" else df.select("pair_id", F.explode("image_paths").alias("image_path")) if fmt == "parquet" else df.select("pair_id", F.explode(F.from_json("image_paths", "array<string>")).alias("image_path"))
-            if bad := without_file(one, "image_path", there).orderBy("pair_id").first():
+            if bad := without_file(one, "image_path", there, paths["image_root"]).orderBy("pair_id").first():
                 errors.append(f"{name}: {bad.pair_id} has no image file: {bad.image_path}")
         if fmt == "parquet" and not tables.is_parquet(spark, path):
             errors.append(f"{name} is not Parquet: {path}")
@@ -85,7 +86,7 @@ def check_denoised(spark: SparkSession, settings: dict) -> list[str]:
     kept, rows = int(json.loads(summary.read_text(encoding="utf-8")).get("retained_pairs", 0)), df.count()
     if kept != rows:
         errors.append(f"the summary says {kept} retained pairs, the table has {rows}")
-    if not errors and rows and tables.exists(spark, paths["image_root"]) and (bad := without_file(df, "image_path", image_files(spark, paths["image_root"])).first()):
+    if not errors and rows and tables.exists(spark, paths["image_root"]) and (bad := without_file(df, "image_path", image_files(spark, paths["image_root"]), paths["image_root"]).first()):
         errors.append(f"a denoised pair has no image file: {bad.image_path}")
     return errors
 

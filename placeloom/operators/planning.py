@@ -14,6 +14,10 @@ COMPACT = ("09:00-10:30", "11:00-12:30", "14:00-15:30", "16:00-17:30")
 DEFAULTS = {"city": "Unknown city", "duration": "1 day", "budget": "medium", "pace": "relaxed"}
 
 
+#: What a stop's reason says, with and without a matching interest (fixed values).
+MATCHES, CHOSEN = "Matches user interest in ", "Selected from visual search candidates and user preferences."
+
+
 def preferences(df: DataFrame) -> DataFrame:
     """``df`` with all preferences; null and absent ones get the default."""
     absent = lambda c: F.col(c) if c in df.columns else F.lit(None)
@@ -30,7 +34,7 @@ def slot(index: Column, pace: Column) -> Column:
 def reason(category: Column, interests: Column) -> Column:
     kind = F.lower(category)
     wanted = F.exists(interests, lambda x: F.lower(x) == kind)
-    return F.when((kind != "") & wanted, F.concat(F.lit("Matches user interest in "), kind, F.lit("."))).otherwise("Selected from visual search candidates and user preferences.")
+    return F.when((kind != "") & wanted, F.concat(F.lit(MATCHES), kind, F.lit("."))).otherwise(CHOSEN)
 
 
 def summary(pace: Column, duration: Column, city: Column) -> Column:

@@ -23,10 +23,19 @@ def search(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
     ``queries`` has query_id and text, ``items`` item_id, text and ord. Score: matched tokens as a
     share of the query's different tokens. Ties keep the catalog's order.
     """
+    return best(matches(queries, items), k)
+
+
+def matches(queries: DataFrame, items: DataFrame) -> DataFrame:
+    """query_id, item_id, ord, matched (tokens that both have) and n (different tokens of the query)."""
     asked = queries.select("query_id", F.array_distinct(X.ascii_tokens(F.col("text"))).alias("q"))
     has = items.select("item_id", "ord", F.explode(F.array_distinct(X.ascii_tokens(F.col("text")))).alias("token"))
     met = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("token")).join(has, "token")
-    found = met.groupBy("query_id", "item_id", "ord").agg(F.array_sort(F.collect_list("token")).alias("matched"), F.first("n").alias("n"))
+    return met.groupBy("query_id", "item_id", "ord").agg(F.array_sort(F.collect_list("token")).alias("matched"), F.first("n").alias("n"))
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best of ``matches``."""
     scored = found.withColumn("score", F.round(F.size("matched") / F.col("n"), 4))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "item_id", "score", "matched", F.col("rank").cast("long").alias("rank"))

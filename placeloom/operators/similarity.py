@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -48,9 +49,18 @@ def retained(scores: DataFrame, threshold: float = THRESHOLD, model: str = "cosi
 
 def summary(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row: pairs in, scored, skipped and retained, their range, and the share retained."""
+    return scores.agg(*_measures(threshold)).withColumn("retention_rate", retention_rate(F.col("retained_pairs"), F.col("input_pairs")))
+
+
+def _measures(threshold: float) -> list[Column]:
     s = F.col("clip_similarity")
-    out = scores.agg(F.count(F.lit(1)).alias("input_pairs"), F.count(s).alias("scored_pairs"), F.count_if(s.isNull()).alias("skipped_candidates"), F.count_if(s >= threshold).alias("retained_pairs"), F.min(s).alias("min"), F.avg(s).alias("mean"), F.max(s).alias("max"))
-    return out.withColumn("retention_rate", retention_rate(F.col("retained_pairs"), F.col("input_pairs")))
+    return [F.count(F.lit(1)).alias("input_pairs"), F.count(s).alias("scored_pairs"), F.count_if(s.isNull()).alias("skipped_candidates"), F.count_if(s >= threshold).alias("retained_pairs"), F.min(s).alias("min"), F.avg(s).alias("mean"), F.max(s).alias("max")]
+
+
+def observed(scores: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, Observation]:
+    """The same measures, gathered while the scores are used: each pair is scored once for both."""
+    seen = Observation("similarity")
+    return scores.observe(seen, *_measures(threshold)), seen
 
 
 def skipped_summary(weak: DataFrame, reason: str, threshold: float = THRESHOLD, model: str = "cosine") -> DataFrame:
@@ -65,11 +75,21 @@ def retention_rate(kept: Column, given: Column) -> Column:
     return F.when(kept.isNull() | given.isNull(), "TODO").when(given <= 0, "0.00%").otherwise(F.format_string("%.2f%%", 100.0 * kept / given))
 
 
-def batch_number(df: DataFrame, size: int, order: str) -> DataFrame:
-    """``df`` with the number of its fixed-size batch in each partition of the order's range."""
-    from pyspark.sql import Window
+def batch_number(df: DataFrame, size: int, order: str, ranges: int = 256) -> DataFrame:
+    """``df`` with the number of its fixed-size batch, in order over the whole table.
 
+    Rows are numbered within ranges of the order, whose limits are quantiles; each range's first
+    number follows from the counts of those before it. Ties are in one range, in any order.
+    """
     if size < 1:
         raise ValueError("a batch has at least one row")
-    w = Window.partitionBy(F.spark_partition_id()).orderBy(order)
-    return df.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    cuts = df.agg(F.percentile_approx(order, [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first().c or []
+    at = F.lit(0)
+    for cut in sorted(set(cuts)):
+        at = at + (F.col(order) > F.lit(cut)).cast("int")
+    ranged = df.withColumn("_range", F.coalesce(at, F.lit(-1)))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    firsts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
+    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_range").orderBy(order)))
+    return numbered.join(F.broadcast(firsts), "_range").withColumn("batch", F.floor((F.col("_first") + F.col("_i") - 1) / size)).drop("_range", "_i", "_first")

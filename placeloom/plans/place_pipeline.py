@@ -75,9 +75,10 @@ def run_denoising(spark: SparkSession, config: dict, scorer=None, model: str = "
         empty = similarity.candidates(weak).withColumn("clip_similarity", F.lit(None).cast("double")).filter("false")
         tables.write_table(similarity.retained(empty, threshold, model), target)
     else:
-        scores = similarity.scored_by(similarity.candidates(weak), scorer)
+        scores, seen = similarity.observed(similarity.scored_by(similarity.candidates(weak), scorer), threshold)
         tables.write_table(similarity.retained(scores, threshold, model), target)
-        s = similarity.summary(scores, threshold).first().asDict()
+        s = dict(seen.get)
+        s["retention_rate"] = contract.retention(s)
         spread = {"count": s["scored_pairs"], "min": s.pop("min"), "mean": s.pop("mean"), "max": s.pop("max")}
         result = {"status": "completed", "reason": "all candidates were scored", "input_groups": weak.count(), **s, "threshold": threshold, "model_id": model, "similarity_distribution": spread if s["scored_pairs"] else "not_available"}
     tables.write_json(f"{paths['processed_dir']}/clip_denoising_summary.json", result)

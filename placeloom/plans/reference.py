@@ -139,7 +139,7 @@ def allowlist_with_closed_limited(spark, sf_dir):
 
 
 @_query(f"""{_B} SELECT 'poi_' || business_id AS poi_id, business_id, name, {_KIND} AS category, city, state, stars AS rating, review_count, array_to_string(list_sort(list_distinct(cats)), '|') AS tags,
-concat_ws(' ', nullif(name, ''), nullif(array_to_string(cats, ' '), ''), nullif(city, ''), nullif(state, '')) AS description FROM b WHERE is_open IS DISTINCT FROM 0 AND {_RELEVANT}""")
+concat_ws(' ', nullif(name, ''), {_KIND}, nullif(city, ''), nullif(state, '')) AS description FROM b WHERE is_open IS DISTINCT FROM 0 AND {_RELEVANT}""")
 def poi_projection(spark, sf_dir):
     frame = catalog.selected(_businesses(spark, sf_dir)).withColumns({"latitude": F.lit(None).cast("double"), "longitude": F.lit(None).cast("double")})
     return catalog.places(frame).select("poi_id", "business_id", "name", "category", "city", "state", "rating", "review_count", _bar("tags").alias("tags"), "description")
@@ -190,7 +190,7 @@ def nested_fields_as_json(spark, sf_dir):
     return R.table(spark, sf_dir, "events").select("event_id", A.sorted_json(m).alias("stable"))
 
 
-@_query()
+@_query("""SELECT event_id, concat('{"user": ', user_id, ', "ok": ', CASE WHEN value > 5 THEN 'true' ELSE 'null' END, '}') AS attrs FROM events""")
 def python_literal_attrs(spark, sf_dir):
     text = F.concat(F.lit("{u'user': "), F.col("user_id").cast("string"), F.lit(", 'ok': "), F.when(F.col("value") > 5, "True").otherwise("None"), F.lit("}"))
     return R.table(spark, sf_dir, "events").select("event_id", A.python_literals(text).alias("attrs"))
@@ -289,6 +289,17 @@ def skipped_denoise_summary(spark, sf_dir):
     return similarity.skipped_summary(_weak(spark, sf_dir), "no scorer").select("status", "input_groups", "input_pairs", "retained_pairs")
 
 
+@_query("SELECT p_partkey, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 7 AS BIGINT) AS batch FROM part")
+def batch_numbers(spark, sf_dir):
+    return similarity.batch_number(R.table(spark, sf_dir, "part").select("p_partkey"), 7, "p_partkey").select("p_partkey", F.col("batch").cast("long").alias("batch"))
+
+
+@_query(f"{_WEAK} SELECT p.photo_id, v.review_id, round((length(v.t) % 100) / 100.0, 6)::DOUBLE AS clip_similarity FROM p JOIN v ON p.business_id = v.business_id WHERE p.i <= 5 AND v.i <= 5")
+def injected_scorer(spark, sf_dir):
+    scores = similarity.scored_by(similarity.candidates(_weak(spark, sf_dir)), lambda path, text: F.length(text) % 100 / 100.0)
+    return scores.select("photo_id", "review_id", F.round("clip_similarity", 6).alias("clip_similarity"))
+
+
 # ---- statistics
 
 
@@ -341,10 +352,29 @@ def column_contract(spark, sf_dir):
 def missing_image_paths(spark, sf_dir):
     pages = R.table(spark, sf_dir, "pages")
     rows = pages.select(F.col("page_id").cast("string").alias("photo_id"), F.when(F.col("page_id") % 9 == 0, "").otherwise(F.concat(F.lit("a/b/"), "page_id", F.lit(".jpg"))).alias("image_path"))
-    files = pages.filter("page_id % 4 <> 1").select(F.concat("page_id", F.lit(".jpg")).alias("file"))
+    # files of the same names in another folder are no help
+    files = pages.filter("page_id % 4 <> 1").select(F.concat(F.lit("a/b/"), "page_id", F.lit(".jpg")).alias("file")).union(pages.select(F.concat(F.lit("a/c/"), "page_id", F.lit(".jpg"))))
     return contract.without_file(rows, "image_path", files)
 
 
+@_query(f"{_B} SELECT business_id, name, city, state, stars, review_count, is_open, array_to_string(cats, '|') AS categories, CAST(json_array_length(json_keys(attributes)) AS BIGINT) AS n_attributes FROM b")
+def business_records(spark, sf_dir):
+    made = parse.identified(parse.businesses(R.business_df(spark, sf_dir).withColumnRenamed("categories_text", "categories")), "business_id")
+    return made.select("business_id", "name", "city", "state", "stars", "review_count", F.col("is_open").cast("int").alias("is_open"), _bar("categories").alias("categories"), F.size(A.as_map(F.col("attributes"))).cast("long").alias("n_attributes"))
+
+
+@_query("SELECT CAST(page_id AS VARCHAR) AS photo_id, concat('src', page_id % 20) AS business_id, concat('root/', page_id, '.jpg') AS image_path, '' AS caption FROM pages")
+def photo_records(spark, sf_dir):
+    raw = R.table(spark, sf_dir, "pages").select(F.col("page_id").alias("photo_id"), F.concat(F.lit("src"), F.col("page_id") % 20).alias("business_id"))
+    return parse.photos(raw, "root/").select("photo_id", "business_id", "image_path", "caption")
+
+
+@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'PROMPT' ELSE 'PROMPT' END AS prompt FROM orders".replace("PROMPT", next(iter(M.PROMPTS.values()))))
+def prompt_versions(spark, sf_dir):
+    version = F.when(F.col("o_orderkey") % 2 == 0, next(iter(M.PROMPTS))).otherwise("unknown")
+    return R.table(spark, sf_dir, "orders").select("o_orderkey", M.prompt(version).alias("prompt"))
+
+
 # ---- retrieval
 
 _TOKENS = "list_distinct(list_transform(regexp_extract_all({}, '[A-Za-z0-9_]+'), lambda x: lower(x)))"
@@ -397,6 +427,31 @@ def top_k_hit(spark, sf_dir):
     return _ranked(spark, sf_dir).select("query_id", retrieval.top_k_hit(wanted, F.col("ranked"), 5).cast("long").alias("hit"))
 
 
+_PASSAGES = f"""WITH q AS (SELECT item_id, text, {_TOKENS.format('text')} AS toks FROM benchmark), d AS (SELECT doc_id, text, {_TOKENS.format('text')} AS toks FROM documents),
+e AS (SELECT q.item_id, list(d.doc_id) AS wanted FROM q JOIN d ON contains(d.text, q.text) AND len(q.toks) > 0 GROUP BY q.item_id),
+qt AS (SELECT item_id, len(toks) AS n, unnest(toks) AS token FROM q), dt AS (SELECT doc_id, unnest(toks) AS token FROM d),
+m AS (SELECT item_id, doc_id, round(count(*) / any_value(n), 4) AS score FROM qt JOIN dt USING (token) GROUP BY item_id, doc_id),
+r AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m),
+l AS (SELECT item_id, list(doc_id) AS ranked FROM r WHERE rank <= 5 GROUP BY item_id)
+SELECT q.item_id, CAST(coalesce(len(wanted), 0) AS BIGINT) AS n_wanted, round(coalesce(len(list_intersect(wanted, ranked)) / len(wanted), 0), 6) AS recall FROM q LEFT JOIN e USING (item_id) LEFT JOIN l USING (item_id)"""
+
+
+@_query(_PASSAGES)
+def passage_recall(spark, sf_dir):
+    """Each benchmark item is searched in all documents; those that hold its text are wanted."""
+    asked = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("ord"), "text")
+    # a document that holds the text has all its tokens, but for those cut at its ends
+    met = retrieval.matches(asked, docs)
+    full = met.filter(F.size("matched") >= F.col("n") - 2).select("query_id", "item_id")
+    holds = full.join(asked, "query_id").join(docs.select("item_id", F.col("text").alias("whole")), "item_id").filter(F.contains("whole", "text"))
+    wanted = holds.groupBy("query_id").agg(F.collect_set("item_id").alias("wanted"))
+    ranked = retrieval.best(met, 5).groupBy("query_id").agg(F.collect_list("item_id").alias("ranked"))
+    none = F.array().cast("array<bigint>")
+    out = asked.select("query_id").join(wanted, "query_id", "left").join(ranked, "query_id", "left").select("query_id", F.coalesce("wanted", none).alias("wanted"), F.coalesce("ranked", none).alias("ranked"))
+    return out.select(F.col("query_id").alias("item_id"), F.size("wanted").cast("long").alias("n_wanted"), F.round(retrieval.recall_at_k(F.col("wanted"), F.col("ranked"), 5), 6).alias("recall"))
+
+
 # ---- planning: a customer is a trip, its orders are candidates
 
 _PREFS = "SELECT c_custkey AS trip_id, coalesce(nullif(c_mktsegment, 'MACHINERY'), 'Unknown city') AS city, CASE WHEN c_custkey % 3 = 0 THEN '2 days' ELSE '1 day' END AS duration, 'medium' AS budget, CASE WHEN c_custkey % 2 = 0 THEN 'compact' ELSE 'relaxed' END AS pace FROM customer"
@@ -498,10 +553,9 @@ def jsonl_line_counts(spark, sf_dir):
 ORACLES["jsonl_line_counts"] = "SELECT count(*) AS total_lines, CAST(count_if(doc_id % 7 > 2) AS BIGINT) AS records, CAST(count_if(doc_id % 7 IN (1, 2)) AS BIGINT) AS malformed_lines FROM documents"
 
 
-@_query("SELECT doc_id, lang, source FROM documents WHERE doc_id % 7 > 2")
+@_query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def jsonl_round_trip(spark, sf_dir):
-    # every row makes the trip whole; the SQL asks for some of them
-    return whole_round_trip(spark, R.table(spark, sf_dir, "documents")).filter("doc_id % 7 > 2").select("doc_id", "lang", "source")
+    return whole_round_trip(spark, R.table(spark, sf_dir, "documents"))
 
 
 def whole_round_trip(spark, docs):
@@ -535,6 +589,34 @@ def image_index(spark, sf_dir):
     return index.select("photo_id", "image_valid", F.coalesce("image_width", F.lit(0)).cast("long").alias("image_width"), F.regexp_extract(F.coalesce("validation_error", F.lit("")), "^[a-z]+", 0).alias("status"))
 
 
+@_query("SELECT CAST(40 AS BIGINT) AS total_images, CAST(20 AS BIGINT) AS valid_images, CAST(10 AS BIGINT) AS missing_images, CAST(10 AS BIGINT) AS corrupted_images")
+def image_counts(spark, sf_dir):
+    from ..sources import images
+
+    flagged = image_index(spark, sf_dir).withColumn("validation_error", F.nullif("status", F.lit("")))
+    return images.image_counts(flagged)
+
+
+@_query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
+def parquet_round_trip(spark, sf_dir):
+    from ..sources import tables
+
+    path = _scratch(spark, "table") + ".parquet"
+    part = R.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
+    assert tables.write_table(part, path)["actual_format"] == "parquet" and tables.is_parquet(spark, path)
+    return tables.read_table(spark, path)
+
+
+@_query("SELECT DISTINCT concat('p', page_id % 50) AS photo_id FROM pages WHERE page_id % 50 <> 7")
+def json_photo_ids(spark, sf_dir):
+    from ..sources import tables
+
+    path = _scratch(spark, "items")
+    k = F.col("page_id") % 50
+    tables.write_json_lines(R.table(spark, sf_dir, "pages").select(F.when(k == 7, "").otherwise(F.concat(F.lit("p"), k)).alias("photo_id"), "url"), path)
+    return tables.photo_ids(spark, path)
+
+
 def _png_bytes(width: int) -> bytes:
     import struct
     import zlib
@@ -558,6 +640,8 @@ def _scratch(spark: SparkSession, name: str) -> str:
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="placeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}"

@@ -6,6 +6,9 @@ expression (``WITH_*``). Texts are varied by id so that every branch of the revi
 
 from __future__ import annotations
 
+import re
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 _SPACES = r"\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -37,9 +40,16 @@ WITH_REASONED = f"reasoned AS (SELECT *, {SQL_REASON} AS filter_reason FROM (SEL
 
 def _select(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     # a view's plan is taken over when the statement is analysed, which is here
-    for n in names:
-        spark.read.parquet(f"{sf_dir}/{n}.parquet").createOrReplaceTempView(n)
-    return spark.sql(sql)
+    views = {n: f"placeloom_{n}_{uuid.uuid4().hex}" for n in names}
+    for n, view in views.items():
+        spark.read.parquet(f"{sf_dir}/{n}.parquet").createTempView(view)
+        sql = re.sub(rf"\b(FROM|JOIN) {n}\b(?! [a-z]\b)", rf"\1 {view} {n}", sql)
+        sql = re.sub(rf"\b(FROM|JOIN) {n}(?= [a-z]\b)", rf"\1 {view}", sql)
+    try:
+        return spark.sql(sql)
+    finally:
+        for view in views.values():
+            spark.catalog.dropTempView(view)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

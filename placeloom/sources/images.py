@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tables
+
 CHECK = T.StructType([T.StructField("image_valid", T.BooleanType()), T.StructField("image_width", T.LongType()), T.StructField("image_height", T.LongType()), T.StructField("validation_error", T.StringType())])
 
 
@@ -96,14 +98,13 @@ def _checked(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 def image_index(photos: DataFrame, root: str) -> DataFrame:
     """Photos with what their file under ``root`` is: valid with its size, missing or corrupted.
 
-    Files are joined by name, so that each is read once by whichever task lists it. A null or empty
-    path is missing.
+    Files are joined by their path under the root, so that each is read once by whichever task lists
+    it, and files of one name in two folders are two. A null or empty path is missing.
     """
     spark: SparkSession = photos.sparkSession
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    name = lambda path: F.element_at(F.split(path, "/"), -1)
-    checked = files.select(name(F.col("path")).alias("_name"), _checked("content").alias("c"))
-    joined = photos.withColumn("_name", name(F.coalesce("image_path", F.lit("")))).join(checked, "_name", "left")
+    checked = files.select(tables.under(spark, root, F.col("path")).alias("_name"), _checked("content").alias("c"))
+    joined = photos.withColumn("_name", tables.under(spark, root, F.coalesce("image_path", F.lit("")))).join(checked, "_name", "left")
     ok = F.coalesce(F.col("c.image_valid"), F.lit(False))
     order = [c for c in photos.columns if c == "ord"]
     return joined.select("photo_id", "business_id", "image_path", ok.alias("image_valid"), "c.image_width", "c.image_height", F.when(F.col("c").isNull(), "missing").otherwise(F.col("c.validation_error")).alias("validation_error"), *order)

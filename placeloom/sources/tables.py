@@ -8,10 +8,11 @@ the block serve.
 from __future__ import annotations
 
 import json
+import re
 from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,6 +71,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def under(spark: SparkSession, root: str, path: Column) -> Column:
+    """A path relative to the folder ``root``, however the scheme is written; other paths stay as they are."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    plain = F.regexp_replace(F.replace(F.regexp_replace(path, r"^file:/+", "/"), F.lit("\\"), F.lit("/")), r"^\./|/(?=/)", "")
+    out = plain
+    for start in dict.fromkeys((re.sub("^file:/+", "/", full), re.sub(r"^file:/+", "/", root).replace("\\", "/").removeprefix("./").rstrip("/"))):
+        out = F.when(F.startswith(plain, F.lit(start + "/")), F.substring(plain, len(start) + 2, 1 << 30)).otherwise(out)
+    return out
+
+
 def first_existing(spark: SparkSession, folder: str, names: list[str], required: bool = True) -> str | None:
     """The first of the names that is in the folder."""
     for name in names:
@@ -136,10 +148,24 @@ def inspect(spark: SparkSession, path: str) -> tuple[int, list[str]]:
 
 
 def is_parquet(spark: SparkSession, path: str) -> bool:
-    """Whether each part of a table begins with Parquet's magic bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).filter(~F.col("path").rlike(r"/[_.][^/]*$"))
-    bad = files.filter(F.substring("content", 1, 4) != F.lit(b"PAR1")).limit(1)
-    return bool(files.limit(1).count()) and not bad.count()
+    """Whether each part of a table begins with Parquet's magic bytes; four bytes of each file are read."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return False
+    files, some = fs.listFiles(top, True), False
+    while files.hasNext():
+        part = files.next().getPath()
+        if part.getName()[:1] in ("_", "."):
+            continue
+        data = fs.open(part)
+        try:
+            some = True
+            if bytes(data.read() & 255 for _ in range(4)) != b"PAR1":
+                return False
+        finally:
+            data.close()
+    return some
 
 
 def photo_ids(spark: SparkSession, path: str) -> DataFrame:

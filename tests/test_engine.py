@@ -143,7 +143,7 @@ def test_catalog(spark):
     assert values(catalog.selected(df, include_closed=True), "business_id") == [("b1",), ("b2",), ("b3",)]
     assert values(catalog.selected(df, 0)) == []
     p = catalog.places(catalog.selected(df, 1)).first()
-    assert (p.poi_id, p.category, p.tags, p.description) == ("poi_b1", "Cafe", ["cafes", "food"], "N cafes food C S")
+    assert (p.poi_id, p.category, p.tags, p.description) == ("poi_b1", "Cafe", ["cafes", "food"], "N Cafe C S")
 
 
 def test_retrieval(spark):
@@ -237,6 +237,11 @@ def test_settings(tmp_path):
     assert (got["x"], got["flag"], got["z"], got["f"]) == ("y", True, None, 0.5)
     assert settings.load(tmp_path / "none") == settings.DEFAULTS and settings.load() is not settings.DEFAULTS
     assert settings.plain_yaml("a:\n  b:\n    c: 1\n  d: 2\n") == {"a": {"b": {"c": 1}, "d": 2}}
+    assert settings.plain_yaml("# x\na: 'it''s # no'  # c\nb: \"1\\n\"\nc: -1.5e3\nd:\ne: http://x:1/#y\nf: ~\n") == {"a": "it's # no", "b": "1\n", "c": -1500.0, "d": None, "e": "http://x:1/#y", "f": None}
+    for bad in ("- a\n", "a: 1\n  b: 2\n", "a:\n    b: 1\n  c: 2\n", "just text\n"):
+        with pytest.raises(ValueError):
+            settings.plain_yaml(bad)
+    assert settings.plain_yaml("") == {}
 
 
 # ---- whole runs
@@ -319,3 +324,32 @@ def test_stream(spark, raw, tmp_path):
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 2
     assert stream_reviews.stats_updates(stream_reviews.read_reviews(spark, str(folder), schema)).isStreaming
+
+
+def test_images_are_joined_by_their_path(spark, tmp_path):
+    from placeloom.plans.reference import _png_bytes
+
+    for folder, width in (("a", 2), ("b", 3)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "1.png").write_bytes(_png_bytes(width))
+    rows = [("p", "x", f"{tmp_path}/a/1.png"), ("q", "x", f"file://{tmp_path}/b/1.png"), ("r", "x", f"{tmp_path}/c/1.png"), ("s", "x", "b/1.png")]
+    photos = spark.createDataFrame(rows, "photo_id string, business_id string, image_path string")
+    got = {r.photo_id: r.image_width for r in images.image_index(photos, str(tmp_path)).collect()}
+    assert got == {"p": 2, "q": 3, "r": None, "s": 3}
+    there = contract.image_files(spark, str(tmp_path))
+    assert [r.photo_id for r in contract.without_file(photos, "image_path", there, str(tmp_path)).collect()] == ["r"]
+
+
+def test_batches_count_over_the_whole_table(spark):
+    df = spark.range(1000).repartition(7)
+    rows = similarity.batch_number(df, 64, "id", ranges=8).collect()
+    assert all(r.batch == r.id // 64 for r in rows) and len(rows) == 1000
+    assert similarity.batch_number(df.filter("id < 0"), 64, "id").count() == 0
+
+
+def test_no_views_are_left(spark):
+    from placeloom.plans import roles
+
+    before = {t.name for t in spark.catalog.listTables()}
+    roles.reviews_df(spark, "/root/testdata/sf0.001").count()
+    assert {t.name for t in spark.catalog.listTables()} == before
