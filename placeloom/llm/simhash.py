@@ -24,8 +24,10 @@ the component has none; extra columns are ignored.
 The pipeline's stage does not use fingerprints, whose distance says too little about a similarity
 of 0.8: it joins the sets of word 5-shingles exactly (``similar_texts``). Two sets with a Jaccard
 similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in any common order;
-the order is by how common a shingle's bucket is, so that common lines come last. Texts that share
-such a shingle are candidates, and their whole sets are compared. First every candidate is compared
+the order is by how common a shingle's bucket is, so that common lines come last. From the first
+shingle that two sets share no more can be common than what is left of either set, so the pair is
+dropped where it is formed if that is too little. Other pairs are candidates, and their whole sets
+are compared. First every candidate is compared
 with the smallest text of each of its shingles; then only candidates that are not yet in one
 component are compared with each other, so that a large group of near copies costs no pairs.
 """
@@ -45,7 +47,7 @@ from .common import stored, table
 SEED, SHINGLE, BUCKET_LIMIT = 42, 3, 4
 _ROWS = 1 << 16
 #: The stage: words of a shingle, least similarity as a fraction, buckets that shingles are counted in.
-STAGE_SHINGLE, STAGE_LEAST, SKETCH = 5, (4, 5), 1 << 17
+STAGE_SHINGLE, STAGE_LEAST, SKETCH = 5, (4, 5), 1 << 20
 #: Tables of ids are broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -196,13 +198,13 @@ def _bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
         total = np.zeros(SKETCH, np.int64)
         for batch in batches:
             for _, sets in _sets_of(batch, 0, shingle):
-                total += np.bincount(_bucket_of(np.concatenate(sets)), minlength=SKETCH)
+                np.add.at(total, _bucket_of(np.concatenate(sets)), 1)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r.bucket] = r.n
+    out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return out
 
 
@@ -228,16 +230,10 @@ def _sized(df: DataFrame) -> DataFrame:
 
 
 def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
-    """Those of ``pairs`` (u, v, their sizes n, m; a row for each shared shingle) whose whole sets are similar enough.
-
-    In the common order one of the prefixes ends first, and its shingles can only meet the other
-    prefix; so the sets share at most the rows counted and what follows that prefix. Texts are moved
-    to the pairs, not sets: they are the smaller.
-    """
+    """Those of ``pairs`` (u, v) whose whole sets are similar enough. Texts are moved to the pairs, not
+    sets: they are the smaller."""
     up, down = least
-    after = F.ceil(F.greatest("n", "m") * up / down) - 1
-    pairs = pairs.groupBy("u", "v", "n", "m").agg(F.count("*").alias("met")).filter((F.col("met") + after) * (up + down) >= (F.col("n") + F.col("m")) * up)
-    pairs = stored(pairs.select("u", "v"), "near-pairs")
+    pairs = stored(pairs.select("u", "v").distinct(), "near-pairs")
     nodes = stored(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "near-nodes")
     own = stored(docs.join(_sized(nodes), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
     both = pairs.join(own.select(F.col("node").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("node").alias("v"), F.col("text").alias("b")), "v")
@@ -262,19 +258,24 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
     Linked are all texts whose sets of shingles have a Jaccard similarity of ``least`` or more. The
     sets are made again where they are read: they are larger than the texts.
     """
-    fits = lambda a, b: F.least(a, b) * least[1] >= F.greatest(a, b) * least[0]
+    up, down = least
+
+    def may(n: str, i: str, m: str, j: str) -> Column:
+        """Whether sets of n and m shingles may be similar if the i-th and j-th is the first that they share."""
+        return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (up + down) >= (F.col(n) + F.col(m)) * up
+
     one = _prefixes(docs, shingle, least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = one.select("node", "n", F.explode("prefix").alias("gram")).repartition("gram")
-    keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
-    shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "first"), "near-postings")
-    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & fits(F.col("n"), F.col("first.n"))).select(F.col("node").alias("u"), F.col("first.node").alias("v"), "n", F.col("first.n").alias("m")), docs, shingle, least)
+    postings = one.select("node", "n", F.posexplode("prefix").alias("i", "gram")).repartition("gram")
+    keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n", "i")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
+    shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "i", "first"), "near-postings")
+    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & may("n", "i", "first.n", "first.i")).select(F.col("node").alias("u"), F.col("first.node").alias("v")), docs, shingle, least)
     roots = stored(connected(stars), "near-roots")
-    rooted = shared.join(roots, "node", "left").select("gram", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = shared.join(roots, "node", "left").select("gram", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
     open_ = stored(rooted.join(apart, "gram", "left_semi"), "near-open")
-    other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("other"))
-    pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & fits(F.col("n"), F.col("m")))
-    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v", "n", "m"), docs, shingle, least)))
+    other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
+    pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & may("n", "i", "m", "j"))
+    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v"), docs, shingle, least)))
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
