@@ -27,9 +27,10 @@ similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in a
 the order is by how common a shingle's bucket is, so that common lines come last. From the first
 shingle that two sets share no more can be common than what is left of either set, so the pair is
 dropped where it is formed if that is too little. Other pairs are candidates, and their whole sets
-are compared. First every candidate is compared
-with the smallest text of each of its shingles; then only candidates that are not yet in one
-component are compared with each other, so that a large group of near copies costs no pairs.
+are compared. First every candidate is compared with one text, the smallest that comes first for
+any of its shingles; then with the first texts of its other shingles that are not yet in its
+component; then only candidates that are not yet in one component are compared with each other.
+So a large group of near copies costs about one link for each of them.
 """
 
 from __future__ import annotations
@@ -268,14 +269,19 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
     postings = one.select("node", "n", F.posexplode("prefix").alias("i", "gram")).repartition("gram")
     keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n", "i")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
     shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "i", "first"), "near-postings")
-    stars = _similar(shared.filter((F.col("node") != F.col("first.node")) & may("n", "i", "first.n", "first.i")).select(F.col("node").alias("u"), F.col("first.node").alias("v")), docs, shingle, least)
-    roots = stored(connected(stars), "near-roots")
+    stars = stored(shared.filter((F.col("node") != F.col("first.node")) & may("n", "i", "first.n", "first.i")).select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct(), "near-stars")
+    # one first text for each text, then those that this leaves in other components
+    links = _similar(stars.groupBy("u").agg(F.min("v").alias("v")), docs, shingle, least)
+    roots = stored(connected(links), "near-roots")
+    ends = stars.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
+    links = links.union(_similar(ends.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), docs, shingle, least))
+    roots = stored(connected(links), "near-roots")
     rooted = shared.join(roots, "node", "left").select("gram", "node", "n", "i", F.coalesce("root", "node").alias("root"))
     apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
     open_ = stored(rooted.join(apart, "gram", "left_semi"), "near-open")
     other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & may("n", "i", "m", "j"))
-    return connected(stars.union(_similar(pairs.select(F.col("node").alias("u"), "v"), docs, shingle, least)))
+    return connected(links.union(_similar(pairs.select(F.col("node").alias("u"), "v"), docs, shingle, least)))
 
 
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
