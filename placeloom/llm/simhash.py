@@ -27,10 +27,11 @@ similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in a
 the order is by how common a shingle's bucket is, so that common lines come last. From the first
 shingle that two sets share no more can be common than what is left of either set, so the pair is
 dropped where it is formed if that is too little. Other pairs are candidates, and their whole sets
-are compared. First every candidate is compared with one text, the smallest that comes first for
-any of its shingles; then with the first texts of its other shingles that are not yet in its
-component; then only candidates that are not yet in one component are compared with each other.
-So a large group of near copies costs about one link for each of them.
+are compared. First every candidate is compared with one text: of the first texts of its shingles
+(those in whose prefix a shingle comes earliest, so that they have the fewest words of their own),
+the earliest. Then it is compared with ``FIRSTS`` first texts of each shingle, if they are not yet
+in its component; then candidates that are still not in one component are compared with each
+other. So a large group of near copies costs a few comparisons for each of them, not all pairs.
 """
 
 from __future__ import annotations
@@ -49,6 +50,8 @@ SEED, SHINGLE, BUCKET_LIMIT = 42, 3, 4
 _ROWS = 1 << 16
 #: The stage: words of a shingle, least similarity as a fraction, buckets that shingles are counted in.
 STAGE_SHINGLE, STAGE_LEAST, SKETCH = 5, (4, 5), 1 << 20
+#: Texts of a shingle that all its others are compared with before they are compared with each other.
+FIRSTS = 8
 #: Tables of ids are broadcast up to so many rows.
 BROADCAST_ROWS = 500_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -253,6 +256,19 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: tuple[int,
     return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-edges")
 
 
+def _between(postings: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``postings`` whose shingle is in more than one component, with their ``root``."""
+    rooted = postings.join(roots, "node", "left").select("gram", "node", "n", "i", F.coalesce("root", "node").alias("root"))
+    apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
+    return stored(rooted.join(apart, "gram", "left_semi"), "near-open")
+
+
+def _first(*more: str) -> Column:
+    """The posting of a shingle that comes first in its text's prefix: that text has the fewest rare
+    shingles, so it is near the middle of a group of near copies."""
+    return F.min(F.struct((F.col("i") / F.col("n")).alias("at"), "node", "n", "i", *more)).alias("first")
+
+
 def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
     """(node, root) of each of ``docs`` (node, text; one node for one text) that is linked to another.
 
@@ -267,18 +283,18 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
 
     one = _prefixes(docs, shingle, least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = one.select("node", "n", F.posexplode("prefix").alias("i", "gram")).repartition("gram")
-    keys = postings.groupBy("gram").agg(F.min(F.struct("node", "n", "i")).alias("first"), F.count("*").alias("texts")).filter("texts > 1")
+    keys = postings.groupBy("gram").agg(_first(), F.count("*").alias("texts")).filter("texts > 1").drop("texts")
     shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "i", "first"), "near-postings")
-    stars = stored(shared.filter((F.col("node") != F.col("first.node")) & may("n", "i", "first.n", "first.i")).select(F.col("node").alias("u"), F.col("first.node").alias("v")).distinct(), "near-stars")
-    # one first text for each text, then those that this leaves in other components
-    links = _similar(stars.groupBy("u").agg(F.min("v").alias("v")), docs, shingle, least)
-    roots = stored(connected(links), "near-roots")
-    ends = stars.join(roots.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u", "left").join(roots.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v", "left")
-    links = links.union(_similar(ends.filter(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v"), docs, shingle, least))
-    roots = stored(connected(links), "near-roots")
-    rooted = shared.join(roots, "node", "left").select("gram", "node", "n", "i", F.coalesce("root", "node").alias("root"))
-    apart = rooted.groupBy("gram").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("gram")
-    open_ = stored(rooted.join(apart, "gram", "left_semi"), "near-open")
+    # one first text for each text
+    stars = shared.filter((F.col("node") != F.col("first.node")) & may("n", "i", "first.n", "first.i"))
+    links = _similar(stars.groupBy(F.col("node").alias("u")).agg(F.min("first").alias("v")).select("u", F.col("v.node").alias("v")), docs, shingle, least)
+    # then up to FIRSTS first texts of each shingle, which the links so far leave in other components
+    open_ = _between(shared.drop("first"), connected(links))
+    firsts = open_.groupBy("gram", F.pmod("node", F.lit(FIRSTS)).alias("part")).agg(_first("root")).select("gram", "first")
+    stars = open_.join(firsts, "gram").filter((F.col("root") != F.col("first.root")) & may("n", "i", "first.n", "first.i"))
+    links = links.union(_similar(stars.select(F.col("node").alias("u"), F.col("first.node").alias("v")), docs, shingle, least))
+    # then all texts that this leaves in other components
+    open_ = _between(open_.drop("root"), connected(links))
     other = open_.select("gram", F.col("node").alias("v"), F.col("n").alias("m"), F.col("i").alias("j"), F.col("root").alias("other"))
     pairs = open_.join(other, "gram").filter((F.col("node") < F.col("v")) & (F.col("root") != F.col("other")) & may("n", "i", "m", "j"))
     return connected(links.union(_similar(pairs.select(F.col("node").alias("u"), "v"), docs, shingle, least)))
