@@ -1,6 +1,6 @@
 """Queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import decontam, html, langid, media, mixing, pii, repeats, secrets, simhash, url_rules
+from . import decontam, filter_audit, html, langid, media, mixing, pii, repeats, secrets, simhash, url_rules
 
 QUERIES = {
     "op1_benchmark_decontamination": decontam.op1_benchmark_decontamination,
@@ -13,8 +13,10 @@ QUERIES = {
     "op8_pii_spans": pii.op8_pii_spans,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_simhash_near_dedup": simhash.op10_simhash_near_dedup,
+    "op13_filter_interactions": filter_audit.op13_filter_interactions,
 }
 
 ORACLES: dict[str, str] = {
     "op1_benchmark_decontamination": decontam.OP1_SQL,
+    "op13_filter_interactions": filter_audit.OP13_SQL,
 }
