@@ -20,6 +20,7 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("folder")
     one.add_argument("--photos-zip")
     one.add_argument("--photos", action="store_true")
+    one.add_argument("--tasks", action="store_true", help="read the archives in ranges by Spark tasks; the folder must be one that all workers see")
     one = sub.add_parser("subset")
     one.add_argument("raw")
     one.add_argument("out")
@@ -30,13 +31,17 @@ def main(argv: list[str] | None = None) -> int:
     one.add_argument("--catalog")
     one.add_argument("--port", type=int, default=8000)
     args = parser.parse_args(argv)
-    if args.command == "extract":
+    if args.command == "extract" and not args.tasks:
         print(json.dumps(archives.extract_all(args.zip, args.folder, args.photos_zip, args.photos), indent=2))
         return 0
     from pyspark.sql import SparkSession
 
     spark = SparkSession.builder.appName("placeloom").getOrCreate()
-    if args.command == "subset":
+    if args.command == "extract":
+        from .sources import archive_tables
+
+        result = archive_tables.extract_all(spark, args.zip, args.folder, args.photos_zip, args.photos)
+    elif args.command == "subset":
         result = P.prepare_subset(spark, args.raw, args.out, args.max_businesses, args.reviews, args.include_closed)
     elif args.command == "serve":
         from .service import Service, serve

@@ -535,6 +535,55 @@ def model_responses(spark, sf_dir):
     return out.select("conv_id", "turn", "r.confidence", "r.image_summary", _bar("r.structured_info.objects").alias("objects"), _bar("r.structured_info.style").alias("style"))
 
 
+def _archived(spark, sf_dir, gzip):
+    """All texts as files in archives, one archive for each partition; the table of what is in them."""
+    from ..sources import archive_tables
+
+    folder = _scratch(spark, "archives")
+    files = R.table(spark, sf_dir, "documents").select(F.concat(F.lit("photos/"), "doc_id", F.lit(".jpg")).alias("member"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
+    archive_tables.write_archives(files, folder, gzip=gzip).agg(F.sum("files")).collect()
+    return archive_tables.members(archive_tables.entries(spark, folder))
+
+
+def _file_id():
+    return F.regexp_extract("member", "([0-9]+)[.]jpg$", 1).cast("long").alias("doc_id")
+
+
+_FILES = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS content FROM documents"
+
+
+@_query(f"SELECT 'tar' AS kind, * FROM ({_FILES}) UNION ALL SELECT 'tar.gz', * FROM ({_FILES})")
+def archive_round_trip(spark, sf_dir):
+    from ..sources import archive_tables
+
+    out = None
+    for kind in ("tar", "tar.gz"):
+        read = archive_tables.contents(_archived(spark, sf_dir, kind == "tar.gz"))
+        read = read.select(F.lit(kind).alias("kind"), _file_id(), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content"))
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+@_query(f"SELECT * FROM ({_FILES}) WHERE doc_id IN (SELECT doc_id FROM labels)")
+def archive_wanted_members(spark, sf_dir):
+    """Only the files of the ids that another table names are read."""
+    from ..sources import archive_tables
+
+    ids = R.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("photo_id"))
+    found = archive_tables.wanted(_archived(spark, sf_dir, True), (), photo_ids=ids)
+    return archive_tables.contents(found).select(_file_id(), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content"))
+
+
+@_query("""SELECT doc_id, n_lines, octet_length(encode(text)) - breaks AS n_bytes FROM (SELECT *, breaks + CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN 0 ELSE 1 END AS n_lines
+FROM (SELECT doc_id, text, length(text) - length(replace(text, chr(10), '')) AS breaks FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))) WHERE n_lines > 0""")
+def archive_lines(spark, sf_dir):
+    """The lines of all files, each file read in ranges."""
+    from ..sources import archive_tables
+
+    lines = archive_tables.lines(_archived(spark, sf_dir, False), 1 << 15).withColumn("n", F.octet_length("line"))
+    return lines.select(_file_id(), "n").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_bytes"))
+
+
 # ---- files: written to the shared folder first
 
 
