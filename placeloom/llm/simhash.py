@@ -300,21 +300,35 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
     return connected(links.union(_similar(pairs.select(F.col("node").alias("u"), "v"), docs, shingle, least)))
 
 
+def _told_apart(named: DataFrame) -> DataFrame:
+    """``named`` (node, other and more), its ``node`` changed where texts with different ``other`` share it.
+
+    ``node`` is one 64-bit hash of a text and ``other`` a second one. A text is known by both; as the
+    joins carry ``node`` alone, all but one of the texts that share it get another one.
+    """
+    keys = named.groupBy("node", "other").agg(F.count("*").alias("rows"))
+    shared = keys.groupBy("node").agg(F.min("other").alias("first"), F.count("*").alias("texts")).filter("texts > 1").select("node", "first")
+    later = stored(keys.join(shared, "node").filter("other <> first").select("node", "other", F.xxhash64(F.lit("again"), "node", "other").alias("instead")), "near-shared")
+    if later.isEmpty():
+        return named
+    return named.join(_sized(later), ["node", "other"], "left").withColumn("node", F.coalesce("instead", "node")).drop("instead")
+
+
 def keep_one_of_each(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component of ``similar_texts``, one row stays.
 
     It is the one with the smallest doc_id (null last), then the smallest hash of the text and of
-    the whole row.
+    the whole row. Rows travel as one struct, so that columns of any name come out as they went in.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = F.xxhash64(*[F.col(c) for c in docs.columns])
-    keys = stored(docs.select(F.xxhash64(text).alias("node"), F.col("doc_id").alias("id"), row.alias("row")), "near-keys")
-    roots = similar_texts(docs.select(F.xxhash64(text).alias("node"), text.alias("text")))
-    keys = keys.groupBy("node", "id", "row").agg(F.count("*").alias("rows"))
-    order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "row", "rows")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    whole = F.xxhash64(*[F.col(f"row.`{c}`") for c in docs.columns])
+    named = _told_apart(own.select("row", text.alias("text"), F.xxhash64(text).alias("node"), F.xxhash64(F.lit("second"), text).alias("other"), whole.alias("whole")))
+    keys = stored(named.select("node", F.col("row.doc_id").alias("id"), "whole"), "near-keys").groupBy("node", "id", "whole").agg(F.count("*").alias("rows"))
+    roots = similar_texts(named.select("node", "text"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "node", "whole", "rows")
     found = keys.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(order).alias("k"))
-    found = stored(found.select(F.col("k.node").alias("_node"), F.col("k.id").alias("_id"), F.col("k.row").alias("_row"), F.col("k.rows").alias("_rows")), "near-kept")
-    named = docs.withColumns({"_text": F.xxhash64(text), "_whole": row})
-    kept = named.join(_sized(found), (F.col("_text") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_whole") == F.col("_row")))
-    same = kept.filter("_rows > 1").dropDuplicates(["_text"])  # rows that still tie are equal
-    return kept.filter("_rows = 1").unionByName(same).select(*docs.columns)
+    found = stored(found.select("k.node", "k.id", "k.whole", "k.rows"), "near-kept")
+    kept = named.select("row", "node", F.col("row.doc_id").alias("own_id"), F.col("whole").alias("own")).join(_sized(found), "node").filter(F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("whole")))
+    same = kept.filter("rows > 1").dropDuplicates(["node"])  # rows that still tie are equal
+    return kept.filter("rows = 1").union(same).select("row.*")

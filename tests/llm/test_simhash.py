@@ -96,3 +96,19 @@ def test_stage_tells_rows_apart_without_ids(spark, make_docs, words):
     kept = [(r.doc_id, r.text) for r in S.keep_one_of_each(spark, docs, "").collect()]
     assert len(kept) == 5 and {(5, b), (5, c), (9, d), (None, None)} < set(kept)
     assert sum(i is None and (t or "").startswith(a) for i, t in kept) == 1
+
+
+def test_stage_keeps_columns_of_any_name(spark, words):
+    names = ["_text", "_id", "_rows", "_node", "_row", "_whole", "row", "node", "other", "whole", "id", "rows", "root", "own", "own_id", "a.b", "u", "gram"]
+    texts = [words(30), words(30)]
+    rows = [(i, texts[i % 2], *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    kept = S.keep_one_of_each(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[:2]
+
+
+def test_texts_that_share_a_hash(spark):
+    rows = [(1, 10, "a"), (1, 20, "b"), (1, 20, "b"), (1, 30, "c"), (2, 10, "d")]
+    got = S._told_apart(spark.createDataFrame(rows, "node long, other long, text string")).collect()
+    nodes = {r.text: r.node for r in got}
+    assert len(got) == 5 and nodes["a"] == 1 and nodes["d"] == 2 and len(set(nodes.values())) == 4
