@@ -47,6 +47,7 @@ def places(turns: DataFrame) -> DataFrame:
     role, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("role", "text"))
     digest = F.unhex(F.md5(F.concat(F.length(role).cast("string"), F.lit(":"), role, text)))
     rows = turns.filter("conv_id is not null").select("conv_id", "turn", digest.alias("digest"), F.size(word_list(text)).cast("long").alias("words"))
+    rows = stored(rows, "trie-digests")  # sampled and sorted without reading the texts again
     in_order = [F.col("turn").asc_nulls_first(), F.col("digest"), F.col("row")]  # row: so that equal turns can be split
     spread = rows.withColumn("row", F.monotonically_increasing_id()).repartitionByRange("conv_id", *in_order)
     spread = stored(spread.withColumn("pile", F.spark_partition_id()), "trie-turns")
