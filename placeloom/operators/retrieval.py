@@ -1,8 +1,21 @@
 """Keyword retrieval over a catalog, and its measures.
 
-One query or millions are answered alike: tokens of queries and of items are exploded to distinct
-(id, token) rows and joined on the token; matched tokens are collected per (query, item), which a
-query's length bounds. Nothing is compared pair by pair.
+One query or millions are answered alike, from an inverted index: the distinct tokens of the items,
+each with the number of items that have it. An item scores the number of a query's tokens it has.
+
+Rare tokens first. Of a query's tokens, in order of rarity, those whose lists together hold at most
+``reach`` items are read; items found there are scored in full from their own tokens. An item that
+none of these lists holds can score no more than the number of tokens left. If ``k`` items beat that,
+the query is done, and the long lists are not read.
+
+Catalog in waves. Queries that are not done read the long lists of the first items of the catalog,
+then of ever larger ranges. A query is done as soon as ``k`` of its items have more than the most
+that later items can score, or just that and an earlier place: a word that every item has costs a
+query a few thousand rows, not the catalog. Only queries whose common tokens hardly ever meet in
+one item are read to the end of the catalog.
+
+If all lists together are short (``direct`` rows for all queries), they are joined at once; the
+result is the same.
 """
 
 from __future__ import annotations
@@ -11,27 +24,91 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources.tables import sized, stored
+
+REACH, FIRST_WAVE, GROWTH, DIRECT = 20_000, 4096, 8, 2_000_000
 
 
 def item_text(name: Column, category: Column, description: Column, tags: Column) -> Column:
     return F.concat_ws(" ", name, category, description, tags)
 
 
-def search(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+def search(queries: DataFrame, items: DataFrame, k: int = 5, reach: int = REACH, first_wave: int = FIRST_WAVE, direct: int | None = DIRECT) -> DataFrame:
     """The ``k`` best items of each query: query_id, item_id, score, matched, rank.
 
-    ``queries`` has query_id and text, ``items`` item_id, text and ord. Score: matched tokens as a
-    share of the query's different tokens. Ties keep the catalog's order.
+    ``queries`` has query_id and text, ``items`` item_id, text and ord (different for each item).
+    Score: matched tokens as a share of the query's different tokens. Ties keep the catalog's order.
+    Null texts have no tokens; queries without a match have no rows. With ``direct=None`` lists are
+    joined without counting them first, which suits a handful of queries.
     """
-    return best(matches(queries, items), k)
+    if direct is None:
+        return best(matches(queries, items), k)
+    asked, has = _token_lists(queries, "query_id"), _token_lists(items, "item_id", "ord")
+    lengths = stored(has.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "search-lengths")
+    terms = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    terms = stored(terms.join(lengths, "token"), "search-terms")
+    if (terms.agg(F.sum("df")).first()[0] or 0) <= direct:
+        return best(_met(terms, has), k)
+    return best(_bounded(terms, asked, has, lengths, k, reach, first_wave), k)
+
+
+def _token_lists(df: DataFrame, *keys: str) -> DataFrame:
+    return df.select(*keys, F.array_distinct(X.ascii_tokens(F.col("text"))).alias("tokens"))
+
+
+def _met(terms: DataFrame, has: DataFrame) -> DataFrame:
+    """All matches: query_id, item_id, ord, matched and n."""
+    tokens = has.select("item_id", "ord", F.explode("tokens").alias("token"))
+    return terms.select("query_id", "n", "token").join(tokens, "token").groupBy("query_id", "item_id", "ord").agg(F.array_sort(F.collect_list("token")).alias("matched"), F.first("n").alias("n"))
 
 
 def matches(queries: DataFrame, items: DataFrame) -> DataFrame:
-    """query_id, item_id, ord, matched (tokens that both have) and n (different tokens of the query)."""
-    asked = queries.select("query_id", F.array_distinct(X.ascii_tokens(F.col("text"))).alias("q"))
-    has = items.select("item_id", "ord", F.explode(F.array_distinct(X.ascii_tokens(F.col("text")))).alias("token"))
-    met = asked.select("query_id", F.size("q").alias("n"), F.explode("q").alias("token")).join(has, "token")
-    return met.groupBy("query_id", "item_id", "ord").agg(F.array_sort(F.collect_list("token")).alias("matched"), F.first("n").alias("n"))
+    """query_id, item_id, ord, matched (tokens that both have) and n (different tokens of the query), for all pairs that share one."""
+    asked = _token_lists(queries, "query_id")
+    return _met(asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token")), _token_lists(items, "item_id", "ord"))
+
+
+def numbered(df: DataFrame, order: str) -> DataFrame:
+    """``df`` (stored) with ``place``, from 0 in the order of a column, counted in ranges and not in one task."""
+    spread = stored(df.repartitionByRange(order).withColumn("pile", F.spark_partition_id()), "numbered")
+    sizes = spread.groupBy("pile").agg(F.count("*").alias("n"))
+    before = sizes.select("pile", F.coalesce(F.sum("n").over(Window.orderBy("pile").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("pile").orderBy(order)) - 1
+    return spread.withColumn("own", own).join(F.broadcast(before), "pile").withColumn("place", F.col("own") + F.col("before")).drop("pile", "own", "before")  # a row for each partition
+
+
+def _bounded(terms: DataFrame, asked: DataFrame, has: DataFrame, lengths: DataFrame, k: int, reach: int, first_wave: int) -> DataFrame:
+    """At least the ``k`` best matches of each query, without reading all of its long lists."""
+    has = stored(numbered(has, "ord"), "search-items")
+    rare_first = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
+    terms = terms.withColumn("rare", F.sum("df").over(rare_first) <= reach)
+    terms = stored(terms.withColumn("left", F.count_if(~F.col("rare")).over(Window.partitionBy("query_id"))), "search-terms")
+    # lists that are longer than ``reach`` are not shuffled; there are at most tokens / reach of them
+    postings = has.select("item_id", F.explode("tokens").alias("token")).join(sized(lengths.filter(F.col("df") > reach).select("token")), "token", "left_anti")
+    seen = terms.filter("rare").select("query_id", "token").join(postings, "token").select("query_id", "item_id").distinct()
+    whole = seen.join(asked.select("query_id", F.col("tokens").alias("q")), "query_id").join(has, "item_id")
+    found = stored(whole.select("query_id", "item_id", "ord", "place", F.array_sort(F.array_intersect("q", "tokens")).alias("matched"), F.size("q").alias("n")), "search-found")
+    common = terms.filter(~F.col("rare"))
+    queries = common.select("query_id", "left").distinct()
+    low, high, size = 0, first_wave, has.count()
+    while True:
+        # what is found counts against later items if it has more than they can, or as much and comes first
+        read = F.lit(low)
+        sure = (F.size("matched") > F.col("left")) | ((F.size("matched") == F.col("left")) & (F.col("place") < read))
+        done = found.join(queries, "query_id").filter(sure).groupBy("query_id").agg(F.count("*").alias("sure")).filter(F.col("sure") >= k)
+        queries = stored(queries.join(done, "query_id", "left_anti"), "search-open")
+        if low >= size or queries.isEmpty():
+            return found.drop("place")
+        wave = has.filter((F.col("place") >= low) & (F.col("place") < high))
+        tokens = wave.select("item_id", "ord", "place", F.explode("tokens").alias("token"))
+        some = common.join(queries.select("query_id"), "query_id", "left_semi").select("query_id", "n", "token")
+        # items that a rare list holds are scored already
+        new = some.join(tokens, "token").join(found.select("query_id", "item_id"), ["query_id", "item_id"], "left_anti")
+        new = new.groupBy("query_id", "item_id", "ord", "place").agg(F.array_sort(F.collect_list("token")).alias("matched"), F.first("n").alias("n"))
+        most = Window.partitionBy("query_id").orderBy(F.desc(F.size("matched")), "ord")
+        kept = found.unionByName(new).withColumn("r", F.row_number().over(most)).filter(F.col("r") <= k).drop("r")
+        found = stored(kept, "search-found")
+        low, high = high, high * GROWTH
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -42,8 +119,8 @@ def best(found: DataFrame, k: int) -> DataFrame:
 
 
 def hybrid_search(queries: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
-    """``search`` with the name of what answered it."""
-    return search(queries, items, k).withColumn("retrieval_mode", F.lit("hybrid_keyword_baseline"))
+    """``search`` for a handful of queries, with the name of what answered it."""
+    return search(queries, items, k, direct=None).withColumn("retrieval_mode", F.lit("hybrid_keyword_baseline"))
 
 
 def recall_at_k(expected: Column, ranked: Column, k: int) -> Column:

@@ -11,6 +11,7 @@ from ..functions import attributes as A
 from ..functions import modelout as M
 from ..functions import text as X
 from ..operators import align, catalog, contract, parse, planning, retrieval, similarity, stats
+from ..sources import archive_tables, images, tables
 from . import roles as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -342,10 +343,19 @@ def failure_types(spark, sf_dir):
     return stats.failure_types(R.table(spark, sf_dir, "events").select(F.nullif("event_type", F.lit("view")).alias("error_type")))
 
 
-@_query("SELECT name, 'absent' AS missing FROM (VALUES ('documents')) AS t(name)")
+_CONTRACT = {"documents": {"doc_id", "text", "lang", "absent"}, "pages": {"page_id", "url", "html"}, "labels": {"doc_id", "toxic", "zeal", "absent"}, "part": {"p_partkey", "p_name", "P_NAME"}}
+_LOST = {"documents": "absent", "pages": "", "labels": "absent,zeal", "part": "P_NAME"}
+
+
+@_query(" UNION ALL ".join(f"SELECT '{name}' AS name, count(*) AS n_rows, '{lost}' AS missing FROM {name}" for name, lost in _LOST.items()))
 def column_contract(spark, sf_dir):
-    lost = contract.missing_columns(R.table(spark, sf_dir, "documents"), {"doc_id", "text", "absent"})
-    return spark.range(1).select(F.lit("documents").alias("name"), F.lit(",".join(lost)).alias("missing"))
+    """Each table as it is read: its rows, and the columns that it lacks."""
+    out = None
+    for name, required in _CONTRACT.items():
+        df = R.table(spark, sf_dir, name)
+        one = df.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("name"), "n_rows", F.lit(",".join(contract.missing_columns(df, required))).alias("missing"))
+        out = one if out is None else out.union(one)
+    return out
 
 
 @_query("SELECT photo_id, image_path FROM (SELECT CAST(page_id AS VARCHAR) AS photo_id, CASE WHEN page_id % 9 = 0 THEN '' ELSE concat('a/b/', page_id, '.jpg') END AS image_path, page_id FROM pages) WHERE page_id % 9 = 0 OR page_id % 4 = 1")
@@ -369,10 +379,15 @@ def photo_records(spark, sf_dir):
     return parse.photos(raw, "root/").select("photo_id", "business_id", "image_path", "caption")
 
 
-@_query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'PROMPT' ELSE 'PROMPT' END AS prompt FROM orders".replace("PROMPT", next(iter(M.PROMPTS.values()))))
+_TWO_PROMPTS = {**M.PROMPTS, "short_v2": "Name the place type as JSON."}
+
+
+@_query(f"SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN '{_TWO_PROMPTS['short_v2']}' ELSE '{next(iter(M.PROMPTS.values()))}' END AS prompt FROM orders")
 def prompt_versions(spark, sf_dir):
-    version = F.when(F.col("o_orderkey") % 2 == 0, next(iter(M.PROMPTS))).otherwise("unknown")
-    return R.table(spark, sf_dir, "orders").select("o_orderkey", M.prompt(version).alias("prompt"))
+    """A known second version, the first, an unknown one and none."""
+    p = F.col("o_orderpriority")
+    version = F.when(p == "1-URGENT", "short_v2").when(p == "2-HIGH", next(iter(M.PROMPTS))).when(p == "3-MEDIUM", "unknown")
+    return R.table(spark, sf_dir, "orders").select("o_orderkey", M.prompt(version, _TWO_PROMPTS).alias("prompt"))
 
 
 # ---- retrieval
@@ -382,18 +397,16 @@ _SEARCH = """WITH q AS (SELECT query_id, toks, unnest(toks) AS token FROM ({quer
 m AS (SELECT query_id, item_id, round(count(*) / any_value(len(toks)), 4) AS score, string_agg(token, '|' ORDER BY token) AS matched FROM q JOIN i USING (token) GROUP BY query_id, item_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM m)"""
 _PARTS = f"SELECT p_partkey AS item_id, {_TOKENS.format('concat_ws(chr(32), p_name, p_type, p_brand)')} AS toks FROM part"
-_TITLES = f"SELECT page_id AS item_id, {_TOKENS.format('regexp_extract(html, chr(60) || ' + repr('title>([^<]*)') + ', 1)')} AS toks FROM pages"
+_DOCS = f"SELECT doc_id AS item_id, {_TOKENS.format('text')} AS toks FROM documents"
 _ONE = f"SELECT 0 AS query_id, {_TOKENS.format(repr('Small red ring, economy Brand 4!'))} AS toks"
 _MANY = f"SELECT item_id AS query_id, {_TOKENS.format('text')} AS toks FROM benchmark"
-_BATCH = _SEARCH.format(queries=_MANY, items=_TITLES)
-
-
-def _titles(spark, sf_dir):
-    return R.table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), F.col("page_id").alias("ord"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("text"))
+_BATCH = _SEARCH.format(queries=_MANY, items=_DOCS)
 
 
 def _batch(spark, sf_dir, k):
-    return retrieval.search(R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _titles(spark, sf_dir), k)
+    """Each benchmark item searched in all documents."""
+    docs = R.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("doc_id").alias("ord"), "text")
+    return retrieval.search(R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"), docs, k)
 
 
 @_query(_SEARCH.format(queries=_ONE, items=_PARTS) + " SELECT CAST(query_id AS BIGINT) AS query_id, item_id, score, matched, rank, 'hybrid_keyword_baseline' AS retrieval_mode FROM r WHERE rank <= 10")
@@ -408,23 +421,38 @@ def keyword_search_batch(spark, sf_dir):
     return _batch(spark, sf_dir, 5).withColumn("matched", _bar("matched"))
 
 
-_RANKED = _BATCH + ", l AS (SELECT query_id, list(item_id ORDER BY rank) AS ranked FROM r WHERE rank <= 10 GROUP BY query_id), e AS (SELECT query_id, ranked, list_distinct([ranked[1], ranked[3], ranked[9], -1]) AS wanted FROM l WHERE len(ranked) = 10)"
+# wanted are the documents that hold an item's text, if it has three words or more
+_JUDGED = _BATCH + """, l AS (SELECT query_id, list(item_id ORDER BY rank) AS ranked FROM r WHERE rank <= 5 GROUP BY query_id),
+w AS (SELECT b.item_id AS query_id, list(d.doc_id ORDER BY d.doc_id) AS wanted FROM benchmark b JOIN documents d ON contains(d.text, b.text) WHERE len(WORDS) > 2 GROUP BY b.item_id),
+e AS (SELECT b.item_id AS query_id, coalesce(wanted, []) AS wanted, coalesce(ranked, []) AS ranked FROM benchmark b LEFT JOIN w ON w.query_id = b.item_id LEFT JOIN l ON l.query_id = b.item_id)""".replace("WORDS", _TOKENS.format("b.text"))
 
 
-def _ranked(spark, sf_dir):
-    lists = _batch(spark, sf_dir, 10).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l")).filter(F.size("l") == 10)
-    return lists.select("query_id", F.col("l.item_id").alias("ranked")).withColumn("wanted", F.array(F.get("ranked", F.lit(0)), F.get("ranked", F.lit(2)), F.get("ranked", F.lit(8)), F.lit(-1).cast("long")))
+def _judged(spark, sf_dir):
+    """query_id, wanted (ascending) and ranked (the first five) of each benchmark item."""
+    asked = R.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    docs = R.table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("whole"))
+    lists = _batch(spark, sf_dir, 5).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "item_id"))).alias("l")).select("query_id", F.col("l.item_id").alias("ranked"))
+    # a text's first and last word may be cut off words of a document, those between are whole
+    words = X.ascii_tokens(F.col("text"))
+    inner = asked.filter(F.size(F.array_distinct(words)) > 2).select("query_id", "text", F.explode(F.array_distinct(F.slice(words, 2, F.size(words) - 2))).alias("token"))
+    found = tables.stored(docs.select("doc_id", F.explode(F.array_distinct(X.ascii_tokens(F.col("whole")))).alias("token")).join(tables.sized(tables.stored(inner.select("token").distinct(), "judged-words")), "token", "left_semi"), "judged-postings")
+    lengths = found.groupBy("token").agg(F.count("*").alias("df"))
+    rarest = inner.join(lengths, "token").groupBy("query_id", "text").agg(F.min(F.struct("df", "token")).alias("r")).select("query_id", "text", F.col("r.token").alias("token"))
+    holds = rarest.join(found, "token").join(docs, "doc_id").filter(F.contains("whole", "text"))
+    wanted = holds.groupBy("query_id").agg(F.array_sort(F.collect_list("doc_id")).alias("wanted"))
+    none = F.array().cast("array<bigint>")
+    return asked.select("query_id").join(wanted, "query_id", "left").join(lists, "query_id", "left").select("query_id", F.coalesce("wanted", none).alias("wanted"), F.coalesce("ranked", none).alias("ranked"))
 
 
-@_query(_RANKED + " SELECT query_id, round(len(list_intersect(wanted, ranked[1:5])) / len(wanted), 6) AS recall FROM e")
+@_query(_JUDGED + " SELECT query_id, round(coalesce(len(list_intersect(wanted, ranked)) / nullif(len(wanted), 0), 0), 6) AS recall FROM e")
 def recall_at_k(spark, sf_dir):
-    return _ranked(spark, sf_dir).select("query_id", F.round(retrieval.recall_at_k(F.col("wanted"), F.col("ranked"), 5), 6).alias("recall"))
+    return _judged(spark, sf_dir).select("query_id", F.round(retrieval.recall_at_k(F.col("wanted"), F.col("ranked"), 5), 6).alias("recall"))
 
 
-@_query(_RANKED + " SELECT query_id, CAST(list_contains(ranked[1:5], ranked[1 + query_id % 10]) AS BIGINT) AS hit FROM e")
+@_query(_JUDGED + " SELECT query_id, CAST(coalesce(list_contains(ranked, wanted[1]), false) AS BIGINT) AS hit FROM e")
 def top_k_hit(spark, sf_dir):
-    wanted = F.get("ranked", F.pmod(F.col("query_id"), F.lit(10)).cast("int"))
-    return _ranked(spark, sf_dir).select("query_id", retrieval.top_k_hit(wanted, F.col("ranked"), 5).cast("long").alias("hit"))
+    """Whether the first document that holds an item is among its five best."""
+    return _judged(spark, sf_dir).select("query_id", retrieval.top_k_hit(F.get("wanted", F.lit(0)), F.col("ranked"), 5).cast("long").alias("hit"))
 
 
 _PASSAGES = f"""WITH q AS (SELECT item_id, text, {_TOKENS.format('text')} AS toks FROM benchmark), d AS (SELECT doc_id, text, {_TOKENS.format('text')} AS toks FROM documents),
@@ -537,9 +565,7 @@ def model_responses(spark, sf_dir):
 
 def _archived(spark, sf_dir, gzip):
     """All texts as files in archives, one archive for each partition; the table of what is in them."""
-    from ..sources import archive_tables
-
-    folder = _scratch(spark, "archives")
+    folder = tables.scratch(spark, "archives")
     files = R.table(spark, sf_dir, "documents").select(F.concat(F.lit("photos/"), "doc_id", F.lit(".jpg")).alias("member"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"))
     archive_tables.write_archives(files, folder, gzip=gzip).agg(F.sum("files")).collect()
     return archive_tables.members(archive_tables.entries(spark, folder))
@@ -554,8 +580,6 @@ _FILES = "SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT
 
 @_query(f"SELECT 'tar' AS kind, * FROM ({_FILES}) UNION ALL SELECT 'tar.gz', * FROM ({_FILES})")
 def archive_round_trip(spark, sf_dir):
-    from ..sources import archive_tables
-
     out = None
     for kind in ("tar", "tar.gz"):
         read = archive_tables.contents(_archived(spark, sf_dir, kind == "tar.gz"))
@@ -567,8 +591,6 @@ def archive_round_trip(spark, sf_dir):
 @_query(f"SELECT * FROM ({_FILES}) WHERE doc_id IN (SELECT doc_id FROM labels)")
 def archive_wanted_members(spark, sf_dir):
     """Only the files of the ids that another table names are read."""
-    from ..sources import archive_tables
-
     ids = R.table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("photo_id"))
     found = archive_tables.wanted(_archived(spark, sf_dir, True), (), photo_ids=ids)
     return archive_tables.contents(found).select(_file_id(), F.octet_length("content").cast("long").alias("n_bytes"), F.sha2("content", 256).alias("content"))
@@ -578,8 +600,6 @@ def archive_wanted_members(spark, sf_dir):
 FROM (SELECT doc_id, text, length(text) - length(replace(text, chr(10), '')) AS breaks FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents))) WHERE n_lines > 0""")
 def archive_lines(spark, sf_dir):
     """The lines of all files, each file read in ranges."""
-    from ..sources import archive_tables
-
     lines = archive_tables.lines(_archived(spark, sf_dir, False), 1 << 15).withColumn("n", F.octet_length("line"))
     return lines.select(_file_id(), "n").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_bytes"))
 
@@ -590,11 +610,9 @@ def archive_lines(spark, sf_dir):
 @_query()
 def jsonl_line_counts(spark, sf_dir):
     """Lines of four kinds, written as text and classified: records, blank, bad and non-object lines."""
-    from ..sources import tables
-
     d = R.table(spark, sf_dir, "documents")
     line = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 7 == 1, "[1]").when(F.col("doc_id") % 7 == 2, '{"a":1} x').otherwise(F.to_json(F.struct("doc_id", "lang")))
-    path = _scratch(spark, "lines")
+    path = tables.scratch(spark, "lines")
     d.select(line.alias("value")).write.text(path)
     return tables.line_counts(tables.json_lines(spark, path))
 
@@ -609,48 +627,41 @@ def jsonl_round_trip(spark, sf_dir):
 
 def whole_round_trip(spark, docs):
     """``docs`` written as JSON lines and read back, with all rows and columns."""
-    from ..sources import tables
-
-    path = _scratch(spark, "records")
+    path = tables.scratch(spark, "records")
     tables.write_json_lines(docs, path)
     return tables.json_records(tables.json_lines(spark, path), ", ".join(f"{c} {t}" for c, t in docs.dtypes)).select(*docs.columns)
 
 
 @_query("SELECT p_partkey, p_name, array_to_string([p_brand, p_type], '|') AS tags, p_retailprice FROM part")
 def csv_round_trip(spark, sf_dir):
-    from ..sources import tables
-
-    path = _scratch(spark, "table") + ".csv"
+    path = tables.scratch(spark, "table") + ".csv"
     tables.write_table(R.table(spark, sf_dir, "part").select("p_partkey", "p_name", F.array("p_brand", "p_type").alias("tags"), "p_retailprice"), path, "csv")
     return tables.read_table(spark, path, "p_partkey long, p_name string, tags array<string>, p_retailprice double").withColumn("tags", _bar("tags"))
 
 
-@_query("SELECT CAST(photo_id AS VARCHAR) AS photo_id, photo_id % 4 < 2 AS image_valid, CASE WHEN photo_id % 4 < 2 THEN photo_id % 4 + 2 ELSE 0 END AS image_width, CASE photo_id % 4 WHEN 2 THEN 'missing' WHEN 3 THEN 'corrupted' ELSE '' END AS status FROM range(40) t(photo_id)")
-def image_index(spark, sf_dir):
-    """Forty image files, written here: valid, missing and corrupt ones in turn."""
-    from ..sources import images
+_IMAGES = "SELECT CAST(page_id AS VARCHAR) AS photo_id, page_id % 4 < 2 AS image_valid, CASE WHEN page_id % 4 < 2 THEN length(html) % 97 + 1 ELSE 0 END AS image_width, CASE page_id % 4 WHEN 2 THEN 'missing' WHEN 3 THEN 'corrupted' ELSE '' END AS status FROM pages"
 
-    root = _scratch(spark, "images")
-    files = spark.sparkContext.parallelize([(i, _png_bytes(i % 4 + 2) if i % 4 < 2 else b"not an image") for i in range(40) if i % 4 != 2], 2)
-    _write_files(spark, root, files.collect())
-    photos = spark.range(40).select(F.col("id").cast("string").alias("photo_id"), F.lit("b").alias("business_id"), F.concat(F.lit(root + "/"), "id", F.lit(".png")).alias("image_path"))
+
+@_query(_IMAGES)
+def image_index(spark, sf_dir):
+    """A photo for each page, its file written by tasks: images as wide as the page is long, none, or the page itself."""
+    root, kind = tables.scratch(spark, "images"), F.col("page_id") % 4
+    pages = R.table(spark, sf_dir, "pages")
+    content = F.when(kind < 2, images.blank_png(F.length("html") % 97 + 1)).otherwise(F.encode("html", "UTF-8"))
+    archive_tables.write_files(pages.filter(kind != 2).select(F.concat(F.lit("photos/"), "page_id", F.lit(".png")).alias("member"), content.alias("content")), root).agg(F.sum("bytes")).collect()
+    photos = pages.select(F.col("page_id").cast("string").alias("photo_id"), F.lit("b").alias("business_id"), F.concat(F.lit("photos/"), "page_id", F.lit(".png")).alias("image_path"))
     index = images.image_index(photos, root)
     return index.select("photo_id", "image_valid", F.coalesce("image_width", F.lit(0)).cast("long").alias("image_width"), F.regexp_extract(F.coalesce("validation_error", F.lit("")), "^[a-z]+", 0).alias("status"))
 
 
-@_query("SELECT CAST(40 AS BIGINT) AS total_images, CAST(20 AS BIGINT) AS valid_images, CAST(10 AS BIGINT) AS missing_images, CAST(10 AS BIGINT) AS corrupted_images")
+@_query(f"SELECT count(*) AS total_images, CAST(count_if(image_valid) AS BIGINT) AS valid_images, CAST(count_if(status = 'missing') AS BIGINT) AS missing_images, CAST(count_if(status = 'corrupted') AS BIGINT) AS corrupted_images FROM ({_IMAGES})")
 def image_counts(spark, sf_dir):
-    from ..sources import images
-
-    flagged = image_index(spark, sf_dir).withColumn("validation_error", F.nullif("status", F.lit("")))
-    return images.image_counts(flagged)
+    return images.image_counts(image_index(spark, sf_dir).withColumn("validation_error", F.nullif("status", F.lit(""))))
 
 
 @_query("SELECT p_partkey, p_name, p_size, p_retailprice FROM part")
 def parquet_round_trip(spark, sf_dir):
-    from ..sources import tables
-
-    path = _scratch(spark, "table") + ".parquet"
+    path = tables.scratch(spark, "table") + ".parquet"
     part = R.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size", "p_retailprice")
     assert tables.write_table(part, path)["actual_format"] == "parquet" and tables.is_parquet(spark, path)
     return tables.read_table(spark, path)
@@ -658,39 +669,7 @@ def parquet_round_trip(spark, sf_dir):
 
 @_query("SELECT DISTINCT concat('p', page_id % 50) AS photo_id FROM pages WHERE page_id % 50 <> 7")
 def json_photo_ids(spark, sf_dir):
-    from ..sources import tables
-
-    path = _scratch(spark, "items")
+    path = tables.scratch(spark, "items")
     k = F.col("page_id") % 50
     tables.write_json_lines(R.table(spark, sf_dir, "pages").select(F.when(k == 7, "").otherwise(F.concat(F.lit("p"), k)).alias("photo_id"), "url"), path)
     return tables.photo_ids(spark, path)
-
-
-def _png_bytes(width: int) -> bytes:
-    import struct
-    import zlib
-
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (width + 1))) + chunk(b"IEND", b"")
-
-
-def _write_files(spark: SparkSession, root: str, files: list[tuple[int, bytes]]) -> None:
-    fs_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    for i, data in files:
-        out = fs.create(fs_path(f"{root}/{i}.png"))
-        out.write(bytearray(data))
-        out.close()
-
-
-def _scratch(spark: SparkSession, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="placeloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}"

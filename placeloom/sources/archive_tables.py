@@ -51,6 +51,13 @@ _MAGIC = ((b"\x1f\x8b", "gzip"), (b"BZh", "bzip2"), (b"\xfd7zXZ\x00", "xz"))
 # ---- files
 
 
+def target_path(folder: str, name: str) -> str:
+    parts = [p for p in member_name(name).split("/") if p not in ("", ".")]
+    if ".." in parts or not parts:
+        raise ValueError(f"unsafe member: {name}")
+    return "/".join([folder.rstrip("/"), *parts])
+
+
 def _place(path: str):
     """None and a local path, or an Arrow file system and a path on it."""
     if path.startswith("file:"):
@@ -359,10 +366,7 @@ def extract(found: DataFrame, folder: str) -> DataFrame:
         for batch in batches:
             done = []
             for row in batch.to_pylist():
-                parts = [p for p in row["target"].split("/") if p not in ("", ".")]
-                if ".." in parts or not parts:
-                    raise ValueError(f"unsafe member: {row['member']}")
-                path, digest = "/".join([folder.rstrip("/"), *parts]), sha256()
+                path, digest = target_path(folder, row["target"]), sha256()
                 with created(path) as out:
                     for block in reader.member(row):
                         digest.update(block)
@@ -452,6 +456,18 @@ def write_archives(files: DataFrame, folder: str, name: str = "part", gzip: bool
     return files.select("member", "content").mapInArrow(run, "path string, files long")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """Writes (member, content) as files under a folder: path, bytes. Lazy: an action writes."""
+
+    def one(row: dict) -> Iterator[dict]:
+        path = target_path(folder, row["member"])
+        with created(path) as out:
+            out.write(row["content"] or b"")
+        yield {"path": path, "bytes": len(row["content"] or b"")}
+
+    return files.select("member", "content").mapInArrow(_each("path string, bytes long", one), "path string, bytes long")
+
+
 def extract_all(spark: SparkSession, json_zip: str, folder: str, photos_zip: str | None = None, photos: bool = False, photo_ids: DataFrame | None = None) -> dict:
     """Tables, documents and, if asked for, photos, copied by tasks. Returns the manifest: counts, and files by kind (photos only counted)."""
     found = members(entries(spark, json_zip)).cache()

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
+import uuid
 from pathlib import Path
 
 import pandas as pd
@@ -19,6 +21,33 @@ from pyspark.sql import types as T
 IMAGE_INDEX = "photo_id string, business_id string, image_path string, image_valid boolean, image_width long, image_height long, validation_error string"
 
 
+BROADCAST_ROWS = 100_000
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share. Only on one machine, without a
+    setting, is a temporary folder set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="placeloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read back: read twice without being made twice."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """``df``, which is stored and of a few narrow columns, marked for broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def ordered(df: DataFrame, parquet: bool = True) -> DataFrame:
     row = F.col("_metadata.row_index") if parquet else F.monotonically_increasing_id()
     start = F.lit(0).cast("long") if parquet else F.col("_metadata.file_block_start")
