@@ -42,26 +42,33 @@ def image_files(spark: SparkSession, root: str) -> DataFrame:
 def check_outputs(spark: SparkSession, settings: dict) -> dict:
     """status, errors, warnings, counts, columns and files of a run."""
     paths, fmt = settings["paths"], settings["output"]["format"]
-    errors, warnings, counts, columns, files = [], [], {}, {}, {}
+    errors, warnings, counts, columns, files, there = [], [], {}, {}, {}, None
+    noted = {o.get("path"): o for o in tables.read_json(f"{paths['interim_dir']}/validation_summary.json").get("outputs") or []}
+    report = Path(paths["report_path"])
     for name, (layer, file, required) in EXPECTED.items():
         files[name] = path = f"{paths[layer]}/{file}.{fmt}"
         if not tables.exists(spark, path):
             errors.append(f"missing table {name}: {path}")
             counts[name], columns[name] = 0, []
             continue
-        df = spark.read.parquet(path) if fmt == "parquet" else spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        df = tables.read_table(spark, path)
         counts[name], columns[name] = df.count(), sorted(df.columns)
         if lost := missing_columns(df, required):
             errors.append(f"{name} lacks columns {lost}")
         elif name in ("strong_pairs", "medium_pairs", "weak_pairs") and tables.exists(spark, paths["image_root"]):
-            there = image_files(spark, paths["image_root"])
-            one = df if name != "weak_pairs" else df.select("pair_id", F.explode("image_paths").alias("image_path")) if fmt == "parquet" else df.select("pair_id", F.explode(F.from_json("image_paths", "array<string>")).alias("image_path"))
+            there = there or tables.stored(image_files(spark, paths["image_root"]), "image-files")  # listed once
+            one = df if name != "weak_pairs" else df.select("pair_id", F.explode("image_paths").alias("image_path"))
             if bad := without_file(one, "image_path", there, paths["image_root"]).orderBy("pair_id").first():
                 errors.append(f"{name}: {bad.pair_id} has no image file: {bad.image_path}")
         if fmt == "parquet" and not tables.is_parquet(spark, path):
-            errors.append(f"{name} is not Parquet: {path}")
+            note = noted.get(path) or {}
+            if note.get("actual_format") != "csv_fallback" or not note.get("error"):
+                errors.append(f"{name} is not Parquet: {path}")
+            elif not report.exists() or "CSV fallback" not in report.read_text(encoding="utf-8"):
+                errors.append(f"{name} fell back to CSV, which the report does not say")
+            else:
+                warnings.append(f"{name} fell back to CSV: {note['error']}")
     errors += check_denoised(spark, settings)
-    report = Path(paths["report_path"])
     if not report.exists():
         errors.append(f"missing report: {report}")
     else:
@@ -81,7 +88,7 @@ def check_denoised(spark: SparkSession, settings: dict) -> list[str]:
     table = f"{paths['processed_dir']}/{own.get('output_filename', 'weak_pairs_denoised')}.{settings['output']['format']}"
     if not tables.exists(spark, table):
         return [f"missing table: {table}"]
-    df = spark.read.parquet(table) if table.endswith("parquet") else spark.read.option("header", True).csv(table)
+    df = tables.read_table(spark, table)
     errors = [f"the denoised table lacks columns {lost}"] if (lost := missing_columns(df, DENOISED)) else []
     kept, rows = int(json.loads(summary.read_text(encoding="utf-8")).get("retained_pairs", 0)), df.count()
     if kept != rows:
@@ -103,7 +110,8 @@ def report(settings: dict, stats: dict, validation: dict | None = None, clip: di
     validation, clip = validation or {}, clip or {}
     get = lambda d, k: "TODO" if d.get(k) is None else d[k]
     formats = {o.get("actual_format") for o in validation.get("outputs") or [] if isinstance(o, dict)}
-    storage = "CSV files" if formats & {"csv", "csv_fallback"} else "Parquet files" if "parquet" in formats else "TODO"
+    lost = [o for o in validation.get("outputs") or [] if isinstance(o, dict) and o.get("actual_format") == "csv_fallback"]
+    storage = f"CSV fallback for {len(lost)} tables: {lost[0].get('error')}" if lost else "CSV files" if "csv" in formats else "Parquet files" if "parquet" in formats else "TODO"
     limit = settings.get("processing_limits", {}).get("max_reviews")
     rejects, images = validation.get("review_filters", {}), validation.get("image_validation", {})
     section = lambda n, title, *lines: [f"## {n}. {title}", *(f"- {x}" for x in lines), ""]

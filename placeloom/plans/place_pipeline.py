@@ -44,20 +44,20 @@ def run_parse(spark: SparkSession, config: dict) -> dict:
 
 
 def _interim(spark: SparkSession, config: dict, name: str) -> DataFrame:
-    return tables.ordered(spark.read.parquet(f"{config['paths']['interim_dir']}/{name}.parquet"))
+    return tables.read_table(spark, f"{config['paths']['interim_dir']}/{name}.{config['output']['format']}", order=True)
 
 
 def run_alignment(spark: SparkSession, config: dict) -> dict:
-    """Interim tables (Parquet) to the three kinds of pairs and the statistics."""
-    paths, caps = config["paths"], config["weak_alignment"]
+    """Interim tables to the three kinds of pairs and the statistics, in the run's format."""
+    paths, fmt, caps = config["paths"], config["output"]["format"], config["weak_alignment"]
     business, reviews, photos, index = (_interim(spark, config, n) for n in ("business", "reviews", "photos", "photo_image_index"))
     ok = align.valid_images(index)
     businesses = align.last_of_each(business, "business_id")
     few = align.bounded_reviews(reviews, ok, caps["max_reviews_per_business"])
     made = {"strong_image_caption_pairs": align.strong(photos, ok), "image_business_attribute_pairs": align.medium(photos, ok, businesses), "business_level_weak_pairs": align.weak(photos, ok, few, caps["max_reviews_per_business"], caps["max_images_per_business"])}
     for name, df in made.items():
-        tables.write_table(df, f"{paths['processed_dir']}/{name}.parquet")
-    strong, medium, weak = (spark.read.parquet(f"{paths['processed_dir']}/{n}.parquet") for n in made)
+        tables.write_table(df, f"{paths['processed_dir']}/{name}.{fmt}", fmt)
+    strong, medium, weak = (tables.read_table(spark, f"{paths['processed_dir']}/{n}.{fmt}") for n in made)
     found = stats.dataset_statistics(business, reviews, photos, index, ok, strong, medium, weak)
     tables.write_json(f"{paths['processed_dir']}/dataset_statistics.json", found)
     return found
@@ -65,18 +65,18 @@ def run_alignment(spark: SparkSession, config: dict) -> dict:
 
 def run_denoising(spark: SparkSession, config: dict, scorer=None, model: str = "injected") -> dict:
     """Score and filter the weak groups' candidates. ``scorer`` maps (path, text) columns to a score."""
-    paths, own = config["paths"], config["clip_denoising"]
-    weak = spark.read.parquet(f"{paths['processed_dir']}/business_level_weak_pairs.parquet")
-    target = f"{paths['processed_dir']}/{own.get('output_filename', 'weak_pairs_denoised')}.parquet"
+    paths, fmt, own = config["paths"], config["output"]["format"], config["clip_denoising"]
+    weak = tables.read_table(spark, f"{paths['processed_dir']}/business_level_weak_pairs.{fmt}")
+    target = f"{paths['processed_dir']}/{own.get('output_filename', 'weak_pairs_denoised')}.{fmt}"
     threshold = float(own.get("threshold", similarity.THRESHOLD))
     if not own.get("enabled") or scorer is None:
         why = "scoring is switched off" if not own.get("enabled") else "no scorer is available"
         result = similarity.skipped_summary(weak, why, threshold, model).first().asDict() | {"similarity_distribution": "not_available"}
         empty = similarity.candidates(weak).withColumn("clip_similarity", F.lit(None).cast("double")).filter("false")
-        tables.write_table(similarity.retained(empty, threshold, model), target)
+        tables.write_table(similarity.retained(empty, threshold, model), target, fmt)
     else:
         scores, seen = similarity.observed(similarity.scored_by(similarity.candidates(weak), scorer), threshold)
-        tables.write_table(similarity.retained(scores, threshold, model), target)
+        tables.write_table(similarity.retained(scores, threshold, model), target, fmt)
         s = dict(seen.get)
         s["retention_rate"] = contract.retention(s)
         spread = {"count": s["scored_pairs"], "min": s.pop("min"), "mean": s.pop("mean"), "max": s.pop("max")}

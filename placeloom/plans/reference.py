@@ -11,7 +11,8 @@ from ..functions import attributes as A
 from ..functions import modelout as M
 from ..functions import text as X
 from ..operators import align, catalog, contract, parse, planning, retrieval, similarity, stats, vectors
-from ..sources import archive_tables, images, tables
+from ..sources import archive_tables, images, row_sink, tables
+from ..sources.images import png_bytes as _png_bytes  # noqa: F401 (tests make files with it)
 from . import roles as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -672,6 +673,32 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_table(spark, path, "p_partkey long, p_name string, tags array<string>, p_retailprice double").withColumn("tags", _bar("tags"))
 
 
+@_query("SELECT doc_id, text, lang, source, n_chars, 'parquet' AS format FROM documents UNION ALL SELECT doc_id, text, lang, source, n_chars, 'csv_fallback' FROM documents")
+def row_sink_round_trip(spark, sf_dir):
+    """All documents through the committing sink, as Parquet and with a compression that this installation lacks."""
+    out = None
+    for compression, want in (("zstd", "parquet"), ("lzo", "csv_fallback")):
+        path = tables.scratch(spark, "rows")
+        assert row_sink.write_rows(R.table(spark, sf_dir, "documents"), path, compression=compression)["actual_format"] == want
+        read = row_sink.read_rows(spark, path).withColumn("format", F.lit(want))
+        out = read if out is None else out.unionByName(read)
+    return out
+
+
+@_query("SELECT item_id, text, [text, NULL, ''] AS words FROM benchmark")
+def csv_fallback_round_trip(spark, sf_dir):
+    """A table that Spark cannot write as Parquet: it is CSV in the same place, says so, and is read as what it is."""
+    path, codec = tables.scratch(spark, "table") + ".parquet", spark.conf.get("spark.sql.parquet.compression.codec")
+    df = R.table(spark, sf_dir, "benchmark").withColumn("words", F.array("text", F.lit(None).cast("string"), F.lit("")))
+    spark.conf.set("spark.sql.parquet.compression.codec", "lzo")
+    try:
+        done = tables.write_table(df, path)
+    finally:
+        spark.conf.set("spark.sql.parquet.compression.codec", codec)
+    assert done["actual_format"] == "csv_fallback" and done["error"] and not tables.is_parquet(spark, path)
+    return tables.read_table(spark, path)
+
+
 _IMAGES = "SELECT CAST(page_id AS VARCHAR) AS photo_id, page_id % 4 < 2 AS image_valid, CASE WHEN page_id % 4 < 2 THEN length(html) % 97 + 1 ELSE 0 END AS image_width, CASE page_id % 4 WHEN 2 THEN 'missing' WHEN 3 THEN 'corrupted' ELSE '' END AS status FROM pages"
 
 

@@ -26,6 +26,7 @@ import bz2
 import io
 import lzma
 import os
+import shutil
 import tarfile
 import uuid
 import zipfile
@@ -81,16 +82,40 @@ def created(path: str):
     part = f"{name}.{uuid.uuid4().hex}.part"
     if system is None:
         os.makedirs(os.path.dirname(name), exist_ok=True)
-        with open(part, "wb") as out:
-            yield out
-        os.replace(part, name)
     else:
         system.create_dir(name.rpartition("/")[0], recursive=True)
-        with system.open_output_stream(part) as out:
+    try:
+        with open(part, "wb") if system is None else system.open_output_stream(part) as out:
             yield out
+    except BaseException:
+        removed(f"{path}{part[len(name):]}")
+        raise
+    if system is None:
+        os.replace(part, name)
+    else:
         system.move(part, name)
 
 
+def removed(path: str) -> None:
+    """Removes a file, if it is there."""
+    system, name = _place(path)
+    try:
+        if system is None:
+            os.remove(name)
+        else:
+            system.delete_file(name)
+    except FileNotFoundError:
+        pass
+
+
+def removed_folder(path: str) -> None:
+    system, name = _place(path)
+    if system is None:
+        shutil.rmtree(name, ignore_errors=True)
+    elif system.get_file_info(name).type.name == "Directory":
+        system.delete_dir(name)
+
+
 class Window(io.RawIOBase):
     """A range of a file as a file."""
 

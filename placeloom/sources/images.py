@@ -95,11 +95,15 @@ def _checked(contents: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["image_valid", "image_width", "image_height", "validation_error"]).astype({"image_width": "Int64", "image_height": "Int64"})
 
 
+def png_bytes(width: int) -> bytes:
+    """A grey PNG image of one row."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (width + 1))) + chunk(b"IEND", b"")
+
+
 @F.pandas_udf(T.BinaryType())
 def blank_png(width: pd.Series) -> pd.Series:
-    """A grey PNG image of some width and one row."""
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    return width.map(lambda n: b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", n, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0" * (n + 1))) + chunk(b"IEND", b""))
+    return width.map(png_bytes)
 
 
 def image_index(photos: DataFrame, root: str) -> DataFrame:

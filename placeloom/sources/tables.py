@@ -39,7 +39,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Written to the shared folder and read back: read twice without being made twice."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -121,37 +121,105 @@ def first_existing(spark: SparkSession, folder: str, names: list[str], required:
     return None
 
 
-def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A Parquet table, or a CSV table under ``schema`` (nested columns are JSON text there)."""
+def _hadoop(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, p = _hadoop(spark, path)
+    out = fs.create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def _get_text(spark: SparkSession, path: str) -> str | None:
+    fs, p = _hadoop(spark, path)
+    if not fs.exists(p):
+        return None
+    source = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
+
+
+#: A CSV table carries its schema beside its parts, where Spark's readers do not look.
+SCHEMA_FILE = "_schema.json"
+#: No text is this one, so that a quoted empty text is read as a text and nothing as null.
+_NO_TEXT = "\x01null\x01"
+_NESTED = (T.ArrayType, T.MapType, T.StructType)
+
+
+def csv_files(spark: SparkSession, path: str | list[str], types: T.StructType, order: bool = False, written_here: bool = True) -> DataFrame:
+    own = {"lineSep": "\n"} if written_here else {}  # else carriage returns in texts are lost
+    flat = spark.read.options(header=True, multiLine=True, escape='"', nullValue=_NO_TEXT, **own).csv(path)
+    there = [f for f in types if f.name in flat.columns]
+    flat = ordered(flat, parquet=False) if order else flat
+    cols = [(F.from_json(f"`{f.name}`", f.dataType) if isinstance(f.dataType, _NESTED) else F.unhex(f"`{f.name}`") if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`").try_cast(f.dataType)).alias(f.name) for f in there]
+    return flat.select(*cols, *["ord"] * order)
+
+
+def csv_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The schema that a CSV table carries; None for tables of another format."""
+    text = _get_text(spark, f"{path}/{SCHEMA_FILE}")
+    return None if text is None else T.StructType.fromJson(json.loads(text))
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = None, order: bool = False) -> DataFrame:
+    """A Parquet table, or a CSV table under the schema that it carries, or else ``schema`` (nested columns are JSON text there).
+
+    What a table is is told by its contents, not its name: a table that fell back to CSV is read as such.
+    With ``order`` rows have ``ord``.
+    """
     if not exists(spark, path):
-        return spark.createDataFrame([], schema or T.StructType([]))
-    if not path.endswith(".csv"):
-        return spark.read.parquet(path)
-    if schema is None:
+        empty = spark.createDataFrame([], schema or T.StructType([]))
+        return empty.withColumn("ord", F.lit(None).cast("struct<file:string,start:long,row:long>")) if order else empty
+    own = csv_schema(spark, path)
+    if own is None and not path.endswith(".csv"):
+        return ordered(spark.read.parquet(path)) if order else spark.read.parquet(path)
+    if own is None and schema is None:
         raise ValueError("a CSV table needs a schema")
-    types = T._parse_datatype_string(schema)
-    flat = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    nested = (T.ArrayType, T.MapType, T.StructType)
-    cols = [F.from_json(f.name, f.dataType) if isinstance(f.dataType, nested) else F.col(f.name).try_cast(f.dataType) for f in types if f.name in flat.columns]
-    names = [f.name for f in types if f.name in flat.columns]
-    return flat.select([c.alias(n) for c, n in zip(cols, names, strict=True)])
+    return csv_files(spark, path, own or T._parse_datatype_string(schema), order, own is not None)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> dict:
-    """Write a table; an empty one keeps its schema. Returns path, rows and format."""
+    """Write a table; an empty one keeps its schema. Returns path, rows, requested_format, actual_format and error.
+
+    If Parquet of this schema cannot be written here (tried with a table without rows, so that ``df`` is
+    computed once), the table is written as CSV in its place: actual_format is then csv_fallback, and
+    error says why.
+    """
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"unknown format: {fmt}")
+    error = _parquet_fault(df) if fmt == "parquet" else None
+    done = {"path": path, "requested_format": fmt, "actual_format": "csv_fallback" if error else fmt, "error": error}
+    if done["actual_format"] == "parquet":
+        return done | {"rows": _written(df, lambda out: out.parquet(path))}
+    nested = [f.name for f in df.schema if isinstance(f.dataType, _NESTED)]
+    binary = [f.name for f in df.schema if isinstance(f.dataType, T.BinaryType)]
+    flat = df.select([(F.to_json(f"`{c}`") if c in nested else F.hex(f"`{c}`") if c in binary else F.col(f"`{c}`")).alias(c) for c in df.columns])
+    done["rows"] = _written(flat, lambda out: out.options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path))
+    _put_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", df.schema.json())
+    return done
+
+
+def _parquet_fault(df: DataFrame) -> str | None:
+    try:
+        df.sparkSession.createDataFrame([], df.schema).coalesce(1).write.parquet(scratch(df.sparkSession, "probe"))
+    except Exception as why:
+        return re.sub(r"\s+", " ", str(why))[:300]
+    return None
+
+
+def _written(df: DataFrame, write) -> int:
     from pyspark.sql import Observation
 
     seen = Observation()
-    counted = df.observe(seen, F.count(F.lit(1)).alias("rows"))
-    if fmt == "parquet":
-        counted.write.mode("overwrite").parquet(path)
-    else:
-        nested = (T.ArrayType, T.MapType, T.StructType)
-        flat = counted.select([F.to_json(f.name).alias(f.name) if isinstance(f.dataType, nested) else F.col(f.name) for f in df.schema])
-        flat.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
-    return {"path": path, "rows": seen.get["rows"], "requested_format": fmt, "actual_format": fmt, "error": None}
+    write(df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite"))
+    return seen.get["rows"]
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:
