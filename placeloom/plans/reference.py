@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import modelout as M
 from ..functions import text as X
-from ..operators import align, catalog, contract, parse, planning, retrieval, similarity, stats, vectors
+from ..operators import align, catalog, contract, model_calls, parse, planning, retrieval, similarity, stats, vectors
 from ..sources import archive_tables, images, row_sink, tables
 from ..sources.images import png_bytes as _png_bytes  # noqa: F401 (tests make files with it)
 from . import roles as R
@@ -638,6 +638,30 @@ def archive_lines(spark, sf_dir):
     return lines.select(_file_id(), "n").groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum("n").alias("n_bytes"))
 
 
+def _stub_model(payload: dict) -> str:
+    """Says the first line of what the user says; is busy for texts of some lengths."""
+    import json
+
+    said = next((x["text"] for x in payload["messages"][0]["content"][1:] if x["type"] == "text"), "")
+    if len(said) % 7 == 0:
+        raise OSError("busy")
+    return json.dumps({"image_summary": said.split("\n")[0], "confidence": 0.9, "style": payload["model"], "objects": [{"name": "n"}, str(len(said))]})
+
+
+@_query("""SELECT conv_id, turn, CASE WHEN length(coalesce(text, '')) % 7 = 0 THEN 0.78 ELSE 0.9 END::DOUBLE AS confidence,
+CASE WHEN length(coalesce(text, '')) % 7 = 0 THEN 'Image likely shows a cozy cafe scene suitable for OTA visual search.' ELSE string_split(coalesce(text, ''), chr(10))[1] END AS image_summary,
+CASE WHEN length(coalesce(text, '')) % 7 = 0 THEN 'coffee|table|indoor seating' ELSE concat('n|', length(coalesce(text, ''))) END AS objects,
+CASE WHEN length(coalesce(text, '')) % 7 = 0 THEN 'vLLM request failed; fallback used: busy' END AS note FROM conversations WHERE NOT contains(lower(coalesce(text, '')), 'museum')
+UNION ALL SELECT conv_id, turn, CASE WHEN length(text) % 7 = 0 THEN 0.62 ELSE 0.9 END::DOUBLE, CASE WHEN length(text) % 7 = 0 THEN 'Image likely shows a museum or cultural attraction.' ELSE string_split(text, chr(10))[1] END,
+CASE WHEN length(text) % 7 = 0 THEN 'building|exhibition|indoor space' ELSE concat('n|', length(text)) END, CASE WHEN length(text) % 7 = 0 THEN 'vLLM request failed; fallback used: busy' END FROM conversations WHERE contains(lower(text), 'museum')""")
+def model_answers(spark, sf_dir):
+    """Every turn as a request to a model; equal ones are asked once, those that fail get the answer without a model."""
+    asked = R.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array().cast("array<string>").alias("image_urls"), F.col("text").alias("user_text"), F.lit(None).cast("string").alias("version"))
+    done = model_calls.understood(asked, _stub_model, tables.scratch(spark, "answers"), attempts=2, pause=0.0)
+    a = F.col("answer")
+    return done.select("conv_id", "turn", a["confidence"].alias("confidence"), a["image_summary"].alias("image_summary"), _bar(a["structured_info"]["objects"]).alias("objects"), F.when(a["raw_model_output"].startswith("vLLM"), a["raw_model_output"]).alias("note"))
+
+
 # ---- files: written to the shared folder first
 
 

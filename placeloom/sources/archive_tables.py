@@ -96,6 +96,17 @@ def created(path: str):
         system.move(part, name)
 
 
+def listed(folder: str, ending: str) -> list[str]:
+    """The files of a folder whose name has some ending; none if there is no such folder."""
+    system, name = _place(folder)
+    if system is None:
+        return sorted(os.path.join(name, f) for f in os.listdir(name) if f.endswith(ending)) if os.path.isdir(name) else []
+    from pyarrow import fs
+
+    found = system.get_file_info(fs.FileSelector(name, allow_not_found=True))
+    return sorted(f"{folder.rstrip('/')}/{f.base_name}" for f in found if f.base_name.endswith(ending))
+
+
 def removed(path: str) -> None:
     """Removes a file, if it is there."""
     system, name = _place(path)
