@@ -111,12 +111,11 @@ def understood(requests: DataFrame, ask: Ask, store: str, model: str = "unset",
 
     Where the model fails, the answer is the one without a model, and raw_model_output says why.
     """
-    payload = M.chat_payload(F.lit(model), M.prompt(F.col("version")), F.col("user_text"), F.coalesce("image_urls", F.array().cast("array<string>")))
-    keyed = requests.withColumn("_key", F.sha2(payload, 256))
-    # what is asked is kept: the model may say something else the next time
-    said = answers(requests.select(payload.alias("payload")), ask, store, **how).select(F.col("key").alias("_key"), "content", "error")
-    alone = M.answer_without_model(F.coalesce("image_urls", F.array().cast("array<string>")), F.col("user_text"))
-    failed = F.struct(alone["image_summary"], alone["structured_info"], alone["confidence"], F.concat(F.lit("vLLM request failed; fallback used: "), "_error").alias("raw_model_output"))
-    joined = keyed.join(said.select("_key", F.struct("content", "error").alias("_said")), "_key", "left").withColumns({"_content": F.col("_said.content"), "_error": F.col("_said.error")})
-    parsed = joined.withColumn("_parsed", M.parsed_responses("_content"))
-    return parsed.select(*[F.col(f"`{c}`") for c in requests.columns], F.when(F.col("_error").isNull(), F.col("_parsed")).otherwise(failed.cast(M.RESPONSE)).alias("answer"))
+    row = requests.select(F.struct(*[F.col(f"`{c}`") for c in requests.columns]).alias("row"))  # columns of any name stay as they are
+    urls = F.coalesce("row.image_urls", F.array().cast("array<string>"))
+    payload = M.chat_payload(F.lit(model), M.prompt(F.col("row.version")), F.col("row.user_text"), urls)
+    said = answers(row.select(payload.alias("payload")), ask, store, **how)
+    joined = row.withColumn("key", F.sha2(payload, 256)).join(said, "key", "left").withColumn("parsed", M.parsed_responses("content"))
+    alone = M.answer_without_model(urls, F.col("row.user_text"))
+    failed = F.struct(alone["image_summary"], alone["structured_info"], alone["confidence"], F.concat(F.lit("vLLM request failed; fallback used: "), "error").alias("raw_model_output"))
+    return joined.select("row.*", F.when(F.col("error").isNull(), F.col("parsed")).otherwise(failed.cast(M.RESPONSE)).alias("answer"))

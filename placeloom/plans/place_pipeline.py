@@ -15,9 +15,13 @@ REVIEW = "review_id string, business_id string, user_id string, stars double, us
 PHOTO = "photo_id string, business_id string, caption string, label string"
 
 
-def _records(spark: SparkSession, path: str, schema: str, most: int | None) -> tuple[DataFrame, dict]:
+def _records(spark: SparkSession, path: str, schema: str, most: int | None):
+    """The records of a file, and a function for its line counts. Without a limit the scan that writes the table counts the lines."""
     lines = tables.json_lines(spark, path)
-    return parse.first_rows(tables.json_records(lines, schema), most), tables.line_counts(lines).first().asDict()
+    if most is not None or not tables.exists(spark, path):
+        return parse.first_rows(tables.json_records(lines, schema), most), lambda: tables.line_counts(lines).first().asDict()
+    counted, seen = tables.counted_lines(lines)
+    return tables.json_records(counted, schema), lambda: dict(seen.get)
 
 
 def run_parse(spark: SparkSession, config: dict) -> dict:
@@ -37,7 +41,7 @@ def run_parse(spark: SparkSession, config: dict) -> dict:
     photos = parse.photos(raw_p, paths["image_root"])
     outputs += [out(photos, "photos"), out(images.image_index(photos, paths["image_root"]), "photo_image_index")]
     index = tables.read_table(spark, f"{paths['interim_dir']}/photo_image_index.{fmt}", tables.IMAGE_INDEX)
-    summary = {"lines": {"business": lines_b, "reviews": lines_r, "photos": lines_p}, "businesses": parse.parse_counts(raw_b, "business_id", "businesses").first().asDict(), "review_filters": dict(rejects), "photos": parse.parse_counts(raw_p, "photo_id", "photos").first().asDict(), "image_validation": images.image_counts(index).first().asDict(), "outputs": outputs}
+    summary = {"lines": {"business": lines_b(), "reviews": lines_r(), "photos": lines_p()}, "businesses": parse.parse_counts(raw_b, "business_id", "businesses").first().asDict(), "review_filters": dict(rejects), "photos": parse.parse_counts(raw_p, "photo_id", "photos").first().asDict(), "image_validation": images.image_counts(index).first().asDict(), "outputs": outputs}
     for layer in ("interim_dir", "validation_dir"):
         tables.write_json(f"{paths[layer]}/validation_summary.json", summary)
     return summary

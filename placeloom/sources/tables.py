@@ -13,11 +13,12 @@ import tempfile
 import uuid
 from pathlib import Path
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import text as X
+
 IMAGE_INDEX = "photo_id string, business_id string, image_path string, image_valid boolean, image_width long, image_height long, validation_error string"
 
 
@@ -54,17 +55,23 @@ def ordered(df: DataFrame, parquet: bool = True) -> DataFrame:
     return df.select("*", F.struct(F.col("_metadata.file_path").alias("file"), start.alias("start"), row.alias("row")).alias("ord"))
 
 
-@F.pandas_udf(T.StringType())
-def _line_kind(lines: pd.Series) -> pd.Series:
-    def one(line: str) -> str:
-        if not line.strip():
-            return "blank"
-        try:
-            return "record" if isinstance(json.loads(line), dict) else "malformed"
-        except (ValueError, RecursionError):
-            return "malformed"
+def line_kind(line: Column) -> Column:
+    """record (one JSON object), blank, or malformed (bad JSON, or a value that is no object).
 
-    return lines.map(one)
+    The line is an element of an array, once with one element after it and once with two. The array has
+    two and three elements only if the line is one value and does not close the array itself, whatever
+    comes after it. NaN and Infinity are numbers, as in Python's reader; duplicate keys are allowed (but in
+    a line that has a tab or a return as well).
+    Depth and the length of numbers and texts are bounded by Spark's reader (1000 levels, 1000 digits,
+    20 million characters; beyond them a line is malformed).
+    """
+    # Spark's reader takes single quotes for quotes; as letters they are right in a text and wrong elsewhere
+    numbers = F.regexp_replace(F.translate(line, "'", "x"), r"(?<=[:,\[\s])(-?Infinity|NaN)(?=[,\]}\s])", "0")  # in a text as well, which stays a text
+    one = lambda after, n: F.coalesce(F.json_array_length(F.concat(F.lit("["), numbers, F.lit(after))) == n, F.lit(False))
+    # the reader also takes control characters in a text, which are none in JSON; tabs and returns may stand between values
+    strict = ~line.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]") & (~line.rlike(r"[\t\r]") | F.try_parse_json(numbers).isNotNull())
+    record = strict & line.rlike(r"^[ \t\r\n]*\{") & one(",0]", 2) & one(",0,0]", 3)
+    return F.when(X.strip(line) == "", "blank").when(record, "record").otherwise("malformed")
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -76,13 +83,26 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     if not exists(spark, path):
         return spark.createDataFrame([], "line string, kind string, ord struct<file:string,start:long,row:long>")
     lines = ordered(spark.read.text(path), parquet=False)
-    return lines.select(F.col("value").alias("line"), _line_kind("value").alias("kind"), "ord")
+    return lines.select(F.col("value").alias("line"), line_kind(F.col("value")).alias("kind"), "ord")
+
+
+def _line_counts() -> list[Column]:
+    k = F.col("kind")
+    return [F.count(F.lit(1)).alias("total_lines"), F.count_if(k == "record").alias("records"), F.count_if(k == "malformed").alias("malformed_lines")]
 
 
 def line_counts(lines: DataFrame) -> DataFrame:
     """One row: total_lines, records, malformed_lines."""
-    k = F.col("kind")
-    return lines.agg(F.count(F.lit(1)).alias("total_lines"), F.count_if(k == "record").alias("records"), F.count_if(k == "malformed").alias("malformed_lines"))
+    return lines.agg(*_line_counts())
+
+
+def counted_lines(lines: DataFrame) -> tuple[DataFrame, Observation]:
+    """``lines`` whose first scan also counts them: ``get`` of the observation is the row of ``line_counts``.
+
+    For an action that reads them once and whole: a write without a sort or a limit (a sort reads twice).
+    """
+    seen = Observation()
+    return lines.observe(seen, *_line_counts()), seen
 
 
 def json_records(lines: DataFrame, schema: str) -> DataFrame:
@@ -215,8 +235,6 @@ def _parquet_fault(df: DataFrame) -> str | None:
 
 
 def _written(df: DataFrame, write) -> int:
-    from pyspark.sql import Observation
-
     seen = Observation()
     write(df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite"))
     return seen.get["rows"]
