@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..sources.tables import sized, stored
 
-REACH, FIRST_WAVE, GROWTH, DIRECT = 20_000, 4096, 8, 2_000_000
+REACH, FIRST_WAVE, GROWTH, DIRECT = 2_000, 4096, 8, 100_000_000
 
 
 def item_text(name: Column, category: Column, description: Column, tags: Column) -> Column:
@@ -43,15 +43,26 @@ def search(queries: DataFrame, items: DataFrame, k: int = 5, reach: int = REACH,
     """
     if direct is None:
         return best(matches(queries, items), k)
-    asked, has = _token_lists(queries, "query_id"), _token_lists(items, "item_id", "ord")
+    asked, has = _token_lists(queries, "query_id"), stored(_token_lists(items, "item_id", "ord"), "search-tokens")
     lengths = stored(has.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df")), "search-lengths")
     terms = asked.select("query_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     terms = stored(terms.join(lengths, "token"), "search-terms")
     if (terms.agg(F.sum("df")).first()[0] or 0) <= direct:
-        return best(_met(terms, has), k)
+        return _direct(terms, asked, has, k)
     return best(_bounded(terms, asked, has, lengths, k, reach, first_wave), k)
 
 
+def _direct(terms: DataFrame, asked: DataFrame, has: DataFrame, k: int) -> DataFrame:
+    """All lists joined at once. Matches are counted; which tokens they are is looked up for the best alone."""
+    tokens = has.select("item_id", "ord", F.explode("tokens").alias("token"))
+    counts = terms.select("query_id", "n", "token").join(tokens, "token").groupBy("query_id", "item_id", "ord", "n").agg(F.count("*").alias("met"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord")
+    top = counts.withColumn("score", F.round(F.col("met") / F.col("n"), 4)).withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
+    top = sized(stored(top.select("query_id", "item_id", "score", "rank"), "search-top"))
+    named = has.join(top, "item_id").join(asked.select("query_id", F.col("tokens").alias("q")), "query_id")
+    return named.select("query_id", "item_id", "score", F.array_sort(F.array_intersect("q", "tokens")).alias("matched"), "rank")
+
+
 def _token_lists(df: DataFrame, *keys: str) -> DataFrame:
     return df.select(*keys, F.array_distinct(X.ascii_tokens(F.col("text"))).alias("tokens"))
 
