@@ -33,6 +33,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: The tables that ``stored`` has written in this process, for ``drop_stored``.
+_WRITTEN: list[str] = []
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Removes the tables that ``stored`` has written in this process: after a run, when its results are written elsewhere."""
+    n = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        n += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return n
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -40,6 +53,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/placeloom/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
