@@ -21,8 +21,9 @@ from ..functions import text as X
 
 IMAGE_INDEX = "photo_id string, business_id string, image_path string, image_valid boolean, image_width long, image_height long, validation_error string"
 
-
 BROADCAST_ROWS = 100_000
+#: What ``scratch`` has named in this process, for ``drop_scratch``.
+_NAMED: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,7 +35,17 @@ def scratch(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="placeloom-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}"
+    _NAMED.append(f"{base.rstrip('/')}/placeloom/{name}-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes what this process has written under ``scratch`` names: after a run, when its results are written elsewhere."""
+    n = 0
+    while _NAMED:
+        fs, p = _hadoop(spark, _NAMED.pop())
+        n += bool(fs.delete(p, True))
+    return n
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -65,3 +65,13 @@ def test_common_word_reads_few_rows(spark, monkeypatch):
 def test_numbered(spark):
     df = spark.createDataFrame([(i * 7919 % 1000, "x") for i in range(1000)], "ord long, x string").repartition(5)
     assert all(r.place == r.ord for r in R.numbered(df, "ord").collect()) and R.numbered(df, "ord").count() == 1000
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from placeloom.sources import tables
+
+    tables.drop_scratch(spark)
+    kept = tables.stored(spark.range(3), "kept")
+    assert kept.count() == 3 and len(kept.inputFiles()) > 0
+    path = kept.inputFiles()[0].rsplit("/", 1)[0]
+    assert tables.exists(spark, path) and tables.drop_scratch(spark) == 1 and not tables.exists(spark, path) and tables.drop_scratch(spark) == 0
