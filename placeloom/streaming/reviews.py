@@ -1,7 +1,7 @@
 """Reviews as a stream (an extension): the batch filter on a file source.
 
-``filtered`` is stateless and appends. ``stats_updates`` keeps counts per business; first-rows
-operators need non-time windows and stay in batch.
+``filtered`` is stateless and appends. ``stats_updates`` keeps counts per business. First and last
+rows of a key are in ``groups``.
 """
 
 from __future__ import annotations
