@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..sources import tables
+from . import tallies
 
 
 def top_values(df: DataFrame, column: str, order: str, n: int = 20) -> DataFrame:
@@ -40,20 +44,41 @@ def ratio(part, whole):
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
-def dataset_statistics(businesses: DataFrame, reviews: DataFrame, photos: DataFrame, image_index: DataFrame, images: DataFrame, strong: DataFrame, medium: DataFrame, weak: DataFrame) -> dict:
-    """The statistics of a run as one dictionary (small results only reach the driver)."""
-    one = lambda df: df.first()[0]
-    n_photos, n_valid = photos.count(), images.count()
-    lengths = caption_lengths(strong).first().asDict()
+def dataset_statistics(businesses: DataFrame, reviews: DataFrame, photos: DataFrame, images: DataFrame, strong: DataFrame, medium: DataFrame, weak: DataFrame) -> dict:
+    """The statistics of a run as one dictionary (small results only reach the driver).
+
+    Each table is read once, by one aggregation over all of them; what it finds is stored.
+    """
+    kind = businesses.schema["ord"].dataType
+    size = F.length(X.strip(F.col("caption")))
+    firsts = weak.select("business_id").join(businesses.select("business_id", F.get("categories", F.lit(0)).alias("first"), "ord"), "business_id")
+    counted = {
+        "businesses": tallies.tallies(businesses, {"city": F.col("city"), "category": F.col("categories")}, order="ord"),
+        "reviews": tallies.tallies(reviews, {"business": F.col("business_id")}, order_type=kind),
+        "photos": tallies.tallies(photos, order_type=kind),
+        "images": tallies.tallies(images, {"business": F.col("business_id")}, order_type=kind),
+        "strong": tallies.tallies(strong, {"label": F.col("label")}, {"caption": F.when(size > 0, size)}, order_type=kind),
+        "medium": tallies.tallies(medium, order_type=kind),
+        "weak": tallies.tallies(weak, order_type=kind),
+        "weak_firsts": tallies.tallies(firsts, {"category": F.col("first")}, order="ord"),
+    }
+    named = [tallies.renamed(df, name) for name, df in counted.items()]
+    whole = tables.stored(tallies.summed(reduce(DataFrame.unionByName, named)), "run-statistics")
+    found = {r.what: r for r in tallies.figures(whole).collect()}
+    rows = lambda name: found[f"{name}.rows"].n if f"{name}.rows" in found else 0
+    distinct = lambda what: found[what].distinct_values if what in found else 0
+    top = lambda what: [[r.value, r.n] for r in tallies.top(whole, what).collect()]
+    captions = found.get("strong.caption")
+    n_photos, n_valid = rows("photos"), rows("images")
     return {
-        "business_count": businesses.count(), "review_count": reviews.count(), "photo_metadata_count": n_photos,
-        "city_count": one(distinct_values(businesses, "city")), "valid_image_count": n_valid, "valid_image_ratio": n_valid / n_photos if n_photos else 0,
-        "strong_pairs": strong.count(), "medium_pairs": medium.count(), "weak_pairs": weak.count(),
-        "top_categories": [[r.value, r.n] for r in top_values(businesses, "categories", "ord").collect()],
-        "photo_label_distribution": {r.label: r.n for r in label_counts(strong).orderBy("label").collect()},
-        "caption_length_stats": lengths,
-        "weak_group_top_categories": [[r.value, r.n] for r in weak_first_categories(weak, businesses).collect()],
-        "businesses_with_reviews": one(distinct_values(reviews, "business_id")), "businesses_with_valid_images": one(distinct_values(images, "business_id")),
+        "business_count": rows("businesses"), "review_count": rows("reviews"), "photo_metadata_count": n_photos,
+        "city_count": distinct("businesses.city"), "valid_image_count": n_valid, "valid_image_ratio": n_valid / n_photos if n_photos else 0,
+        "strong_pairs": rows("strong"), "medium_pairs": rows("medium"), "weak_pairs": rows("weak"),
+        "top_categories": top("businesses.category"),
+        "photo_label_distribution": {r.value: r.n for r in whole.filter("what = 'strong.label'").orderBy("value").collect()},
+        "caption_length_stats": {"caption_count": captions.n if captions else 0, "min_chars": captions and captions.least, "mean_chars": captions and captions["mean"], "max_chars": captions and captions.most},
+        "weak_group_top_categories": top("weak_firsts.category"),
+        "businesses_with_reviews": distinct("reviews.business"), "businesses_with_valid_images": distinct("images.business"),
     }
 
 

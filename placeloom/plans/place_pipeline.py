@@ -62,7 +62,7 @@ def run_alignment(spark: SparkSession, config: dict) -> dict:
     for name, df in made.items():
         tables.write_table(df, f"{paths['processed_dir']}/{name}.{fmt}", fmt)
     strong, medium, weak = (tables.read_table(spark, f"{paths['processed_dir']}/{n}.{fmt}") for n in made)
-    found = stats.dataset_statistics(business, reviews, photos, index, ok, strong, medium, weak)
+    found = stats.dataset_statistics(business, reviews, photos, ok, strong, medium, weak)
     tables.write_json(f"{paths['processed_dir']}/dataset_statistics.json", found)
     return found
 

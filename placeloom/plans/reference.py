@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import attributes as A
 from ..functions import modelout as M
 from ..functions import text as X
-from ..operators import align, catalog, contract, model_calls, parse, planning, retrieval, similarity, stats, vectors
+from ..operators import align, catalog, contract, model_calls, parse, planning, retrieval, similarity, stats, tallies, vectors
 from ..sources import archive_tables, images, row_sink, tables
 from ..sources.images import png_bytes as _png_bytes  # noqa: F401 (tests make files with it)
 from . import roles as R
@@ -339,6 +339,27 @@ def valid_ratio(spark, sf_dir):
     return n.withColumn("valid_image_ratio", F.round(stats.ratio(F.col("valid_images"), F.col("photos")), 6))
 
 
+_TALLIES = """WITH x AS (SELECT 'rows' AS what, NULL AS value, NULL AS number FROM documents UNION ALL SELECT 'lang', lang, NULL FROM documents WHERE lang <> '' UNION ALL SELECT 'source', source, NULL FROM documents WHERE source <> ''
+ UNION ALL SELECT 'word', w, NULL FROM (SELECT unnest(string_split(text, ' ')) AS w FROM documents) WHERE w <> '' UNION ALL SELECT 'chars', NULL, length(text) FROM documents WHERE text IS NOT NULL)"""
+
+
+def _document_tallies(spark, sf_dir):
+    """Tallies of the documents for each source, stored, and added up."""
+    values = {"lang": F.col("lang"), "source": F.col("source"), "word": F.split("text", " ")}
+    by_source = tallies.tallies(R.table(spark, sf_dir, "documents"), values, {"chars": F.length("text")}, "doc_id", part=F.col("source"))
+    return tallies.summed(tables.stored(by_source, "document-tallies"))
+
+
+@_query(f"{_TALLIES} SELECT what, count(*) AS n, count(DISTINCT value) AS distinct_values, CAST(sum(number) AS BIGINT) AS total, min(number) AS least, max(number) AS most, round(sum(number) / count(*), 6) AS mean FROM x GROUP BY what")
+def statistics_of_parts(spark, sf_dir):
+    return tallies.figures(_document_tallies(spark, sf_dir)).withColumn("mean", F.round("mean", 6))
+
+
+@_query("SELECT w AS value, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(0, len(string_split(text, ' ')))) AS p FROM documents) WHERE w <> '' GROUP BY w ORDER BY n DESC, min({'o': doc_id, 'p': p}), w LIMIT 20")
+def top_words_of_parts(spark, sf_dir):
+    return tallies.top(_document_tallies(spark, sf_dir), "word")
+
+
 @_query("SELECT coalesce(nullif(event_type, 'view'), 'unknown') AS error_type, count(*) AS n FROM events GROUP BY 1")
 def failure_types(spark, sf_dir):
     return stats.failure_types(R.table(spark, sf_dir, "events").select(F.nullif("event_type", F.lit("view")).alias("error_type")))
