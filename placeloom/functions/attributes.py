@@ -2,8 +2,9 @@
 
 Attributes and hours are JSON text at rest; a value that is no JSON object counts as empty.
 Values that are Python dict literals (``{'garage': False}``) are read by ``literal_map`` after
-turning the three literal names into JSON; what that cannot read (prefixed strings, embedded
-quotes) is read by ``python_literals``, a pandas UDF.
+turning the three literal names into JSON; ``literal_json`` reads any nested literal of texts, plain
+numbers and the three names. What that leaves out (tuples, sets, exponents, odd escapes, repeated keys)
+is read by ``python_literals``, a pandas UDF; ``with_literals`` puts it into a plan only if it is needed.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import ast
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +61,43 @@ def flattened(attributes: Column, prefix: str = "attr_") -> Column:
     return F.map_from_entries(F.array_distinct(F.flatten(flat)))
 
 
+#: Tokens of a literal: texts, whole numbers, fractions that Python writes as they stand, names, marks, spaces.
+_TEXT = r"""[uU]?'[^'\\\x00-\x1f]*(?:\\[\\ntr'"][^'\\\x00-\x1f]*)*'|[uU]?"[^"\\\x00-\x1f]*(?:\\[\\ntr'"][^"\\\x00-\x1f]*)*\""""
+_NUMBER = r"(?<![\w.])(?:-?(?:0|[1-9][0-9]{0,7})\.(?:[0-9]{0,3}[1-9]|0)|-?[1-9][0-9]{0,36}|0)(?![\w.])"
+_TOKEN = rf"{_TEXT}|{_NUMBER}|\b(?:True|False|None)\b|[{{}}\[\]:,]| "
+
+
+def _json_token(token: Column) -> Column:
+    body = F.regexp_extract(token, r"(?s)^[uU]?.(.*).$", 1)
+    fewer = F.regexp_replace(body, r"""(\\[\\ntr"])|\\(')""", "$1$2")  # a single quote needs no escape in JSON
+    text = F.concat(F.lit('"'), F.regexp_replace(fewer, r"""\G([^"\\]*+(?:\\.[^"\\]*+)*+)\"""", r'$1\\"'), F.lit('"'))
+    plain = F.when(token == "True", "true").when(token == "False", "false").when(token == "None", "null").otherwise(token)
+    return F.when(token.rlike("""^[uU]?['"]"""), text).otherwise(plain)
+
+
+def literal_json(value: Column) -> Column:
+    """A Python dict or list literal as JSON text, as ``json.dumps`` writes it; null for what is none and for
+    what only Python reads."""
+    tokens = F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), _json_token)
+    spaced = F.array_join(tokens, "")
+    # one value and nothing after it, every key once; deep nesting and many escapes are left to Python
+    one = (F.json_array_length(F.concat(F.lit("["), spaced, F.lit(",0]"))) == 2) & F.try_parse_json(spaced).isNotNull()
+    small = (F.length(F.regexp_replace(value, r"[^\[{]", "")) < 90) & (F.length(F.regexp_replace(value, r"[^\\]", "")) < 200)
+    known = value.rlike(r"^ *[{\[]") & small & (F.regexp_replace(value, _TOKEN, "") == "")
+    marks = F.transform(F.filter(tokens, lambda t: t != " "), lambda t: F.when(t.isin(":", ","), F.concat(t, F.lit(" "))).otherwise(t))
+    return F.when(F.coalesce(known, F.lit(False)), F.when(F.coalesce(one, F.lit(False)), F.array_join(marks, "")))
+
+
+def with_literals(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with the literals of a column as JSON text, other values unchanged. Whether a value is left
+    to Python is found by a pass over the column; without one the plan has no Python in it."""
+    text = F.col(column).cast("string")
+    left = F.when(literal_json(text).isNull() & text.rlike(r"(?U)^[\s\x1c-\x1f]*[{\[]"), text)
+    if df.filter(left.isNotNull()).isEmpty():
+        return df.withColumn(into, F.coalesce(literal_json(text), text))
+    return df.withColumn(into, F.coalesce(literal_json(text), python_literals(left), text))
+
+
 @F.pandas_udf(T.StringType())
 def python_literals(values: pd.Series) -> pd.Series:
     """Python dict and list literals as JSON text; other values, and what does not parse, unchanged."""
@@ -68,8 +106,9 @@ def python_literals(values: pd.Series) -> pd.Series:
         if not isinstance(v, str) or not v.strip().startswith(("{", "[")):
             return v
         try:
-            return json.dumps(ast.literal_eval(v), ensure_ascii=False, default=str)
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
+            read = json.dumps(ast.literal_eval(v), ensure_ascii=False, default=str)
+            return read if read.encode() else v  # half a surrogate pair is no text
+        except (TypeError, ValueError, SyntaxError, MemoryError, RecursionError):
             return v
 
     return values.map(one)

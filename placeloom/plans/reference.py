@@ -195,7 +195,7 @@ def nested_fields_as_json(spark, sf_dir):
 @_query("""SELECT event_id, concat('{"user": ', user_id, ', "ok": ', CASE WHEN value > 5 THEN 'true' ELSE 'null' END, '}') AS attrs FROM events""")
 def python_literal_attrs(spark, sf_dir):
     text = F.concat(F.lit("{u'user': "), F.col("user_id").cast("string"), F.lit(", 'ok': "), F.when(F.col("value") > 5, "True").otherwise("None"), F.lit("}"))
-    return R.table(spark, sf_dir, "events").select("event_id", A.python_literals(text).alias("attrs"))
+    return A.with_literals(R.table(spark, sf_dir, "events").select("event_id", text.alias("text")), "text", "attrs").drop("text")
 
 
 # ---- alignment
