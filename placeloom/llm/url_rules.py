@@ -11,6 +11,8 @@ tokens that occur on at least ``MIN_SUPPORT`` of all urls, and ``MIN_COUNT`` url
 
 * Only tokens that are themselves so frequent on blocked urls take part: no other can be in a rule.
 * Tokens that occur on the same urls are one: the first by name stands for all of them.
+* A token of which all urls are blocked is a rule by itself, as sure as can be, so that nothing it is
+  a part of can be one: it takes part in no combination.
 * A url with more than ``BASKET`` such tokens is dealt into baskets, so that any ``LONGEST`` of its
   tokens meet in one of them: its tokens are cut into groups, and a basket holds ``LONGEST`` groups.
   That counts some combinations more than once and none too few; so FP-growth names candidates, and
@@ -114,16 +116,20 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     often = stored(seen, "url-tokens")
     # tokens that stand on the same urls are one
     twins = often.filter(F.col("n_bad") >= least).groupBy("n", "n_bad", "x", "y").agg(F.min("t").alias("t"))
-    useful = stored(twins.select("t"), "url-useful")
+    useful = stored(twins.select("t", (F.col("n") == F.col("n_bad")).alias("sure")), "url-useful")
     n_useful = useful.count()
     if not n_useful:
         return none
-    bad = labelled.filter("bad").select("id", F.explode("tokens").alias("t")).join(_sized(useful, n_useful), "t").groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
+    singles = useful.filter("sure").select(F.array("t").alias("tokens"))
+    bad = labelled.filter("bad").select("id", F.explode("tokens").alias("t")).join(_sized(useful.filter("not sure").select("t"), n_useful), "t").groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
     items = bad.select(F.explode(_baskets(F.col("tokens"))).alias("items"))
     items = stored(items, "url-baskets")
-    # shares are of all baskets, of which there may be more than urls
-    model = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / items.count(), 1.0)).fit(items)
-    named = model.freqItemsets.filter(F.size("items") <= LONGEST).select(F.array_sort("items").alias("tokens")).distinct()
+    n_items = items.count()
+    named = singles
+    if n_items:
+        # shares are of all baskets, of which there may be more than urls
+        model = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / n_items, 1.0)).fit(items)
+        named = singles.union(model.freqItemsets.filter(F.size("items") <= LONGEST).select(F.array_sort("items").alias("tokens")).distinct())
     filed = stored(_filed(named, often), "url-candidates")
     counted = _matched(labelled, filed, filed.count()).groupBy("needs").agg(F.count("*").alias("n"), F.count_if("bad").alias("n_bad"))
     sure = counted.filter((F.col("n_bad") >= least) & (F.col("n_bad") / F.col("n") >= min_confidence))

@@ -84,3 +84,25 @@ def test_labels_of_the_caller(spark):
     labels = spark.createDataFrame([(u, "block") for u in urls[:38]], "url string, label string")
     rows = U.judge(pages, labels=labels).collect()
     assert {r.page_id for r in rows if r.verdict == "block"} == set(range(40))
+
+
+def test_sure_tokens_are_rules_by_themselves(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(240):
+        tokens = {f"q:{rng.choice('abcdef')}" for _ in range(rng.randint(1, 6))}
+        bad = {"q:a", "q:b"} <= tokens or i % 9 == 0
+        tokens |= {f"h:{x}" for x in "xyz" if bad and rng.random() < 0.4}
+        rows.append((sorted(tokens), "block" if bad else "open"))
+    df = spark.createDataFrame(rows, "tokens array<string>, label string")
+    got = {tuple(r.tokens): r.confidence for r in U.mined_rules(df, 0.03, 0.9, 5).collect()}
+    want = plain_rules(rows, 0.03, 0.9, 5)
+    assert ("h:x",) in want and ("q:a", "q:b") in want and got.keys() == want.keys() and all(abs(got[c] - want[c]) < 1e-9 for c in want)
+
+
+def test_many_sure_parameters(spark):
+    rng = random.Random(1)
+    names = [f"p{i}" for i in range(150)]
+    urls = ["http://casino.b%d.com/x?%s" % (i, "&".join(f"{p}={i}" for p in rng.sample(names, 100))) for i in range(200)] + [f"http://ok{i}.com/z" for i in range(300)]
+    rows = {r.page_id: r for r in U.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()}
+    assert len(rows) == 500 and all(rows[i].verdict == ("block" if i < 200 else "allow") for i in rows)
