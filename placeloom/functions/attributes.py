@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import joined
+from .text import joined, one_json
 
 MAP = "map<string,string>"
 #: Attribute families that are promoted to columns (fixed values).
@@ -81,7 +81,7 @@ def literal_json(value: Column) -> Column:
     tokens = F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), _json_token)
     spaced = F.array_join(tokens, "")
     # one value and nothing after it, every key once; deep nesting and many escapes are left to Python
-    one = (F.json_array_length(F.concat(F.lit("["), spaced, F.lit(",0]"))) == 2) & F.try_parse_json(spaced).isNotNull()
+    one = one_json(spaced)
     small = (F.length(F.regexp_replace(value, r"[^\[{]", "")) < 90) & (F.length(F.regexp_replace(value, r"[^\\]", "")) < 200)
     known = value.rlike(r"^ *[{\[]") & small & (F.regexp_replace(value, _TOKEN, "") == "")
     marks = F.transform(F.filter(tokens, lambda t: t != " "), lambda t: F.when(t.isin(":", ","), F.concat(t, F.lit(" "))).otherwise(t))

@@ -1,7 +1,8 @@
 """Model output: fences, normalised fields, requests and the answer without a model.
 
-Expressions where Spark has them; ``parsed_responses`` (arbitrary JSON shapes) is a pandas UDF
-over ``json``.
+Expressions where Spark has them. ``json_responses`` reads answers as variants; what only Python writes
+as text in the same way (fractions and nested values in text fields, keys that occur twice, NaN) is left to
+``parsed_responses``, a pandas UDF over ``json``, which ``with_responses`` puts into a plan only if it is needed.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from pathlib import Path
 from urllib.parse import unquote, urlparse
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import strip
+from .text import one_json, strip
 
 LIST_FIELDS = ("style", "ocr_text", "location_clues", "travel_intent")
 TEXT_FIELDS = ("merchant_type", "poi_type", "scene")
@@ -144,6 +145,82 @@ def parsed_responses(contents: pd.Series) -> pd.DataFrame:
     return out
 
 
+#: Kinds of values whose text is the same for Spark and Python, but for the case of booleans.
+_PLAIN = ("STRING", "BIGINT", "BOOLEAN")
+
+
+def _get(value: Column, path: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(value, path, kind)
+
+
+def _kind(value: Column) -> Column:
+    """The kind of a variant; a value that is missing has the kind of a null."""
+    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
+
+
+def _said(value: Column) -> Column:
+    text = _get(value, "$", "string")
+    return F.when(_kind(value) == "BOOLEAN", F.initcap(text)).when(_kind(value) == "VOID", "None").otherwise(text)
+
+
+def _label(value: Column) -> Column:
+    """A detection's label, or null."""
+    named = F.coalesce(*[F.nullif(_get(value, f"$.{k}", "string"), F.lit("")) for k in ("type", "name", "label")])
+    return F.when(_kind(value).startswith("OBJECT"), named).when(_kind(value) != "VOID", _said(value))
+
+
+def _label_known(value: Column) -> Column:
+    parts = [_kind(_get(value, f"$.{k}")).isin("STRING", "VOID") for k in ("type", "name", "label")]
+    return _kind(value).isin(*_PLAIN, "VOID") | (_kind(value).startswith("OBJECT") & parts[0] & parts[1] & parts[2])
+
+
+def _items(value: Column) -> Column:
+    """An array's values; another value as an array of one; none for a null."""
+    none = F.array().cast("array<variant>")
+    return F.coalesce(F.when(_kind(value).startswith("ARRAY"), _get(value, "$", "array<variant>")).when(_kind(value) != "VOID", F.array(value)), none)
+
+
+def json_responses(content: Column) -> Column:
+    """``normalised`` for answers in which no text depends on how Python writes a value; null for others."""
+    text = without_fence(content)
+    data = F.when(text.rlike(r"^[ \t\r\n]*\{") & one_json(text), F.try_parse_json(text))
+    inner = _get(data, "$.structured_info")
+    info = F.when(inner.isNull(), data).otherwise(inner)
+    fields = {k: _get(info, f"$.{k}") for k in (*TEXT_FIELDS, *LIST_FIELDS, "objects")}
+    summary, sure = _get(data, "$.image_summary"), _get(data, "$.confidence")
+    known = _kind(summary).isin("STRING", "VOID") & ((_kind(sure) != "STRING") | _get(sure, "$", "string").rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$"))
+    for k in TEXT_FIELDS:
+        known &= _kind(fields[k]).isin(*_PLAIN, "VOID")
+    for k in LIST_FIELDS:
+        known &= F.forall(_items(fields[k]), lambda x: _kind(x).isin(*_PLAIN, "VOID"))
+    known &= F.forall(_items(fields["objects"]), _label_known)
+    # other line ends than the usual ones, and halves of surrogate pairs, are left to Python
+    known &= ~content.rlike(r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|\\u[dD][89a-fA-F]")
+    number = F.when(_kind(sure).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN|STRING)"), _get(sure, "$", "double"))
+    shaped = [F.filter(F.transform(_items(fields["objects"]), _label), lambda x: x.isNotNull()).alias("objects")]
+    shaped += [F.when(_kind(fields[k]) != "VOID", _said(fields[k])).alias(k) for k in TEXT_FIELDS]
+    shaped += [F.transform(_items(fields[k]), _said).alias(k) for k in LIST_FIELDS]
+    read = F.struct(F.coalesce(_get(summary, "$", "string"), F.lit("")).alias("image_summary"), F.struct(*shaped).alias("structured_info"), F.coalesce(number, F.lit(0.5)).alias("confidence"), content.alias("raw_model_output"))
+    none = lambda kind: F.lit(None).cast(kind)
+    empty = F.array().cast(_LIST)
+    blank = lambda lists: F.struct(lists.alias("objects"), *[none("string").alias(k) for k in TEXT_FIELDS], *[lists.alias(k) for k in LIST_FIELDS])
+    missing = F.struct(none("string"), blank(none(_LIST)), none("double"), none("string"))
+    # without a brace there is no object
+    said = F.struct(content, blank(empty), F.lit(0.3), content)
+    return F.when(content.isNull(), missing.cast(RESPONSE)).when(~content.contains("{"), said.cast(RESPONSE)).when(F.coalesce(data.isNotNull() & known, F.lit(False)), read.cast(RESPONSE))
+
+
+def with_responses(df: DataFrame, column: str, into: str) -> DataFrame:
+    """``df`` with the answers of a column in the stable shape. Whether an answer is left to Python is found by
+    a pass over the column; without one the plan has no Python in it. A confidence that is NaN is null."""
+    content = F.col(column).cast("string")
+    read = json_responses(content)
+    left = F.when(read.isNull(), content)
+    if df.filter(left.isNotNull()).isEmpty():
+        return df.withColumn(into, read)
+    return df.withColumn(into, F.coalesce(read, parsed_responses(left)))
+
+
 def file_url_path(url: str) -> str:
     """The path that a file url names: POSIX, relative, with a host, or with a drive letter."""
     parsed = urlparse(url)

@@ -47,6 +47,13 @@ def first_upper(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
 
 
+def one_json(text: Column) -> Column:
+    """Whether a text is one JSON value with nothing after it and no key twice. As an element of an array it
+    has one element after it, and then two: it does not close the array itself."""
+    longer = lambda after: F.json_array_length(F.concat(F.lit("["), text, F.lit(after)))
+    return F.coalesce((longer(",0]") == 2) & (longer(",0,0]") == 3) & F.try_parse_json(text).isNotNull(), F.lit(False))
+
+
 def joined(sep: str, *cols: Column) -> Column:
     """What is not empty, joined."""
     return F.concat_ws(sep, *[F.nullif(c, F.lit("")) for c in cols])

@@ -614,7 +614,8 @@ def chat_payload(spark, sf_dir):
 @_query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence, CASE WHEN turn % 2 = 0 THEN concat('s', conv_id) ELSE text END AS image_summary, CASE WHEN turn % 2 = 0 THEN concat('cup|', role) ELSE '' END AS objects, CASE WHEN turn % 2 = 0 THEN role ELSE '' END AS style FROM conversations""")
 def model_responses(spark, sf_dir):
     good = F.concat(F.lit('```json\n{"image_summary":"s'), "conv_id", F.lit('","confidence":0.9,"objects":[{"type":"cup"},null,"'), "role", F.lit('"],"style":"'), "role", F.lit('"}\n```'))
-    out = R.table(spark, sf_dir, "conversations").select("conv_id", "turn", M.parsed_responses(F.when(F.col("turn") % 2 == 0, good).otherwise(F.col("text"))).alias("r"))
+    said = R.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, good).otherwise(F.col("text")).alias("said"))
+    out = M.with_responses(said, "said", "r")
     return out.select("conv_id", "turn", "r.confidence", "r.image_summary", _bar("r.structured_info.objects").alias("objects"), _bar("r.structured_info.style").alias("style"))
 
 

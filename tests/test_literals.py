@@ -12,7 +12,7 @@ ODD = [
     None, "", " ", "x", "{", "[", "{}", "[]", " {}", "{} ", "\t{}", "{}\n", "[1] [2]", "[1],[2]", "[1][0]", "[1, 2,]", "{'a': 1,}", "(1, 2)", "[(1, 2)]", "{1, 2}", "{1: 2}", "{'a': 1, 'a': 2}", "['a' 'b']", "[1 2]", "[007]", "[0]", "[-0]", "[-0.0]", "[00]",
     "[1.50]", "[1.5]", "[1.]", "[.5]", "[0.00001]", "[0.0001]", "[123456789.5]", "[1e5]", "[1_000]", "[0x1F]", "[1-5]", "[-5]", "[- 5]", "[+5]", "[1j]", "[True]", "[true]", "[Truely]", "[None, False]", "[-True]", "[b'x']", "[r'\\n']", "[f'x']", "[u'x', U\"y\"]", "['''a''']",
     "['it\\'s']", '["it\\"s"]', "['say \"hi\"']", "['\\\\']", "['\\\\\\'']", "['\\\\\"']", "['a\\nb\\tc\\r']", "['\\x41']", "['\\u00e9']", "['\\q']", "['\n']", "['\x7f\u2028é中😀']", "['a\\\nb']", "[" * 95 + "]" * 95, "{'a': {'b': [1, {'c': None}]}}", "[nan]", "[1] # x", "{'a':1}", "{ 'a' :1 , 'b':[ ] }",
-    "{'a': '" + "x" * 9000 + "'}", "['" + "\\'" * 300 + "']", "[" + "9" * 40 + "]", "['a\\/b']", "\u3000[1]", "['$1 \\\\ $2']", "{'k': 'a', \"k\": 2}", "[1,,2]", "[:]", "{'a' 1}", "['\x00']", "{[1]: 2}", "{[1], 2}", "{(1, 2): 3}", "['\\ud800']",
+    "{'a': '" + "x" * 9000 + "'}", "['" + "\\'" * 300 + "']", "[" + "9" * 40 + "]", "['a\\/b']", "\u3000[1]", "['$1 \\\\ $2']", "{'k': 'a', \"k\": 2}", "[1,,2]", "[:]", "{'a' 1}", "['\x00']", "[1], 2],[3", "[1], 2, 3],[4", "{[1]: 2}", "{[1], 2}", "{(1, 2): 3}", "['\\ud800']",
 ]
 
 
