@@ -180,34 +180,51 @@ def _items(value: Column) -> Column:
     return F.coalesce(F.when(_kind(value).startswith("ARRAY"), _get(value, "$", "array<variant>")).when(_kind(value) != "VOID", F.array(value)), none)
 
 
-def json_responses(content: Column) -> Column:
-    """``normalised`` for answers in which no text depends on how Python writes a value; null for others."""
-    text = without_fence(content)
-    data = F.when(text.rlike(r"^[ \t\r\n]*\{") & one_json(text), F.try_parse_json(text))
-    inner = _get(data, "$.structured_info")
-    info = F.when(inner.isNull(), data).otherwise(inner)
-    fields = {k: _get(info, f"$.{k}") for k in (*TEXT_FIELDS, *LIST_FIELDS, "objects")}
-    summary, sure = _get(data, "$.image_summary"), _get(data, "$.confidence")
+def _let(value: Column, then) -> Column:
+    """``then(value)``, with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _shaped(content: Column, parts: Column) -> Column:
+    """The stable shape of an answer's parts (variants), or null if it is left to Python."""
+    sure, summary = parts["confidence"], parts["image_summary"]
     known = _kind(summary).isin("STRING", "VOID") & ((_kind(sure) != "STRING") | _get(sure, "$", "string").rlike(r"^-?[0-9]{1,15}(\.[0-9]{1,15})?$"))
     for k in TEXT_FIELDS:
-        known &= _kind(fields[k]).isin(*_PLAIN, "VOID")
+        known &= _kind(parts[k]).isin(*_PLAIN, "VOID")
     for k in LIST_FIELDS:
-        known &= F.forall(_items(fields[k]), lambda x: _kind(x).isin(*_PLAIN, "VOID"))
-    known &= F.forall(_items(fields["objects"]), _label_known)
-    # other line ends than the usual ones, and halves of surrogate pairs, are left to Python
-    known &= ~content.rlike(r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|\\u[dD][89a-fA-F]")
+        known &= F.forall(_items(parts[k]), lambda x: _kind(x).isin(*_PLAIN, "VOID"))
+    known &= F.forall(_items(parts["objects"]), _label_known)
     number = F.when(_kind(sure).rlike("^(BIGINT|DECIMAL|DOUBLE|BOOLEAN|STRING)"), _get(sure, "$", "double"))
-    shaped = [F.filter(F.transform(_items(fields["objects"]), _label), lambda x: x.isNotNull()).alias("objects")]
-    shaped += [F.when(_kind(fields[k]) != "VOID", _said(fields[k])).alias(k) for k in TEXT_FIELDS]
-    shaped += [F.transform(_items(fields[k]), _said).alias(k) for k in LIST_FIELDS]
-    read = F.struct(F.coalesce(_get(summary, "$", "string"), F.lit("")).alias("image_summary"), F.struct(*shaped).alias("structured_info"), F.coalesce(number, F.lit(0.5)).alias("confidence"), content.alias("raw_model_output"))
+    info = [F.filter(F.transform(_items(parts["objects"]), _label), lambda x: x.isNotNull()).alias("objects")]
+    info += [F.when(_kind(parts[k]) != "VOID", _said(parts[k])).alias(k) for k in TEXT_FIELDS]
+    info += [F.transform(_items(parts[k]), _said).alias(k) for k in LIST_FIELDS]
+    read = F.struct(F.coalesce(_get(summary, "$", "string"), F.lit("")).alias("image_summary"), F.struct(*info).alias("structured_info"), F.coalesce(number, F.lit(0.5)).alias("confidence"), content.alias("raw_model_output"))
+    return F.when(known, read.cast(RESPONSE))
+
+
+def _parts(data: Column, info: Column) -> Column:
+    own = [_get(data, f"$.{k}").alias(k) for k in ("image_summary", "confidence")]
+    return F.struct(*own, *[_get(info, f"$.{k}").alias(k) for k in ("objects", *TEXT_FIELDS, *LIST_FIELDS)])
+
+
+def json_responses(content: Column) -> Column:
+    """``normalised`` for answers in which no text depends on how Python writes a value; null for others."""
+
+    def of_data(data: Column) -> Column:
+        inner = _get(data, "$.structured_info")
+        return _let(_parts(data, F.when(inner.isNull(), data).otherwise(inner)), lambda parts: _shaped(content, parts))
+
+    # other line ends than the usual ones, and halves of surrogate pairs, are left to Python
+    usual = ~content.rlike(r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|\\u[dD][89a-fA-F]")
+    data = _let(without_fence(content), lambda text: F.when(usual & text.rlike(r"^[ \t\r\n]*\{") & one_json(text), F.try_parse_json(text)))
+    read = _let(data, lambda d: F.when(d.isNotNull(), of_data(d)))
     none = lambda kind: F.lit(None).cast(kind)
     empty = F.array().cast(_LIST)
     blank = lambda lists: F.struct(lists.alias("objects"), *[none("string").alias(k) for k in TEXT_FIELDS], *[lists.alias(k) for k in LIST_FIELDS])
     missing = F.struct(none("string"), blank(none(_LIST)), none("double"), none("string"))
     # without a brace there is no object
     said = F.struct(content, blank(empty), F.lit(0.3), content)
-    return F.when(content.isNull(), missing.cast(RESPONSE)).when(~content.contains("{"), said.cast(RESPONSE)).when(F.coalesce(data.isNotNull() & known, F.lit(False)), read.cast(RESPONSE))
+    return F.when(content.isNull(), missing.cast(RESPONSE)).when(~content.contains("{"), said.cast(RESPONSE)).otherwise(read)
 
 
 def with_responses(df: DataFrame, column: str, into: str) -> DataFrame:
