@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import joined, one_json
+from .text import joined, let, one_json
 
 MAP = "map<string,string>"
 #: Attribute families that are promoted to columns (fixed values).
@@ -78,14 +78,13 @@ def _json_token(token: Column) -> Column:
 def literal_json(value: Column) -> Column:
     """A Python dict or list literal as JSON text, as ``json.dumps`` writes it; null for what is none and for
     what only Python reads."""
-    tokens = F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), _json_token)
-    spaced = F.array_join(tokens, "")
-    # one value and nothing after it, every key once; deep nesting and many escapes are left to Python
-    one = one_json(spaced)
+    # deep nesting and many escapes are left to Python
     small = (F.length(F.regexp_replace(value, r"[^\[{]", "")) < 90) & (F.length(F.regexp_replace(value, r"[^\\]", "")) < 200)
     known = value.rlike(r"^ *[{\[]") & small & (F.regexp_replace(value, _TOKEN, "") == "")
-    marks = F.transform(F.filter(tokens, lambda t: t != " "), lambda t: F.when(t.isin(":", ","), F.concat(t, F.lit(" "))).otherwise(t))
-    return F.when(F.coalesce(known, F.lit(False)), F.when(F.coalesce(one, F.lit(False)), F.array_join(marks, "")))
+    marked = lambda t: F.when(t.isin(":", ","), F.concat(t, F.lit(" "))).otherwise(t)
+    read = lambda tokens: F.when(let(F.array_join(tokens, ""), one_json), F.array_join(F.transform(F.filter(tokens, lambda t: t != " "), marked), ""))
+    tokens = F.transform(F.regexp_extract_all(value, F.lit(_TOKEN), F.lit(0)), _json_token)
+    return F.when(F.coalesce(known, F.lit(False)), let(tokens, read))
 
 
 def with_literals(df: DataFrame, column: str, into: str) -> DataFrame:

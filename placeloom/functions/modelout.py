@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import one_json, strip
+from .text import let, one_json, strip
 
 LIST_FIELDS = ("style", "ocr_text", "location_clues", "travel_intent")
 TEXT_FIELDS = ("merchant_type", "poi_type", "scene")
@@ -180,11 +180,6 @@ def _items(value: Column) -> Column:
     return F.coalesce(F.when(_kind(value).startswith("ARRAY"), _get(value, "$", "array<variant>")).when(_kind(value) != "VOID", F.array(value)), none)
 
 
-def _let(value: Column, then) -> Column:
-    """``then(value)``, with the value made once however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def _shaped(content: Column, parts: Column) -> Column:
     """The stable shape of an answer's parts (variants), or null if it is left to Python."""
     sure, summary = parts["confidence"], parts["image_summary"]
@@ -212,12 +207,12 @@ def json_responses(content: Column) -> Column:
 
     def of_data(data: Column) -> Column:
         inner = _get(data, "$.structured_info")
-        return _let(_parts(data, F.when(inner.isNull(), data).otherwise(inner)), lambda parts: _shaped(content, parts))
+        return let(_parts(data, F.when(inner.isNull(), data).otherwise(inner)), lambda parts: _shaped(content, parts))
 
     # other line ends than the usual ones, and halves of surrogate pairs, are left to Python
     usual = ~content.rlike(r"[\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]|\\u[dD][89a-fA-F]")
-    data = _let(without_fence(content), lambda text: F.when(usual & text.rlike(r"^[ \t\r\n]*\{") & one_json(text), F.try_parse_json(text)))
-    read = _let(data, lambda d: F.when(d.isNotNull(), of_data(d)))
+    data = let(without_fence(content), lambda text: F.when(usual & text.rlike(r"^[ \t\r\n]*\{") & one_json(text), F.try_parse_json(text)))
+    read = let(data, lambda d: F.when(d.isNotNull(), of_data(d)))
     none = lambda kind: F.lit(None).cast(kind)
     empty = F.array().cast(_LIST)
     blank = lambda lists: F.struct(lists.alias("objects"), *[none("string").alias(k) for k in TEXT_FIELDS], *[lists.alias(k) for k in LIST_FIELDS])

@@ -47,6 +47,11 @@ def first_upper(text: Column) -> Column:
     return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1 << 30)))
 
 
+def let(value: Column, then) -> Column:
+    """``then(value)``, with the value made once however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def one_json(text: Column) -> Column:
     """Whether a text is one JSON value with nothing after it and no key twice. As an element of an array it
     has one element after it, and then two: it does not close the array itself."""
