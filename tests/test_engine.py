@@ -127,6 +127,12 @@ def test_similarity(spark):
     assert values(spark.range(1).select(similarity.retention_rate(F.lit(0), F.lit(0)))) == [("0.00%",)]
 
 
+def test_retention_rate_rounds_as_sql_does(spark):
+    df = spark.createDataFrame([(k, g) for g in (160, 4000) for k in range(g + 1)], "kept long, given long")
+    got = df.select("kept", "given", similarity.retention_rate(F.col("kept"), F.col("given")).alias("rate")).collect()
+    assert [r for r in got if r.rate != f"{100.0 * r.kept / r.given:.2f}%"] == []
+
+
 def test_statistics(spark):
     b = spark.createDataFrame([("a", ["x", "y"], 1), ("b", ["y", "x"], 2), ("c", ["z", "z"], 3)], "business_id string, categories array<string>, ord long")
     assert values(stats.top_values(b, "categories", "ord")) == [("x", 2), ("y", 2), ("z", 2)]
