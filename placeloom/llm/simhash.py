@@ -21,9 +21,12 @@ Edge cases: a null or empty text has fingerprint zero and links like any other;
 ``doc_id`` each keep their row; a null ``doc_id`` gets its component's smallest id, or null when
 the component has none; extra columns are ignored.
 
-The pipeline's stage does not use fingerprints, whose distance says too little about a similarity
-of 0.8: it joins the sets of word 5-shingles exactly (``similar_texts``). Two sets with a Jaccard
-similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in any common order;
+The pipeline's stage links texts whose sets of word 5-shingles have a Jaccard similarity of 0.8 or
+more (``similar_texts``). It finds them by fingerprints of these shingles and the same multi-index
+hashing first (``alike``): texts within two bits are candidates, and their whole sets are compared. A
+distance says too little about a similarity of 0.8 to find all of them (two such texts differ in about
+10 bits), so an exact join of the sets follows for those that are not in one component yet. Two sets
+with a similarity of 0.8 share one of their first ``n - ceil(0.8 n) + 1`` shingles in any common order;
 the order is by how common a shingle's bucket is, so that common lines come last. From the first
 shingle that two sets share no more can be common than what is left of either set, so the pair is
 dropped where it is formed if that is too little. Other pairs are candidates, and their whole sets
@@ -256,6 +259,27 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: tuple[int,
     return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-edges")
 
 
+def alike(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
+    """(u, v): texts of ``docs`` (node, text) with fingerprints within two bits whose whole sets are similar enough.
+
+    Texts of one fingerprint are compared with the first of them, and the first ones of linked fingerprints.
+    """
+    fps = fingerprints(docs.select(F.col("node").alias("doc_id"), "text"), shingle).groupBy(F.col("doc_id").alias("node")).agg(F.first("fp").alias("fp"))
+    fps = stored(fps, "near-fps")
+    codes = stored(fps.groupBy("fp").agg(F.min("node").alias("first")), "near-codes")
+    same = fps.join(codes, "fp").filter("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    of = lambda name: codes.select(F.col("fp").alias(name), F.col("first").alias(f"{name}_first"))
+    near = links(codes.select("fp")).join(of("u"), "u").join(of("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"))
+    return _similar(same.union(near), docs, shingle, least)
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (u, v) that are in different components."""
+    of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    rooted = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left")
+    return rooted.filter(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).select("u", "v")
+
+
 def _between(postings: DataFrame, roots: DataFrame) -> DataFrame:
     """Those of ``postings`` whose shingle is in more than one component, with their ``root``."""
     rooted = postings.join(roots, "node", "left").select("gram", "node", "n", "i", F.coalesce("root", "node").alias("root"))
@@ -281,13 +305,15 @@ def similar_texts(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[in
         """Whether sets of n and m shingles may be similar if the i-th and j-th is the first that they share."""
         return F.least(F.col(n) - F.col(i), F.col(m) - F.col(j)) * (up + down) >= (F.col(n) + F.col(m)) * up
 
+    links = alike(docs, shingle, least)
     one = _prefixes(docs, shingle, least).groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = one.select("node", "n", F.posexplode("prefix").alias("i", "gram")).repartition("gram")
     keys = postings.groupBy("gram").agg(_first(), F.count("*").alias("texts")).filter("texts > 1").drop("texts")
     shared = stored(postings.join(keys, "gram").select("gram", "node", "n", "i", "first"), "near-postings")
-    # one first text for each text
+    # one first text for each text, if the fingerprints leave it in another component
     stars = shared.filter((F.col("node") != F.col("first.node")) & may("n", "i", "first.n", "first.i"))
-    links = _similar(stars.groupBy(F.col("node").alias("u")).agg(F.min("first").alias("v")).select("u", F.col("v.node").alias("v")), docs, shingle, least)
+    stars = stars.groupBy(F.col("node").alias("u")).agg(F.min("first").alias("v")).select("u", F.col("v.node").alias("v"))
+    links = links.union(_similar(_apart(stars, connected(links)), docs, shingle, least))
     # then up to FIRSTS first texts of each shingle, which the links so far leave in other components
     open_ = _between(shared.drop("first"), connected(links))
     firsts = open_.groupBy("gram", F.pmod("node", F.lit(FIRSTS)).alias("part")).agg(_first("root")).select("gram", "first")

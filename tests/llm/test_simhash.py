@@ -89,6 +89,22 @@ def test_stage_links_at_similarity(spark, make_docs, words):
     assert kept == set(at) and kept & set(range(60, 90)) and not kept & set(range(30, 60))
 
 
+def test_stage_finds_texts_by_fingerprints_first(spark, make_docs, words, monkeypatch):
+    """Of near copies, those within two bits are found by the index; the join finds the others, and compares none of them again."""
+    base = [words(400).split() for _ in range(8)]
+    texts = [" ".join(b) for b in base] + [" ".join([*b[:-1], "changed"]) for b in base] + [" ".join("changed" if i % 60 == 30 else w for i, w in enumerate(b)) for b in base]
+    fps = [S.fingerprint(t, S.STAGE_SHINGLE) for t in texts]
+    close = {(a, b) for a in range(24) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    assert len(close) >= 6
+    compared, similar = [], S._similar
+    monkeypatch.setattr(S, "_similar", lambda pairs, *a: compared.append({tuple(sorted(r)) for r in pairs.select("u", "v").collect()}) or similar(pairs, *a))
+    docs = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = {(max(r), min(r)) for r in S.alike(docs).collect()}
+    assert found and found <= close and compared.pop() >= {tuple(sorted(p)) for p in found}
+    kept = {r.doc_id for r in S.keep_one_of_each(spark, make_docs(texts), "").select("doc_id").collect()}
+    assert kept == set(range(8)) and compared[0] and not compared[0] & compared[1]
+
+
 def test_stage_tells_rows_apart_without_ids(spark, make_docs, words):
     """Copies without an id go like any other; different texts with one id both stay."""
     a, b, c, d = (words(40) for _ in range(4))
