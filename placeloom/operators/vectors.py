@@ -7,7 +7,8 @@ vectors are packed into blocks by ranges of (cell, id), so that a cell of any si
 Search. A query reads the blocks of its ``probes`` nearest cells. Queries of one cell are packed as
 well; a task multiplies a block of queries with a block of vectors and keeps each query's best, so
 that pairs never become rows. Scores are exact cosines; with as many probes as cells so is the
-result. How many probes a recall needs depends on the data: ``probes_for`` measures it on some queries.
+result. A query that reads all cells is not filed in each: blocks of queries meet all blocks of vectors.
+How many probes a recall needs depends on the data: ``probes_for`` measures it on some queries.
 
 Edge cases: null ids, null or empty vectors, vectors with null or non-finite components and those of
 another length than most are not filed and ask nothing; a zero vector has cosine 0 with all; equal
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from ..sources.tables import stored
 
 SAMPLE, ITEM_ROWS, QUERY_ROWS, CONSTANT = 50_000, 2048, 256, 60
+#: Rows that a task files at once; bytes of all query blocks up to which they are broadcast.
+FILED_ROWS, BROADCAST_BYTES = 20_000, 64 << 20
 BLOCK = "cell int, ids binary, cells binary"
 FOUND = "query_id long, item_id long, score double, cell int"
 
@@ -66,8 +69,11 @@ def _filed(rows: DataFrame, centres: np.ndarray, probes: int) -> DataFrame:
             for i in range(0, batch.num_rows, 1000):
                 part = batch.slice(i, 1000)
                 near = np.argsort(-(_unit(part, 1) @ centres.T), axis=1, kind="stable")[:, :probes]
-                take = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel(), pa.int32()), part.column(0).take(take), part.column(1).take(take)], ["cell", "id", "v"])
+                step = max(1, FILED_ROWS // near.shape[1])
+                for a in range(0, part.num_rows, step):
+                    some, cells = part.slice(a, step), near[a : a + step]
+                    take = pa.array(np.repeat(np.arange(some.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), some.column(0).take(take), some.column(1).take(take)], ["cell", "id", "v"])
 
     return rows.filter(F.size("v") == centres.shape[1]).select("id", "v").mapInArrow(run, "cell int, id long, v array<double>")
 
@@ -126,11 +132,18 @@ class Index:
         With ``not_itself`` items of the query's own id are left out.
         """
         probes = min(probes or len(self.centres), len(self.centres))
-        asked = _packed(_filed(usable(queries, key, vector), self.centres, probes), rows)
-        met = asked.join(self.blocks.select("cell", F.col("ids").alias("item_ids"), F.col("cells").alias("item_cells")), "cell")
+        items = self.blocks.select("cell", F.col("ids").alias("item_ids"), F.col("cells").alias("item_cells"))
+        if probes < len(self.centres):
+            met = _packed(_filed(usable(queries, key, vector), self.centres, probes), rows).join(items, "cell")
+        else:
+            own = usable(queries, key, vector).filter(F.size("v") == self.centres.shape[1])
+            asked = stored(_packed(own.select(F.lit(0).alias("cell"), "id", "v"), rows), "vector-queries").drop("cell")
+            small = asked.count() * rows * (self.centres.shape[1] + 1) * 8 <= BROADCAST_BYTES
+            met = items.crossJoin(F.broadcast(asked) if small else asked).select("cell", "ids", "cells", "item_ids", "item_cells")
         width = self.centres.shape[1]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: dict[bytes, np.ndarray] = {}  # each query's k best scores in this task so far, descending
             for batch in batches:
                 for i in range(batch.num_rows):
                     q, c = (np.frombuffer(batch.column(n)[i].as_py(), np.int64) for n in (1, 3))
@@ -140,7 +153,10 @@ class Index:
                         score[q[:, None] == c[None, :]] = -np.inf
                     best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend in a block
                     at = np.repeat(np.arange(len(q)), best.shape[1]), best.ravel()
-                    real = score[at] > -np.inf
+                    block, reached = batch.column(1)[i].as_py(), score[at].reshape(best.shape)
+                    had = seen.get(block, np.full((len(q), k), -np.inf))
+                    real = ((reached > -np.inf) & (reached >= had[:, -1:])).ravel()
+                    seen[block] = -np.sort(-np.concatenate([had, reached], axis=1), axis=1)[:, :k]
                     yield pa.RecordBatch.from_arrays([pa.array(q[at[0]][real]), pa.array(c[at[1]][real]), pa.array(score[at][real]), pa.array([batch.column(0)[i].as_py()] * int(real.sum()), pa.int32())], ["query_id", "item_id", "score", "cell"])
 
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")

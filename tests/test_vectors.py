@@ -39,6 +39,22 @@ def test_all_cells_are_exact(spark, clustered):
         assert got(index.search(items.filter("item_id % 20 = 0"), "item_id", not_itself=True, rows=5 if rows == 37 else 256)) == want
 
 
+def test_all_cells_move_each_query_once(spark, clustered, monkeypatch):
+    """A search of all cells packs a query once, not once for each cell, and files few rows at a time."""
+    items = make(spark, clustered)
+    index, asked, packed, filed = V.Index(items, "item_id"), items.filter("item_id % 20 = 0"), V._packed, []
+    monkeypatch.setattr(V, "_packed", lambda rows, n: filed.append(rows.count()) or packed(rows, n))
+    want = plain(clustered, range(0, 900, 20), 10)
+    assert len(index.centres) > 1
+    for most in (V.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(V, "BROADCAST_BYTES", most)
+        assert got(index.search(asked, "item_id", not_itself=True, rows=7)) == want
+    assert filed == [45, 45]
+    monkeypatch.setattr(V, "FILED_ROWS", 10)
+    some = V._filed(V.usable(items, "item_id"), index.centres, 3)
+    assert some.count() == 2700 and some.select("id", "cell").distinct().count() == 2700
+
+
 def test_recall(spark, clustered):
     items = make(spark, clustered)
     index, asked = V.Index(items, "item_id"), items.filter("item_id % 20 = 0")
