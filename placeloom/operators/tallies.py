@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from decimal import Decimal
 from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +31,23 @@ from ..sources import tables
 _ROWS = "rows"
 
 
-def _found(what: str, value: Column, place: Column, number: Column) -> Column:
-    return F.struct(F.lit(what).alias("what"), value.cast("string").alias("value"), place.cast("int").alias("p"), number.cast("long").alias("number"))
+#: Places in an array are below it.
+_PLACES = Decimal(1 << 31)
 
 
-def _listed(what: str, texts: Column) -> Column:
-    each = F.filter(F.transform(texts, lambda x, i: _found(what, x, i, F.lit(None))), lambda x: has_value(x["value"]))
-    return F.coalesce(each, F.array().cast("array<struct<what:string,value:string,p:int,number:bigint>>"))
+def _packed(o: Column, kind: T.DataType) -> Column:
+    """A place added to it gives a number that orders as (o, place) does."""
+    return o.cast("decimal(20,0)") * _PLACES if isinstance(kind, T.IntegralType) else F.lit(None)
+
+
+def _least(o: Column, p: Column, packed: Column, kind: T.DataType) -> Column:
+    """The least pair (o, p), an aggregate. A whole number and a place are packed into one decimal number
+    for it: numbers are summed up by hashing, while a struct would have all rows sorted by what they are grouped by."""
+    if not isinstance(kind, T.IntegralType):
+        return F.min(F.when(o.isNotNull() & p.isNotNull(), F.struct(o.alias("o"), p.alias("p"))))
+    least = F.min(F.when(p.isNotNull(), o))
+    place = F.min(packed + p) - _packed(least, kind)
+    return F.when(least.isNotNull(), F.struct(least.alias("o"), place.cast("int").alias("p")))
 
 
 def tallies(df: DataFrame, values: dict[str, Column] | None = None, numbers: dict[str, Column] | None = None, order: str | None = None, order_type: str | T.DataType = "long", part: Column | None = None) -> DataFrame:
@@ -44,15 +55,35 @@ def tallies(df: DataFrame, values: dict[str, Column] | None = None, numbers: dic
 
     ``values`` are columns of text or of arrays of text, ``numbers`` are whole numbers. ``order`` is the
     column by which the first occurrence is told; without it ``first`` is null, of ``order_type``.
+
+    A row's values stand in one array, measure after measure, then a null for the row and for each number.
     """
-    kinds = dict(df.select(*[c.alias(name) for name, c in (values or {}).items()]).dtypes)
-    none = F.lit(None)
-    found = [F.array(_found(_ROWS, none, none, none))]
-    found += [_listed(name, c if kinds[name].startswith("array") else F.array(c)) for name, c in (values or {}).items()]
-    found += [F.filter(F.array(_found(name, none, none, c)), lambda x: x["number"].isNotNull()) for name, c in (numbers or {}).items()]
-    at = F.lit(None).cast(order_type) if order is None else F.col(order)
-    each = df.select((F.lit("") if part is None else part).cast("string").alias("part"), at.alias("o"), F.explode(F.concat(*found)).alias("x")).select("part", "o", "x.*")
-    return each.groupBy("part", "what", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("total"), F.min("number").alias("least"), F.max("number").alias("most"), F.min(F.when(F.col("value").isNotNull() & F.col("o").isNotNull(), F.struct("o", "p"))).alias("first"))
+    values, numbers = values or {}, numbers or {}
+    kinds = dict(df.select(*[c.alias(name) for name, c in values.items()]).dtypes)
+    texts = [c if kinds[name].startswith("array") else F.array(c) for name, c in values.items()]
+    lists = [F.coalesce(c.cast("array<string>"), F.array().cast("array<string>")).alias(f"v{i}") for i, c in enumerate(texts)]
+    long = F.array(*[c.cast("long") for c in numbers.values()]).cast("array<bigint>")
+    own = df.select((F.lit("") if part is None else part).cast("string").alias("part"), (F.lit(None) if order is None else F.col(order)).alias("o"), long.alias("numbers"), *lists)
+    kind, n_lists = own.schema["o"].dataType, len(lists)
+    ends = [F.lit(0)]  # where each measure's values start, and the last ones end
+    for i in range(n_lists):
+        ends.append(ends[-1] + F.size(f"v{i}"))
+    more = F.array(*[F.lit(None).cast("string")] * (1 + len(numbers)))
+    rows = own.select("part", "o", _packed(F.col("o"), kind).alias("packed"), "numbers", F.concat(*[f"v{i}" for i in range(n_lists)], more).alias("found"), *[e.alias(f"e{i}") for i, e in enumerate(ends)])
+    # no array is empty; Spark would make the values once more to filter empty arrays for the inner form
+    each = rows.select("part", "o", "packed", "numbers", *[f"e{i}" for i in range(n_lists + 1)], F.posexplode_outer("found").alias("at", "value"))
+    what, place = F.col("at") - F.col(f"e{n_lists}") + n_lists, F.lit(None).cast("int")
+    for i in reversed(range(n_lists)):
+        here = F.col("at") < F.col(f"e{i + 1}")
+        what, place = F.when(here, i).otherwise(what), F.when(here, F.col("at") - F.col(f"e{i}")).otherwise(place)
+    number = F.get("numbers", F.col("at") - F.col(f"e{n_lists}") - 1)
+    each = each.select("part", "o", "packed", what.alias("k"), "value", place.alias("p"), number.alias("number"))
+    each = each.filter(has_value(F.col("value")) | (F.col("k") == n_lists) | F.col("number").isNotNull())
+    none = F.when(F.lit(False), F.struct(F.lit(None).cast(order_type).alias("o"), F.lit(None).cast("int").alias("p")))
+    first = none if order is None else _least(F.col("o"), F.col("p"), F.col("packed"), kind)
+    found = each.groupBy("part", "k", "value").agg(F.count(F.lit(1)).alias("n"), F.sum("number").alias("total"), F.min("number").alias("least"), F.max("number").alias("most"), first.alias("first"))
+    names = F.array(*[F.lit(name) for name in [*values, _ROWS, *numbers]])
+    return found.select("part", F.get(names, F.col("k")).alias("what"), "value", "n", "total", "least", "most", "first")
 
 
 def renamed(counted: DataFrame, prefix: str) -> DataFrame:

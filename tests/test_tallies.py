@@ -44,6 +44,33 @@ def test_parts_add_up_to_the_whole(spark, part):
     assert [(r.value, r.n) for r in tallies.top(whole, "tag", 3).collect()] == [(t, tag[t]) for t in best]
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("order", ["id", "o", None])
+def test_values_are_counted_without_a_sort(spark, order):
+    df = spark.createDataFrame(made(3), SCHEMA)
+    counted = plan(tallies.tallies(df, *measures(), order, part=F.col("city")))
+    assert "HashAggregate" in counted and "Sort" not in counted
+
+
+def test_first_places_of_any_whole_number(spark):
+    least, most = -(1 << 63), (1 << 63) - 1
+    rows = [(0, ["b", "a"]), (0, ["a", "", "b", "b"]), (most, ["c", "d"]), (least, [None, "e", "d", "e"]), (None, ["a", "f"]), (-1, ["b", "g"]), (-1, ["g", "h"]), (5, None)]
+    want = {}
+    for o, tags in rows:
+        for p, t in enumerate(tags or []):
+            if t:
+                old = want.get(t)
+                want[t] = old if o is None or old is not None and old <= (o, p) else (o, p)
+    df = spark.createDataFrame(rows, "o long, tags array<string>").repartition(4)
+    counted = tallies.tallies(df, {"tag": F.col("tags")}, order="o", part=F.col("o") % 3)
+    assert counted.schema["first"].dataType.simpleString() == "struct<o:bigint,p:int>"
+    for whole in (tallies.summed(counted), tallies.tallies(df, {"tag": F.col("tags")}, order="o")):
+        assert {r.value: r.first and tuple(r.first) for r in whole.filter("what = 'tag'").collect()} == want
+
+
 def test_new_files_are_added_once(spark, tmp_path):
     folder, path = f"{tmp_path}/in put", f"{tmp_path}/tallies"
     spark.createDataFrame(made(3), SCHEMA).repartition(3).write.parquet(folder)
