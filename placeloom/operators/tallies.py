@@ -93,7 +93,8 @@ def renamed(counted: DataFrame, prefix: str) -> DataFrame:
 
 def summed(counted: DataFrame) -> DataFrame:
     """what, value, n, total, least, most, first over all parts."""
-    return counted.groupBy("what", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("first").alias("first"))
+    o, p, kind = F.col("first.o"), F.col("first.p"), counted.schema["first"].dataType["o"].dataType
+    return counted.groupBy("what", "value").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most"), _least(o, p, _packed(o, kind), kind).alias("first"))
 
 
 def figures(whole: DataFrame) -> DataFrame:

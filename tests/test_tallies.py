@@ -55,6 +55,12 @@ def test_values_are_counted_without_a_sort(spark, order):
     assert "HashAggregate" in counted and "Sort" not in counted
 
 
+@pytest.mark.parametrize("order", ["id", "o"])
+def test_parts_are_added_up_without_a_sort(spark, order):
+    whole = tallies.summed(tallies.tallies(spark.createDataFrame(made(3), SCHEMA), *measures(), order))
+    assert "HashAggregate" in plan(tallies.top(whole, "tag")) and "Sort" not in plan(tallies.top(whole, "tag"))
+
+
 def test_first_places_of_any_whole_number(spark):
     least, most = -(1 << 63), (1 << 63) - 1
     rows = [(0, ["b", "a"]), (0, ["a", "", "b", "b"]), (most, ["c", "d"]), (least, [None, "e", "d", "e"]), (None, ["a", "f"]), (-1, ["b", "g"]), (-1, ["g", "h"]), (5, None)]
