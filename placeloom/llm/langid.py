@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import pieces, table
+from .common import map_batches, pieces, table
 
 BUCKETS, PER_LANGUAGE, TRAIN_ROWS, UNKNOWN = 1 << 15, 600, 24_000, "und"
 ALPHA, BETA, L1, L2, EPOCHS, SEED = 1.0, 1.0, 0.02, 1e-3, 3, 3
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRA
         ids = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total[ids])], ["bucket", "n"])
 
-    df = may.select("text").mapInArrow(frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 rows
+    df = map_batches(may.select("text"), frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # at most BUCKETS + 1 rows
     seen = np.zeros(BUCKETS + 1)
     for r in df:
         seen[r.bucket] = r.n
@@ -202,7 +202,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, train_rows: int = TRA
             counts = [None if f is None else f[1].astype(np.uint32).tobytes() for f in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["doc_id", "lang", "ids", "counts"])
 
-    rows = sample.mapInArrow(counted, "doc_id long, lang string, ids binary, counts binary").filter("ids is not null").collect()
+    rows = map_batches(sample, counted, "doc_id long, lang string, ids binary, counts binary").filter("ids is not null").collect()
     rows.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.ids)))
     data = []
     for r in rows:
@@ -248,7 +248,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             found = [shared.value.predict(t) for t in texts]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names)
 
-    return own.mapInArrow(predicted, T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return map_batches(own, predicted, T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
@@ -267,4 +267,4 @@ def reject_unsure(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield part.filter(pa.array([shared.value.sure(t) for t in texts], pa.bool_()))
 
     own = docs.withColumn("text", F.col("text").cast("string"))
-    return own.mapInArrow(good, own.schema)
+    return map_batches(own, good, own.schema)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cover, pieces, stored, table
+from .common import Cover, map_batches, pieces, stored, table
 from .crf import bucket
 
 BASE = ("email", "ip", "card", "phone")
@@ -218,7 +218,7 @@ def candidates(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()))], ["kind", "votes", "ids", "h"])
 
     text = F.col("text").cast("string")
-    return docs.select(text.alias("text")).filter("text is not null").mapInArrow(run, "kind string, votes array<int>, ids array<int>, h long")
+    return map_batches(docs.select(text.alias("text")).filter("text is not null"), run, "kind string, votes array<int>, ids array<int>, h long")
 
 
 def fit(docs: DataFrame, train_spans: int = TRAIN_SPANS) -> np.ndarray:
@@ -253,7 +253,7 @@ def scan(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in BASE) + ", base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, schema)
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -282,5 +282,5 @@ def redact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
             new = [None if t is None else redacted(t, all_spans(t, shared.value)[1]) for t in texts]
             yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(new, pa.string()))
 
-    out = own.mapInArrow(clean, own.schema)
+    out = map_batches(own, clean, own.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

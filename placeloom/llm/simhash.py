@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import map_batches, stored, table
 
 SEED, SHINGLE, BUCKET_LIMIT = 42, 3, 4
 _ROWS = 1 << 16
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             fps = np.array([fingerprint(x, shingle, seed) for x in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, fp long")
 
 
 def _segment(n: int) -> Column:
@@ -206,10 +206,11 @@ def _bucket_counts(docs: DataFrame, shingle: int) -> np.ndarray:
         for batch in batches:
             for _, sets in _sets_of(batch, 0, shingle):
                 np.add.at(total, _bucket_of(np.concatenate(sets)), 1)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
+        for i in range(0, SKETCH, _ROWS):
+            at = i + np.flatnonzero(total[i : i + _ROWS])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    counted = map_batches(docs.select(F.col("text").cast("string")), run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SKETCH, np.int64)
     out[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     return out
@@ -228,7 +229,7 @@ def _prefixes(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFram
                 sizes = np.array([len(x) for x in sets], np.int32)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(first)))], ["node", "n", "prefix"])
 
-    return docs.select("node", F.col("text").cast("string")).mapInArrow(run, "node long, n int, prefix array<long>")
+    return map_batches(docs.select("node", F.col("text").cast("string")), run, "node long, n int, prefix array<long>")
 
 
 def _sized(df: DataFrame) -> DataFrame:
@@ -256,7 +257,7 @@ def _similar(pairs: DataFrame, docs: DataFrame, shingle: int, least: tuple[int,
                     keep.append(met * down >= (len(one) + len(other) - met) * up)
                 yield part.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "near-edges")
+    return stored(map_batches(both.select("u", "v", "a", "b"), run, "u long, v long"), "near-edges")
 
 
 def alike(docs: DataFrame, shingle: int = STAGE_SHINGLE, least: tuple[int, int] = STAGE_LEAST) -> DataFrame:
